@@ -4,40 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# scheme ':' '//' authority path, before any '?' or '#'
-_SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)"
-
-
-def scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, _SPLIT, 1))
+_SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*:"
+_FRONT = rf"^(?:{_SCHEME})?(?://[^/?#]*)?"
 
 
 def authority(url: Column) -> Column:
-    return F.regexp_extract(url, _SPLIT, 2)
+    return F.regexp_extract(url, rf"^(?:{_SCHEME})?//([^/?#]*)", 1)
 
 
 def path(url: Column) -> Column:
     """Path without the parameters (';...') of its last segment."""
-    return F.regexp_replace(F.regexp_extract(url, _SPLIT, 3), r";[^/]*$", "")
-
-
-def _assemble(scheme_: Column, authority_: Column, path_: Column) -> Column:
-    host = F.lower(authority_)
-    port = F.when(scheme_ == "http", F.lit(":80")).when(scheme_ == "https", F.lit(":443"))
-    bare_host = F.when(
-        F.endswith(host, port), F.left(host, F.length(host) - F.length(port))
-    ).otherwise(host)
-    bare_path = F.when(
-        (path_ != "/") & F.endswith(path_, F.lit("/")), F.left(path_, F.length(path_) - 1)
-    ).otherwise(path_)
-    return F.concat(scheme_, F.lit("://"), bare_host, bare_path)
+    return F.regexp_replace(F.regexp_extract(url, _FRONT + "([^?#]*)", 1), r";[^/]*$", "")
 
 
 def normalize_url(url: Column) -> Column:
-    """History key of a URL: lower-case scheme and host, no default port, query or fragment."""
-    own = scheme(url)
-    key = _assemble(F.when(own == "", F.lit("http")).otherwise(own), authority(url), path(url))
-    return F.when(url.isNull() | (url == ""), url).otherwise(key)
+    """History key of a URL: lower-case scheme and host, no default port, query or fragment.
+
+    A chain of single steps: the URL is read three times, however deep it is nested, so the
+    expression stays small in generated code.
+    """
+    front = F.lower(F.regexp_extract(url, _FRONT, 0))
+    front = F.regexp_replace(front, r"^(?:(http://[^/]*):80|(https://[^/]*):443)$", "$1$2")
+    # Without a scheme a URL counts as http.
+    front = F.regexp_replace(front, r"^(?=//|$)", "http:")
+    front = F.regexp_replace(front, r"^([^/]*:)$", "$1//")
+    tail = F.regexp_replace(path(url), r"(?s)^(.+)/$", "$1")
+    return F.when(url.isNull() | (url == ""), url).otherwise(F.concat(front, tail))
 
 
 def history_key(final_url: Column, url: Column) -> Column:
@@ -49,18 +41,18 @@ TIER_RAW, TIER_NORMALIZED, TIER_VARIANT, TIER_DECLARED = 1, 2, 3, 4
 
 
 def url_variants(url: Column) -> Column:
-    """Other spellings of a URL in a fixed order: http, https, www toggled."""
-    host, path_ = authority(url), path(url)
-    own = scheme(url)
-    kept = F.when(own == "", F.lit("http")).otherwise(own)
-    toggled = F.when(F.startswith(host, F.lit("www.")), F.substr(host, F.lit(5))).otherwise(
-        F.concat(F.lit("www."), host)
-    )
+    """Other spellings of a URL in a fixed order: as it is, http, https, www toggled."""
+
+    def with_scheme(name: str) -> Column:
+        has_it = F.startswith(F.lower(url), F.lit(f"{name}:"))
+        return F.when(~has_it, normalize_url(F.regexp_replace(url, rf"^(?:{_SCHEME})?", f"{name}:")))
+
+    front = rf"^((?:{_SCHEME})?//)"
+    toggled = F.when(
+        url.rlike(front + r"www\."), F.regexp_replace(url, front + r"www\.", "$1")
+    ).otherwise(F.regexp_replace(url, front, "$1www."))
     forms = F.array(
-        normalize_url(url),
-        F.when(own != "http", _assemble(F.lit("http"), host, path_)),
-        F.when(own != "https", _assemble(F.lit("https"), host, path_)),
-        _assemble(kept, toggled, path_),
+        normalize_url(url), with_scheme("http"), with_scheme("https"), normalize_url(toggled)
     )
     return F.array_distinct(F.array_compact(forms))
 

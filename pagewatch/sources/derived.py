@@ -93,9 +93,13 @@ def page_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a numeric capture log: key, time, status, length, etag."""
+    return log_of_events(table(spark, sf_dir, "events"))
+
+
+def log_of_events(events: DataFrame) -> DataFrame:
+    """Events, batch or stream, as a numeric capture log: key, time, status, length, etag."""
     kind = F.col("event_type")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("key"),
         F.col("ts").alias("captured_at"),
         F.col("event_id").alias("ordinal"),
@@ -206,3 +210,69 @@ def page_state(spark: SparkSession, sf_dir: str) -> DataFrame:
             page.alias("insertion_seq"),
         )
     )
+
+
+def tagged_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page once, with tags of every kind that is profiled put into its own document."""
+    n = F.col("page_id").cast("string")
+    head = F.concat(
+        F.lit("<head><META NAME='twitter:card' content=summary><meta content=\"t"), n,
+        F.lit('" name="twitter:Title"><meta name="twitter:title" content="u'), n,
+        F.lit(' &amp; co"><meta name="description" content=" first '), n,
+        F.lit(' "><meta name="description" content="second">'
+              "<meta property='OG:Title' content='A > B "), n,
+        F.lit("'><meta property=\"og:title\" content=\"last "), n,
+        F.lit('"><meta property="og:image" content=""><meta property="og:url" content="/o/'), n,
+        F.lit('"><meta http-equiv="Content-Type" content="text/html; charset=iso-8859-1">'
+              '<meta http-equiv=refresh content="30"><meta http-equiv="Refresh" content="60">'
+              '<meta name="author" content="a'), n,
+        F.lit('"><meta name="author" content="b"><meta name="robots" content="">'
+              '<meta name="Generator" content="g"><link rel="stylesheet" href="/s.css">'
+              '<link rel="nofollow canonical" href=" /c/'), n,
+        F.lit(' "><!-- <meta name="keywords" content="hidden"><script type="application/ld+json">{}</script> -->'
+              '<script type="application/ld+json">{"part":{"safety":"s'), n,
+        F.lit('","version":"v'), n,
+        F.lit('"},"name":"n'), n,
+        F.lit('","@type":"SoftwareApplication","@list":[1,{"a":null}]}</script>'
+              '<script type="application/ld+json">{broken</script>'),
+    )
+    items = F.array_join(
+        F.transform(
+            F.sequence(F.lit(0), (F.col("page_id") % 7).cast("int")),
+            lambda i: F.concat(
+                F.lit('<div itemscope itemtype="https://schema.org/T'), (i % 4).cast("string"), F.lit('"></div>')
+            ),
+        ),
+        "",
+    )
+    body = F.concat(
+        items,
+        F.lit('<img src="x"><IMG src=y><ol><li>1</li></ol><h2>two</h2><h3 class="main-head">three</h3><form action="/f"></form>'
+              '<a href="https://twitter.com/x'), n,
+        F.lit('" title="T &amp; t">share <b> it </b></a><a class="k" href=\'mailto:x@y\'>m</a>'
+              '<a href="//cdn.example/x">cdn</a><a href="#x">frag</a><a href="">none</a><a name="n">no</a>'
+              "<a href=\"https://other.example/p.html\"> other  page </a>"
+              "<p>Last updated: 3 May 2024. Version: 2."), n,
+        F.lit(". also v1."), (F.col("page_id") % 7).cast("string"),
+        F.lit(" and ver 3; effective as of May 1. Date: 1/2/2024 Privacy policy, &quot;terms&quot; &lt;!-- shown --&gt;</p></article>"),
+    )
+    pages = spread(table(spark, sf_dir, "pages"))
+    tagged = F.replace(F.replace(F.col("html"), F.lit("<head>"), head), F.lit("</article>"), body)
+    return normalize_captures(
+        pages.select(
+            "page_id",
+            "url",
+            F.lit("2024-01-02").cast("timestamp_ntz").alias("captured_at"),
+            F.when(F.col("page_id") % 11 == 10, 503).otherwise(200).alias("status_code"),
+            F.create_map(
+                F.lit("Content-Type"),
+                F.when(F.col("page_id") % 13 == 12, "application/PDF").otherwise("Text/HTML; charset=latin1"),
+            ).alias("headers"),
+            F.col("url").alias("final_url"),
+            tagged.alias("html"),
+            F.lit(0.0).alias("response_time"),
+            F.lit(None).cast("string").alias("error"),
+            F.lit("cycle_20240102_000000").alias("cycle_id"),
+            F.col("page_id").alias("ordinal"),
+        )
+    )
