@@ -177,7 +177,9 @@ def has(pattern: str, x: str) -> str:
 
 
 def attr(tag: str, name: str) -> str:
-    pattern = rf"(?is)[\s/]{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)".replace('\\"', '"')
+    quoted = "\"[^\"]*\"|'[^']*'|[^\\s\"'>]+"
+    before = rf"(?:[\s/]+[^\s=>\"'/]+(?:\s*=\s*(?:{quoted}))?)*".replace('\\"', '"')
+    pattern = rf"(?is)^<[a-z]+{before}[\s/]+{name}\s*=\s*({quoted})"
     value = unescape(f"trim(regexp_extract({tag},{q(pattern)},1),{q(chr(34) + chr(39))})")
     return f"CASE WHEN {has(pattern, tag)} THEN {value} END"
 
@@ -234,7 +236,7 @@ p AS (SELECT page_id, cycle_no, url, final_url, captured_at, ordinal, status_cod
   {strip(of_meta("name='description'"))} AS description,
   (SELECT nullif({strip(attr('l','href'))},'') FROM (SELECT unnest(regexp_extract_all(doc,'(?is)<link\\b[^>]*>')) AS l) WHERE list_contains(string_split({attr('l','rel')},' '),'canonical') LIMIT 1) AS canonical,
   CASE WHEN parsed THEN sd0 ELSE '{{}}' END AS sd,
-  CAST(CASE WHEN parsed THEN len(list_filter(string_split(txt,' '), x -> x<>'')) ELSE 0 END AS BIGINT) AS words,
+  CAST(CASE WHEN parsed THEN len(list_filter(string_split(txt,' '), lambda x: x<>'')) ELSE 0 END AS BIGINT) AS words,
   CASE WHEN length(txt)>500 THEN substr(txt,1,500) || '...' ELSE txt END AS preview,
   CASE WHEN parsed THEN '{{' || {HEADINGS} || '}}' ELSE '{{}}' END AS headings,
   {count(r'(?i)<img[\s/>]', 'red')} AS images, {count(r'(?i)<p[\s/>]', 'red')} AS paragraphs, {count(r'(?i)<(?:ul|ol)[\s/>]', 'red')} AS lists,
@@ -542,7 +544,7 @@ def _pages() -> None:
     anchor = f"(SELECT page_id, url AS page_url, unnest(a) AS tag, CAST(generate_subscripts(a,1)-1 AS INTEGER) AS pos FROM (SELECT page_id, url, regexp_extract_all(doc,{q('(?is)<a' + chr(92) + 'b' + REST + '.*?</a>')}) AS a FROM g5))"
     start = f"regexp_extract(tag,{q('(?is)^<a' + chr(92) + 'b' + REST)})"
     fields = (f"SELECT page_id, page_url, pos, {strip(attr(start,'href'))} AS href, coalesce({attr(start,'title')},'') AS title, "
-              f"list_aggregate(list_transform(regexp_split_to_array(tag,'<[^>]*>'), x -> {strip(unescape('x'))}),'string_agg','') AS text FROM {anchor}")
+              f"list_aggregate(list_transform(regexp_split_to_array(tag,'<[^>]*>'), lambda x: {strip(unescape('x'))}),'string_agg','') AS text FROM {anchor}")
     kept = "href<>'' AND NOT starts_with(lower(href),'javascript:') AND NOT starts_with(lower(href),'mailto:') AND NOT starts_with(lower(href),'tel:')"
     o["b8_link_skip_filter"] = profile(TAGGED, f"SELECT page_id, href, {kept} AS kept FROM ({fields}) WHERE href IS NOT NULL")
     domain = f"regexp_extract(page_url,{q(SPLIT)},2)"
@@ -558,13 +560,13 @@ def _pages() -> None:
     o["h21_date_indicators"] = profile(TAGGED, "SELECT page_id, CAST(generate_subscripts(m,1)-1 AS INTEGER) AS pos, unnest(m) AS mark FROM (SELECT page_id, CAST(dates AS VARCHAR[]) AS m FROM p WHERE parsed)")
     o["h22_has_legal_language"] = _content("SELECT page_id, n_privacy+n_terms+n_liability+n_termination+n_rights+n_governance>0 AS has_legal_language")
     o["h23_page_language"] = _tagged("SELECT page_id, lang AS language")
-    o["h24_page_charset"] = _tagged("SELECT page_id, CASE WHEN parsed THEN charset ELSE regexp_extract(CASE WHEN content_type LIKE '%charset=%' THEN content_type END,'charset=([^;]*)',1) END AS charset")
+    o["h24_page_charset"] = _tagged("SELECT page_id, charset")
     o["h25_forms_and_comments"] = _tagged("SELECT page_id, has_forms, has_comments")
     tree = ("(SELECT page_id, t.id, t.value AS v FROM j1, lateral (SELECT * FROM json_tree(canon)) t WHERE t.type='OBJECT')")
     names = "','".join(["name", "version", "datePublished", "releaseDate", "description", "identifier", "license", "evaluation", "safety", "safetyMitigations", "allowedUse", "prohibitedUse", "metrics", "usageGuidelines"])
     o["h29_model_card_fields"] = profile(TAGGED,
         f"SELECT page_id, field, arg_max(value, id) AS value FROM (SELECT n.page_id, n.id, e.key AS field, CAST(e.value AS VARCHAR) AS value FROM {tree} n, lateral (SELECT * FROM json_each(n.v)) e "
-        f"WHERE (regexp_matches(lower(coalesce(n.v->>'$.\"@type\"', n.v->>'$.type','')),'model|softwareapplication') OR len(list_filter(json_keys(n.v), k -> lower(k) IN ('model','safety')))>0) AND e.key IN ('{names}')) GROUP BY ALL")
+        f"WHERE (regexp_matches(lower(coalesce(json_extract_string(n.v,'$.\"@type\"'), json_extract_string(n.v,'$.type'),'')),'model|softwareapplication') OR len(list_filter(json_keys(n.v), lambda k: lower(k) IN ('model','safety')))>0) AND e.key IN ('{names}')) GROUP BY ALL")
     card = "SELECT page_id, cycle_no, unnest(['name','version']) AS field, unnest([CAST(json_extract(canon,'$.name') AS VARCHAR), CAST(json_extract(canon,'$.version') AS VARCHAR)]) AS value FROM j1"
     o["c4_model_card_diff"] = profile(CAPTURES,
         f"SELECT coalesce(n.page_id,o.page_id) AS page_id, coalesce(n.cycle_no,o.cycle_no+1) AS cycle_no, coalesce(n.field,o.field) AS field, o.value AS old_value, n.value AS new_value "

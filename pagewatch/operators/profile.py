@@ -7,6 +7,8 @@ computed once per page, however many fields read it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewatch.functions import html as H
@@ -120,30 +122,39 @@ def _content() -> Column:
     )
 
 
-def profile_columns() -> dict[str, Column]:
-    """Profile fields over the intermediate columns."""
-    doc, metas = F.col("_doc"), F.col("_metas")
-    return {
-        "error": F.col("_parse_error"),
-        "title": H.title(doc),
-        "meta_description": H.meta_description(metas),
-        "canonical_url": H.canonical_link(doc),
-        "og_metadata": H.last_wins(F.col("_og"), F.col("_og_keys")),
-        "twitter_metadata": H.last_wins(F.col("_twitter"), F.col("_twitter_keys")),
-        "other_metadata": H.last_wins(F.col("_other"), F.col("_other_keys")),
-        "json_ld": F.col("_json_ld"),
-        "microdata": F.when(F.col("_micro.item_count") > 0, F.col("_micro")),
-        "structured_canonical": F.col("_structured"),
-        "structured_hash": J.json_hash(F.col("_structured")),
-        "important_links": H.page_links(F.col("_anchors"), F.col("_page_domain")),
-        "content_analysis": F.when(F.col("_html").isNotNull(), _content()),
-        "language": H.page_language(doc),
-        "charset": H.page_charset(metas, F.col("_content_type")),
-        "has_forms": F.coalesce(H.has_form(F.col("_reduced")), F.lit(False)),
-        "has_comments": F.coalesce(
-            H.has_comment_text(F.col("_reduced"), F.col("_raw")), F.lit(False)
-        ),
-    }
+def _forms() -> Column:
+    return F.coalesce(H.has_form(F.col("_reduced")), F.lit(False))
+
+
+def _comments() -> Column:
+    return F.coalesce(H.has_comment_text(F.col("_reduced"), F.col("_raw")), F.lit(False))
+
+
+def _charset() -> Column:
+    parsed_type = F.when(F.col("_html").isNotNull(), F.col("_content_type"))
+    return H.page_charset(F.col("_metas"), parsed_type)
+
+
+# Profile fields over the intermediate columns; only those asked for are built.
+PROFILE_FIELDS: dict[str, Callable[[], Column]] = {
+    "error": lambda: F.col("_parse_error"),
+    "title": lambda: H.title(F.col("_doc")),
+    "meta_description": lambda: H.meta_description(F.col("_metas")),
+    "canonical_url": lambda: H.canonical_link(F.col("_doc")),
+    "og_metadata": lambda: H.last_wins(F.col("_og"), F.col("_og_keys")),
+    "twitter_metadata": lambda: H.last_wins(F.col("_twitter"), F.col("_twitter_keys")),
+    "other_metadata": lambda: H.last_wins(F.col("_other"), F.col("_other_keys")),
+    "json_ld": lambda: F.col("_json_ld"),
+    "microdata": lambda: F.when(F.col("_micro.item_count") > 0, F.col("_micro")),
+    "structured_canonical": lambda: F.col("_structured"),
+    "structured_hash": lambda: J.json_hash(F.col("_structured")),
+    "important_links": lambda: H.page_links(F.col("_anchors"), F.col("_page_domain")),
+    "content_analysis": lambda: F.when(F.col("_html").isNotNull(), _content()),
+    "language": lambda: H.page_language(F.col("_doc")),
+    "charset": _charset,
+    "has_forms": _forms,
+    "has_comments": _comments,
+}
 
 
 def profile_captures(captures: DataFrame, fields: list[str] | None = None) -> DataFrame:
@@ -153,8 +164,7 @@ def profile_captures(captures: DataFrame, fields: list[str] | None = None) -> Da
     parsed has a profile with ``error`` set and empty fields. ``fields`` keeps only some
     profile fields, and the others are then never computed.
     """
-    columns = profile_columns()
-    chosen = [columns[name].alias(name) for name in (fields or columns)]
+    chosen = [PROFILE_FIELDS[name]().alias(name) for name in (fields or PROFILE_FIELDS)]
     kept = [c for c in captures.columns if c != "html"]
     profile = F.when(~F.col("_failed"), F.struct(*chosen)).alias("profile")
     return with_page_fields(captures).select(*kept, profile)
