@@ -419,7 +419,7 @@ def _sources() -> None:
         "CAST(NULL AS VARCHAR) AS field, CASE WHEN prev.parsed THEN prev.etag END AS old_value, CASE WHEN cur.parsed THEN cur.etag END AS new_value, CAST(NULL AS DOUBLE) AS delta, CAST(NULL AS DOUBLE) AS change_percent "
         "FROM pr WHERE known AND cur.has_profile AND prev.has_profile AND (CASE WHEN cur.parsed THEN cur.etag END) IS DISTINCT FROM (CASE WHEN prev.parsed THEN prev.etag END)")
     alert = ("SELECT url, captured_at, ordinal, {} AS alert_type, {} AS severity, {} AS message, cur.words-prev.words AS word_count_change, "
-             "cur.versions AS current_versions, prev.versions AS previous_versions, {} AS last_modified_change FROM pr WHERE known AND cur.has_profile AND prev.has_profile AND {}")
+             "CAST(cur.versions AS VARCHAR) AS current_versions, CAST(prev.versions AS VARCHAR) AS previous_versions, {} AS last_modified_change FROM pr WHERE known AND cur.has_profile AND prev.has_profile AND {}")
     same = "list_sort(list_distinct(CAST(cur.versions AS VARCHAR[])))=list_sort(list_distinct(CAST(prev.versions AS VARCHAR[])))"
     o["i19_stealth_content_change"] = pairs(alert.format(
         "'STEALTH_CONTENT_CHANGE'", "'HIGH'", "'Significant content changes detected without version update'", "CAST(NULL AS VARCHAR)",

@@ -177,17 +177,17 @@ def pair_with_previous(
     else:
         rows = rows.withColumn("is_late", F.lit(False))
 
-    def slim_of(df: DataFrame, inserted: Column) -> DataFrame:
+    def slim_of(df: DataFrame) -> DataFrame:
         return df.select(
-            "url", "history_key", *ORDER, inserted.alias("_inserted"),
+            "url", "history_key", *ORDER,
             normalize_url(F.nullif(F.col("final_url"), F.lit(""))).alias("declared_final"),
             normalize_url(F.col("profile.canonical_url")).alias("declared_canonical"),
         )
 
     on_time = rows.where(~F.col("is_late"))
-    slim = slim_of(on_time, F.col("captured_at"))
+    slim = slim_of(on_time)
     if stored is not None:
-        slim = slim.unionByName(slim_of(_in_insertion_order(stored), F.col("captured_at")))
+        slim = slim.unionByName(slim_of(_in_insertion_order(stored)))
 
     chunks = plan_chunks(slim.select("history_key", *ORDER), "history_key", ORDER, policy=policy)
     asked = rows.where(~F.col("is_late")).select("url", *ORDER)
@@ -195,10 +195,18 @@ def pair_with_previous(
     resolved = asked.join(_candidates(slim), "url", "left").withColumn(
         "key", F.get(F.filter("candidates", lambda c: c["first"] < position), F.lit(0))["key"]
     )
-    declared = _declared_keys(slim, resolved.where(F.col("key").isNull()), chunks)
-    found = resolved.join(declared, ORDER, "left").select(
-        *ORDER, F.coalesce("key", "declared_key").alias("_found")
+    # Most logs declare nothing but their own keys. One cheap look saves the whole last tier.
+    foreign = slim.where(
+        (F.col("declared_final") != F.col("history_key"))
+        | ((F.col("declared_canonical") != F.col("history_key")) & ~F.startswith("declared_canonical", F.lit("http:///")))
     )
+    if foreign.isEmpty():
+        found = resolved.select(*ORDER, F.col("key").alias("_found"))
+    else:
+        declared = _declared_keys(slim, resolved.where(F.col("key").isNull()), chunks)
+        found = resolved.join(declared, ORDER, "left").select(
+            *ORDER, F.coalesce("key", "declared_key").alias("_found")
+        )
 
     def role(group: Column, writes: bool, reads: bool) -> Column:
         return F.struct(

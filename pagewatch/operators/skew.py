@@ -63,10 +63,13 @@ def plan_chunks(
     lasts = chunked.groupBy(group, "_chunk").agg(
         F.max(F.when(F.col("_write"), _position(order))).alias("last")
     )
-    # One row per chunk of a hot group, so this window is small.
+    # Every chunk gets its opener, also one that only rows of another source fall into. One
+    # row per chunk of a hot group, so this window is small.
+    every = cuts.select(group, F.explode(F.sequence(F.lit(0), F.size("cuts"))).alias("_chunk"))
     before = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     openers = (
-        lasts.withColumn("opener", F.max("last").over(before))
+        every.join(lasts, [group, "_chunk"], "left")
+        .withColumn("opener", F.max("last").over(before))
         .where(F.col("opener").isNotNull())
         .groupBy(group)
         .agg(F.collect_list(F.struct("opener", "_chunk")).alias("openers"))
