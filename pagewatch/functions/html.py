@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from pagewatch.functions.text import decode_entities, strip
+from pagewatch.functions.text import decode_entities, occurrences, strip
 
 # The rest of a start tag: quoted values may hold '>'. Possessive, so it never backtracks.
 _REST = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
@@ -260,25 +260,37 @@ def page_links(fields: Column, page_domain: Column) -> Column:
     )
 
 
-def tag_count(reduced: Column, names: str) -> Column:
-    return F.regexp_count(reduced, F.lit(rf"(?i)<(?:{names})(?=[\s/>])"))
+COUNTED_TAGS = "h[1-6]|img|p|ul|ol|main|article|form"
 
 
-def heading_counts(reduced: Column) -> Column:
-    return F.struct(*[tag_count(reduced, f"h{n}").alias(f"h{n}") for n in range(1, 7)])
+def tag_names(reduced: Column) -> Column:
+    """Names of the counted start tags as one text, ``<h1><p><p>``: one pass for all counts."""
+    names = F.regexp_extract_all(reduced, F.lit(rf"(?i)<({COUNTED_TAGS})(?=[\s/>])"), F.lit(1))
+    return F.lower(F.concat(F.lit("<"), F.array_join(names, "><"), F.lit(">")))
 
 
-def has_main_content(reduced: Column) -> Column:
-    by_tag = reduced.rlike(r"(?i)<(?:main|article)(?=[\s/>])")
+def tag_count(names: Column, *tags: str) -> Column:
+    counts = [occurrences(names, f"<{tag}>") for tag in tags]
+    return counts[0] if len(counts) == 1 else counts[0] + counts[1]
+
+
+def heading_counts(names: Column) -> Column:
+    return F.struct(*[tag_count(names, f"h{n}").alias(f"h{n}") for n in range(1, 7)])
+
+
+def has_tag(names: Column, *tags: str) -> Column:
+    found = F.lit(False)
+    for tag in tags:
+        found = found | F.contains(names, F.lit(f"<{tag}>"))
+    return found
+
+
+def has_main_content(reduced: Column, names: Column) -> Column:
     by_class = reduced.rlike(
         rf"(?is)<[a-z][^\s/>]*{_ATTRS_BEFORE}[\s/]+class\s*=\s*"
         r"(?:\"[^\"]*(?:content|main)|'[^']*(?:content|main)|[^\s\"'>]*(?:content|main))"
     )
-    return by_tag | by_class
-
-
-def has_form(reduced: Column) -> Column:
-    return reduced.rlike(r"(?i)<form(?=[\s/>])")
+    return has_tag(names, "main", "article") | by_class
 
 
 def has_comment_text(reduced: Column, text: Column) -> Column:

@@ -77,9 +77,26 @@ def policy_counts(lowered: Column) -> dict[str, Column]:
     return counts
 
 
+# Letters beside the two ASCII cases that match a letter when case is ignored.
+_MORE_CASES = {"i": "İı", "s": "ſ", "k": "\u212a"}
+
+
 def fold_case(text: Column) -> Column:
     """Lower case in which every letter that matches an ASCII letter is that letter."""
-    return F.translate(F.lower(text), "ſ", "s")
+    folded = F.lower(F.replace(text, F.lit("İ"), F.lit("i")))
+    for other, letter in (("ı", "i"), ("ſ", "s")):
+        folded = F.replace(folded, F.lit(other), F.lit(letter))
+    return folded
+
+
+def any_case(pattern: str) -> str:
+    """Spell case-insensitivity out as letter classes, which match faster than the flag."""
+
+    def spell(match: re.Match) -> str:
+        token = match.group()
+        return f"[{token}{token.upper()}{_MORE_CASES.get(token, '')}]" if len(token) == 1 else token
+
+    return re.sub(r"\\.|\(\?:|[a-z]", spell, pattern)
 
 
 def _marks(text: Column, folded: Column, patterns: list[str]) -> Column:
@@ -88,7 +105,8 @@ def _marks(text: Column, folded: Column, patterns: list[str]) -> Column:
     for pattern in patterns:
         # A byte search for the leading word spares most texts the costly pattern.
         word = re.match("[a-z]+", pattern).group()
-        hits = F.regexp_extract_all(text, F.lit("(?iU)" + pattern.replace(r"\s", SPACE)), F.lit(1))
+        spelled = "(?U)" + any_case(pattern).replace(r"\s", SPACE)
+        hits = F.regexp_extract_all(text, F.lit(spelled), F.lit(1))
         found.append(F.when(F.contains(folded, F.lit(word)), hits).otherwise(nothing))
     return F.concat(*found)
 
@@ -114,24 +132,39 @@ def _code_point(code: Column) -> Column:
     return F.when(valid, encoded).otherwise(F.lit("�"))
 
 
-def _decode_after_ampersand(piece: Column, keep_unknown: bool) -> Column:
-    """Decode the part of a text that follows one '&'."""
+def _decode_number(piece: Column) -> Column:
     number = r"^#(?:[0-9]{1,9}|[xX][0-9a-fA-F]{1,8});?"
-    name = r"^([a-zA-Z][a-zA-Z0-9]*);" if keep_unknown else r"^([a-zA-Z][-.a-zA-Z0-9]*);?"
     digits = F.regexp_extract(piece, r"^#([0-9]{1,9})", 1)
     hexes = F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]{1,8})", 1)
     code = F.when(hexes != "", F.conv(hexes, 16, 10)).otherwise(digits).try_cast("bigint")
-    word = F.regexp_extract(piece, name, 1)
-    known = _entity_table()[word]
-    if keep_unknown:
-        unknown = F.concat(F.lit("&"), piece)
-    else:
-        unknown = F.concat(F.lit("&"), F.regexp_replace(piece, name, "$1"))
-    return (
-        F.when(piece.rlike(number), F.concat(_code_point(code), F.regexp_replace(piece, number, "")))
-        .when(known.isNotNull(), F.concat(known, F.regexp_replace(piece, name, "")))
-        .when(word != "", unknown)
-        .otherwise(F.concat(F.lit("&"), piece))
+    return F.when(
+        piece.rlike(number), F.concat(_code_point(code), F.regexp_replace(piece, number, ""))
+    ).otherwise(F.concat(F.lit("&"), piece))
+
+
+def _decode_pieces(pieces: Column, keep_unknown: bool) -> Column:
+    """Decode the parts of a text that follow an '&' each; the first part follows none."""
+    name = r"^([a-zA-Z][a-zA-Z0-9]*);" if keep_unknown else r"^([a-zA-Z][-.a-zA-Z0-9]*);?"
+    table = _entity_table()
+    # Values are bound step by step, because a lambda evaluates each mention again.
+    named = F.transform(
+        pieces,
+        lambda p, i: F.struct(
+            p.alias("text"), F.when(i > 0, F.regexp_extract(p, name, 1)).alias("word")
+        ),
+    )
+    looked_up = F.transform(
+        named,
+        lambda n: F.struct(n["text"].alias("text"), n["word"].alias("word"), table[n["word"]].alias("known")),
+    )
+    unknown = lambda n: n["text"] if keep_unknown else F.regexp_replace(n["text"], name, "$1")
+    return F.transform(
+        looked_up,
+        lambda n: F.when(n["word"].isNull(), n["text"])
+        .when(n["known"].isNotNull(), F.concat(n["known"], F.regexp_replace(n["text"], name, "")))
+        .when(n["word"] != "", F.concat(F.lit("&"), unknown(n)))
+        .when(F.startswith(n["text"], F.lit("#")), _decode_number(n["text"]))
+        .otherwise(F.concat(F.lit("&"), n["text"])),
     )
 
 
@@ -142,9 +175,5 @@ def decode_entities(text: Column, keep_unknown: bool = False) -> Column:
     semicolon are decoded, anything else stays as written. In text an unknown
     name keeps its ampersand and loses its semicolon.
     """
-    pieces = F.split(text, "&", -1)
-    decoded = F.transform(
-        pieces,
-        lambda p, i: F.when(i == 0, p).otherwise(_decode_after_ampersand(p, keep_unknown)),
-    )
+    decoded = _decode_pieces(F.split(text, "&", -1), keep_unknown)
     return F.when(F.contains(text, F.lit("&")), F.array_join(decoded, "")).otherwise(text)

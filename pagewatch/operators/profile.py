@@ -72,6 +72,7 @@ def with_page_fields(captures: DataFrame) -> DataFrame:
         {
             "_versions": X.version_marks(F.col("_raw"), F.col("_folded")),
             "_dates": X.date_marks(F.col("_raw"), F.col("_folded")),
+            "_tag_names": H.tag_names(F.col("_reduced")),
         }
     )
     tags = counted.withColumns(
@@ -105,16 +106,16 @@ def with_page_fields(captures: DataFrame) -> DataFrame:
 
 
 def _content() -> Column:
-    doc, clean = F.col("_reduced"), F.col("_text")
+    names, clean = F.col("_tag_names"), F.col("_text")
     counts = {category: F.col(f"_n_{category}") for category in X.POLICY_PHRASES}
     return F.struct(
         X.word_count(clean).alias("word_count"),
         X.preview(clean).alias("text_preview"),
-        H.heading_counts(doc).alias("headings"),
-        H.tag_count(doc, "img").alias("image_count"),
-        H.has_main_content(doc).alias("has_main_content"),
-        H.tag_count(doc, "p").alias("paragraph_count"),
-        H.tag_count(doc, "ul|ol").alias("list_count"),
+        H.heading_counts(names).alias("headings"),
+        H.tag_count(names, "img").alias("image_count"),
+        H.has_main_content(F.col("_reduced"), names).alias("has_main_content"),
+        H.tag_count(names, "p").alias("paragraph_count"),
+        H.tag_count(names, "ul", "ol").alias("list_count"),
         *[c.alias(f"{category}_keyword_count") for category, c in counts.items()],
         F.col("_versions").alias("version_indicators"),
         F.col("_dates").alias("date_indicators"),
@@ -123,7 +124,7 @@ def _content() -> Column:
 
 
 def _forms() -> Column:
-    return F.coalesce(H.has_form(F.col("_reduced")), F.lit(False))
+    return F.coalesce(H.has_tag(F.col("_tag_names"), "form"), F.lit(False))
 
 
 def _comments() -> Column:

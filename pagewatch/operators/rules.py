@@ -314,8 +314,12 @@ def _first_detection() -> Column:
 
 
 def long_changes(detected: DataFrame, *keys: str) -> DataFrame:
-    """One row per change."""
-    return detected.select(*keys, F.inline("changes"))
+    """One row per change.
+
+    The outer form keeps the optimizer from adding a filter on the array, for which all rules
+    would be evaluated a second time.
+    """
+    return detected.select(*keys, F.inline_outer("changes")).where("rule_ordinal IS NOT NULL")
 
 
 def policy_changes(changes: DataFrame) -> DataFrame:
