@@ -132,8 +132,13 @@ def recheck_state(schedule: DataFrame, checks: DataFrame, interval: int = DEFAUL
     return schedule.join(times, "url_key", "left")
 
 
+def wall_time(moment: dt.datetime) -> Column:
+    """Literal without a time zone; a plain literal would shift with the session's zone."""
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def is_due(as_of: dt.datetime) -> Column:
-    return F.col("next_check").isNull() | (F.lit(as_of).cast("timestamp_ntz") >= F.col("next_check"))
+    return F.col("next_check").isNull() | (wall_time(as_of) >= F.col("next_check"))
 
 
 def due_urls(state: DataFrame, as_of: dt.datetime) -> DataFrame:
@@ -141,8 +146,7 @@ def due_urls(state: DataFrame, as_of: dt.datetime) -> DataFrame:
 
 
 def seconds_until(moment: Column, as_of: dt.datetime) -> Column:
-    now = F.lit(as_of).cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", now, moment) / 1e6
+    return F.timestamp_diff("MICROSECOND", wall_time(as_of), moment) / 1e6
 
 
 def recheck_status(state: DataFrame, as_of: dt.datetime) -> DataFrame:

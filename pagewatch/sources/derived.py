@@ -10,6 +10,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewatch.functions.urls import normalize_url
+from pagewatch.operators.watchlist import wall_time
 from pagewatch.sources.captures import normalize_captures, spread
 
 AS_OF = dt.datetime(2024, 1, 30, 23, 30, 0)
@@ -113,7 +114,7 @@ def check_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events up to ``AS_OF`` as a log of checks per URL key."""
     return (
         table(spark, sf_dir, "events")
-        .where(F.col("ts") <= F.lit(AS_OF).cast("timestamp_ntz"))
+        .where(F.col("ts") <= wall_time(AS_OF))
         .select(
             F.col("user_id").alias("url_key"),
             F.col("ts").alias("checked_at"),
