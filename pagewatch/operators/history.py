@@ -155,16 +155,21 @@ def pair_with_previous(
     not an unfinished profile job.
     """
     keep = [c for c in records.columns if c not in ("headers", "profile")]
-    rows = records.withColumn("_seq", F.lit(1))
+    # Snapshots are taken next to the scan, so only their fields of a profile are read.
+    rows = records.select(*keep, snapshot().alias("cur")).withColumn("_seq", F.lit(1))
     stored = None
     if state is not None:
+        state = state.select(
+            "history_key", "url", "final_url", "captured_at", "ordinal", "first_captured_at",
+            "first_ordinal", snapshot().alias("cur"),
+        )
         # Only the state of keys that this batch can touch takes part.
         needed = rows.select(
             F.explode(F.array_union(F.array("history_key"), candidate_keys(F.col("url"))["key"])).alias("key")
         ).distinct()
         asked = rows.select(normalize_url(F.col("url")).alias("declared")).distinct()
         spelled = state.withColumn("declared", F.explode(F.array_compact(F.array(
-            normalize_url(F.col("final_url")), normalize_url(F.col("profile.canonical_url"))
+            normalize_url(F.col("final_url")), normalize_url(F.col("cur.canonical_url"))
         )))).join(asked, "declared", "left_semi").select("history_key")
         touched = needed.select(F.col("key").alias("history_key")).union(spelled).distinct()
         stored = state.join(touched, "history_key", "left_semi").withColumn("_seq", F.lit(0))
@@ -181,7 +186,7 @@ def pair_with_previous(
         return df.select(
             "url", "history_key", *ORDER,
             normalize_url(F.nullif(F.col("final_url"), F.lit(""))).alias("declared_final"),
-            normalize_url(F.col("profile.canonical_url")).alias("declared_canonical"),
+            normalize_url(F.col("cur.canonical_url")).alias("declared_canonical"),
         )
 
     on_time = rows.where(~F.col("is_late"))
@@ -222,13 +227,12 @@ def pair_with_previous(
     ).otherwise(F.array(role(own, True, False), role(key, False, True)))
     events = (
         rows.join(found, ORDER, "left")
-        .withColumn("cur", snapshot())
         .select(*keep, "_seq", "is_late", "cur", "_found", F.inline(roles))
     )
     if stored is not None:
         absent = {c: F.lit(None).cast(records.schema[c].dataType) for c in keep if c not in stored.columns}
         events = events.unionByName(
-            stored.withColumns({**absent, "cur": snapshot(), "is_late": F.lit(False)}).select(
+            stored.withColumns({**absent, "is_late": F.lit(False)}).select(
                 *keep, "_seq", "is_late", "cur", F.lit(None).cast("string").alias("_found"),
                 F.col("history_key").alias("_group"), F.lit(True).alias("_writes"),
                 F.lit(False).alias("_reads"),
