@@ -83,3 +83,18 @@ def in_sample(id_col: str, fraction: float) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(11)), F.lit(1 << 20)) < int(
         fraction * (1 << 20)
     )
+
+
+def arrays(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a list column without nulls, as views of one numpy array."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    values = column.values.to_numpy(zero_copy_only=False)
+    offsets = column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
+def lists(parts: list[np.ndarray], dtype: type) -> pa.ListArray:
+    """A list column of numpy arrays."""
+    offsets = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, dtype), *parts])))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewatch.llm.common import documents
+from pagewatch.llm.decontaminate import benchmark_overlaps
+from pagewatch.llm.jaccard import jaccard_classes
 from pagewatch.llm.toxicity import fit_toxicity, score_toxicity, training_rows
 
 
@@ -16,8 +18,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_overlaps(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op5_decontaminate": op5_decontaminate,
+    "op7_jaccard_join": op7_jaccard_join,
 }
 
 #: No operator of this subpackage can be expressed in SQL as a whole; tests compare them instead.
