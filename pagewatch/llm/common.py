@@ -6,6 +6,8 @@ columns cannot clash with its own. A null text counts as an empty one.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Texts are handled in slices of about so many characters, which bounds a worker's memory.
 SLICE_CHARS = 2_000_000
-#: Words that a worker remembers before it starts afresh. Only speed depends on it.
-CACHE_WORDS = 300_000
+#: Words that a Python worker remembers. Later ones are computed anew each time: only speed depends on it.
+CACHE_WORDS = 500_000
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -48,6 +50,15 @@ def slices(batch: pa.RecordBatch, text_at: int = 1) -> Iterator[tuple[pa.RecordB
             start, total = at + 1, 0
 
 
+def worker_memory(name: str) -> dict:
+    """A dictionary that lives as long as the Python worker, so tasks share what they remember.
+
+    Functions travel by value, so their modules' globals would start afresh with every task.
+    """
+    home = sys.modules.setdefault("_pagewatch_memory", types.ModuleType("_pagewatch_memory"))
+    return home.__dict__.setdefault(name, {})
+
+
 def word_hash(word: str) -> int:
     """64-bit hash of a word, equal in every process."""
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
@@ -57,9 +68,9 @@ class WordHashes(dict):
     """Word to 64-bit hash, computed once per word while it is remembered."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = word_hash(word)
+        value = word_hash(word)
+        if len(self) < CACHE_WORDS:
+            self[word] = value
         return value
 
     def of(self, words: list[str]) -> np.ndarray:

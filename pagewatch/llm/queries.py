@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pagewatch.llm.bpe import BpeCodec, encode_texts
 from pagewatch.llm.common import documents
 from pagewatch.llm.decontaminate import benchmark_overlaps
 from pagewatch.llm.jaccard import jaccard_classes
+from pagewatch.llm.pii import KINDS, find_pii, fit_pii, span_text
 from pagewatch.llm.toxicity import fit_toxicity, score_toxicity, training_rows
 
 
@@ -26,10 +31,43 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(documents(spark, sf_dir))
 
 
+@F.pandas_udf("string")
+def _sha256_of_ids(ids: pd.Series) -> pd.Series:
+    """Lower-case hex digest of the ids as little-endian unsigned 32-bit integers."""
+    return ids.map(lambda row: hashlib.sha256(row.astype("<u4").tobytes()).hexdigest())
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = BpeCodec.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    encoded = encode_texts(documents(spark, sf_dir), codec)
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        _sha256_of_ids("ids").alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = find_pii(docs, fit_pii(docs))
+    return found.select(
+        "doc_id",
+        *[
+            F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+            for kind in KINDS
+        ],
+        F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op7_jaccard_join": op7_jaccard_join,
+    "op9_bpe": op9_bpe,
+    "op10_pii": op10_pii,
 }
 
 #: No operator of this subpackage can be expressed in SQL as a whole; tests compare them instead.
