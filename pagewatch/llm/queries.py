@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pagewatch.llm.bpe import BpeCodec, encode_texts
 from pagewatch.llm.common import documents
 from pagewatch.llm.decontaminate import benchmark_overlaps
+from pagewatch.llm.hilbert import hilbert_shards
 from pagewatch.llm.jaccard import jaccard_classes
+from pagewatch.llm.multiset import edit_likeness
 from pagewatch.llm.pii import KINDS, find_pii, fit_pii, span_text
+from pagewatch.llm.token_counts import PieceCounter, token_counts
 from pagewatch.llm.toxicity import fit_toxicity, score_toxicity, training_rows
 
 
@@ -23,6 +26,21 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counter = PieceCounter.from_file(public_tokenizers.path("piece_bpe_32k.model"))
+    counted = token_counts(documents(spark, sf_dir), counter)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    sharded = hilbert_shards(docs, ["source", "lang", "n_chars"], 24)
+    return sharded.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "curve",
+    )
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_overlaps(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
@@ -37,6 +55,14 @@ def _sha256_of_ids(ids: pd.Series) -> pd.Series:
     return ids.map(lambda row: hashlib.sha256(row.astype("<u4").tobytes()).hexdigest())
 
 
+def op8_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = edit_likeness(documents(spark, sf_dir))
+    return made.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = BpeCodec.from_file(public_tokenizers.path("word_bpe_49k.json"))
     encoded = encode_texts(documents(spark, sf_dir), codec)
@@ -64,8 +90,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_token_counts": op2_token_counts,
+    "op3_hilbert_sharding": op3_hilbert_sharding,
     "op5_decontaminate": op5_decontaminate,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_multiset_hash": op8_multiset_hash,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
 }
