@@ -199,10 +199,10 @@ class BpeCodec:
 def encode_texts(docs: DataFrame, codec: BpeCodec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, ids array<int>, decoded string)`` of every row."""
 
-    name = f"bpe-{hashlib.sha1(codec.text.encode()).hexdigest()}"
+    version = hashlib.sha1(codec.text.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = worker_memory(name)
+        memory = worker_memory("bpe", version)
         for batch in batches:
             for part, texts in slices(batch):
                 ids = codec.encode_all(texts, memory)

@@ -50,13 +50,16 @@ def slices(batch: pa.RecordBatch, text_at: int = 1) -> Iterator[tuple[pa.RecordB
             start, total = at + 1, 0
 
 
-def worker_memory(name: str) -> dict:
+def worker_memory(kind: str, version: str) -> dict:
     """A dictionary that lives as long as the Python worker, so tasks share what they remember.
 
     Functions travel by value, so their modules' globals would start afresh with every task.
+    Only the newest version of a kind is kept.
     """
-    home = sys.modules.setdefault("_pagewatch_memory", types.ModuleType("_pagewatch_memory"))
-    return home.__dict__.setdefault(name, {})
+    home = sys.modules.setdefault("_pagewatch_memory", types.ModuleType("_pagewatch_memory")).__dict__
+    if home.get(kind, ("",))[0] != version:
+        home[kind] = (version, {})
+    return home[kind][1]
 
 
 def word_hash(word: str) -> int:

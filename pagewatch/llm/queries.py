@@ -10,14 +10,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewatch.llm.bpe import BpeCodec, encode_texts
-from pagewatch.llm.common import documents
+from pagewatch.llm.common import crc_bucket, documents
 from pagewatch.llm.decontaminate import benchmark_overlaps
 from pagewatch.llm.hilbert import hilbert_shards
 from pagewatch.llm.jaccard import jaccard_classes
 from pagewatch.llm.multiset import edit_likeness
 from pagewatch.llm.pii import KINDS, find_pii, fit_pii, span_text
+from pagewatch.llm.suffix_tree import score_texts
 from pagewatch.llm.token_counts import PieceCounter, token_counts
 from pagewatch.llm.toxicity import fit_toxicity, score_toxicity, training_rows
+from pagewatch.llm.warc import read_warc, write_warc
+from pagewatch.session import shared_dir
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,10 +44,29 @@ def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = score_texts(docs, docs.where(crc_bucket("doc_id", 7) != 2))
+    return scored.select(
+        "doc_id", (crc_bucket("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score",
+    )
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_overlaps(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    write_warc(documents(spark, sf_dir, "pages"), path)
+    page = lambda name: F.element_at(F.split(name, ":"), 3).cast("long")
+    return read_warc(spark, path).select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"),
+        page("refers_to").alias("refers_to"), "complete",
+    )
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(documents(spark, sf_dir))
 
@@ -92,7 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op3_hilbert_sharding": op3_hilbert_sharding,
+    "op4_suffix_tree": op4_suffix_tree,
     "op5_decontaminate": op5_decontaminate,
+    "op6_warc": op6_warc,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_multiset_hash": op8_multiset_hash,
     "op9_bpe": op9_bpe,

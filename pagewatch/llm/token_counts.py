@@ -162,10 +162,10 @@ class PieceCounter:
 
 def token_counts(docs: DataFrame, counter: PieceCounter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_tokens)`` of every row."""
-    name = f"pieces-{hashlib.sha1(counter.model).hexdigest()}"
+    version = hashlib.sha1(counter.model).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = worker_memory(name)
+        known = worker_memory("pieces", version)
         for batch in batches:
             for part, texts in slices(batch):
                 yield pa.RecordBatch.from_arrays(
