@@ -1,26 +1,28 @@
-"""Language-model scores from a probabilistic suffix tree, beside add-one unigram scores.
-
-Tokens are the words of a text (A-Z in lower case) and one end. The tree predicts a word symbol by symbol: its
-UTF-8 bytes, then the word's end; a text's end is a symbol of its own. A context is up to ``DEPTH`` symbols back, the word's
-beginning included. All training words are counted, with their frequencies, over the whole corpus.
-
-Contexts with a share of at least ``p_min`` of all symbols are candidates, so there are at most
-``(DEPTH + 1) / p_min`` of them, whatever the corpus's size. From short to long a candidate is retained if its
-next-symbol distribution diverges from that of its longest retained suffix: its count times the
-Kullback-Leibler divergence has to reach ``divergence`` nats. A retained context's distribution is smoothed
-with its suffix's, down to add-a-half over all symbols at the root. A symbol is predicted by
-the longest retained suffix of what precedes it.
-
-Unigram counts need every word. Words with a share of at least ``HEAD`` (at most ``1 / HEAD`` of them) are
-known to all tasks; the others go through a join, one row per document and word.
-
-Defined cases: null and empty texts are one end token. Without training rows the counts are zero and the tree is
-uniform. Repeated rows are scored each. Texts and words are read whole.
+"""Language-model scores from a probabilistic suffix tree over words, beside add-one unigram scores.
+
+Tokens are the words of a text (A-Z in lower case) and one end. A context is the last one to ``DEPTH`` tokens.
+The root predicts a token by its add-one unigram probability; every retained context has its own next-token
+distribution. Counts are taken over the whole training corpus, level by level: a context of length
+d + 1 and its successor can only be frequent if the shorter runs inside them are.
+
+Kept are runs of tokens with a share of at least ``SHARE`` of all training tokens, so a level
+has at most ``1 / SHARE`` runs, whatever the corpus, and the tree may be sent to all tasks. A context is
+retained if its next-token distribution diverges from its suffix's: the log-likelihood that it gains on its
+occurrences (their number times the Kullback-Leibler divergence) has to exceed ``log(n) / 2`` nats for each successor
+it stores. Smoothing: a stored successor's count is discounted by ``DISCOUNT``, and what this and the
+successors not stored leave is spread as the suffix's distribution. Scoring uses
+the longest retained suffix of what precedes a token.
+
+The probability of a token is its unigram probability times a factor that the tree alone decides, so
+scores need the unigram counts once. Words below ``SHARE`` get theirs from a join, one row per
+document and word; more frequent ones are known to all tasks.
+
+Defined cases: null and empty texts are one end token. Without training rows all counts are zero and
+both scores are those of the root. Repeated rows are scored each. Texts are read whole.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,19 +31,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pagewatch.llm.common import CACHE_WORDS, slices, worker_memory
+from pagewatch.llm.common import CACHE_WORDS, slices
 from pagewatch.sources.tables import materialize
 
-DEPTH = 5
-HEAD = 5e-6
-P_MIN = 2e-5
-DIVERGENCE = 8.0
-SMOOTHING = 4.0
+DEPTH = 2
+SHARE = 5e-6
+DISCOUNT = 0.5
+#: Runs seen more rarely are not kept either.
+MIN_COUNT = 3
 
-#: Symbols beside the 256 bytes: end of word, end of text, beginning of word (context only).
-WORD_END, TEXT_END, WORD_START = 256, 257, 258
-SYMBOLS = 258
-_BITS = 9
 #: The end token is the empty word, which no text holds.
 END = b""
 
@@ -51,90 +49,176 @@ def tokens(text: str) -> list[bytes]:
     return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def _streams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all words, each between its beginning and end, the word and the place of each symbol."""
-    lengths = np.array([len(w) + 2 for w in words])
-    owner = np.repeat(np.arange(len(words)), lengths)
+@dataclass(frozen=True)
+class Level:
+    """Runs of one length, as sorted keys ``index of the run without its last token * words + last token``.
+
+    ``count`` is how often a run was seen; ``gain`` is what it adds to the factor of its last token
+    after the others, ``rest`` (per context) the share of the suffix's factor that stays.
+    """
+
+    keys: np.ndarray
+    count: np.ndarray
+    gain: np.ndarray
+    rest: np.ndarray
+
+
+class HeadWords(dict):
+    """Frequent words and their numbers; -1 for all others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
+def _look_up(keys: np.ndarray, wanted: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """Index of each wanted key, -1 where it is absent or not valid."""
+    out = np.full(len(wanted), -1, np.int64)
+    if len(keys):
+        at = np.flatnonzero(valid)
+        found = np.minimum(np.searchsorted(keys, wanted[at]), len(keys) - 1)
+        hit = keys[found] == wanted[at]
+        out[at[hit]] = found[hit]
+    return out
+
+
+def _numbers(words: list[list[bytes]], head: HeadWords) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all tokens of some texts, and the place of each in its text."""
+    lengths = np.array([len(w) for w in words])
+    ids = np.fromiter((i for ws in words for i in map(head.__getitem__, ws)), np.int64, int(lengths.sum()))
     starts = np.cumsum(lengths) - lengths
-    place = np.arange(len(owner)) - starts[owner]
-    symbols = np.empty(len(owner), np.int64)
-    inner = (place > 0) & (place < lengths[owner] - 1)
-    symbols[inner] = np.frombuffer(b"".join(words), np.uint8)
-    symbols[starts] = WORD_START
-    symbols[starts + lengths - 1] = np.where(lengths == 2, TEXT_END, WORD_END)
-    return symbols, owner, place
+    return ids, np.arange(len(ids)) - np.repeat(starts, lengths)
 
 
-def _contexts(symbols: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
-    """Key of the ``depth`` symbols before each place; -1 if the word has fewer. The newest is in the lowest bits."""
-    key = np.zeros(len(symbols), np.int64)
-    for back in range(1, depth + 1):
-        shifted = np.concatenate([np.zeros(back, np.int64), symbols[:-back]])[: len(symbols)]
-        key |= shifted << (_BITS * (back - 1))
-    return np.where(place >= depth, key | (depth << (_BITS * DEPTH)), -1)
+def _runs(ids: np.ndarray, place: np.ndarray, levels: list[Level], n_words: int) -> list[np.ndarray]:
+    """For each length from 1 on the index of the kept run that ends at each token, or -1."""
+    out = [ids]
+    for length, level in enumerate(levels, 1):
+        before = np.concatenate([[-1], out[-1][:-1]])
+        valid = (place >= length) & (before >= 0) & (ids >= 0)
+        out.append(_look_up(level.keys, before * n_words + ids, valid))
+    return out
 
 
-def shorter(key: np.ndarray, depth: np.ndarray | int) -> np.ndarray:
-    """The context without its oldest symbol."""
-    return (key & ((1 << (_BITS * (depth - 1))) - 1)) | ((depth - 1) << (_BITS * DEPTH))
+def _count_runs(head: HeadWords, levels: list[Level]):
+    """Counts of the runs that are one token longer than those of the last level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_words = len(head)
+        for batch in batches:
+            for _, texts in slices(batch, 0):
+                ids, place = _numbers([tokens(t) for t in texts], head)
+                last = _runs(ids, place, levels, n_words)[-1]
+                before = np.concatenate([[-1], last[:-1]])
+                # Both shorter runs inside have to be kept, and the text must reach so far back.
+                use = (place > len(levels)) & (before >= 0) & (last >= 0)
+                keys, n = np.unique(before[use] * n_words + ids[use], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    return run
+
+
+def build_level(keys: np.ndarray, n: np.ndarray, n_words: int, context_count: np.ndarray, unigram: np.ndarray,
+                factor: np.ndarray) -> Level:
+    """Divergence test and smoothing of the contexts of one length.
+
+    ``context_count`` is how often each context was seen with a successor; ``factor`` is, for each key, what the
+    suffix's distribution makes of the last token, as a multiple of its unigram probability.
+    """
+    context, word = keys // n_words, keys % n_words
+    total = context_count.astype(float)
+    own = (n - DISCOUNT) / total[context]
+    rest = 1.0 - np.bincount(context, own, len(total))
+    new = own / unigram[word] + rest[context] * factor
+    stored = np.bincount(context, minlength=len(total))
+    other = total - np.bincount(context, n, len(total))
+    gain = np.bincount(context, n * np.log(new / factor), len(total)) + other * np.log(np.maximum(rest, 1e-300))
+    retained = (stored > 0) & (gain > 0.5 * np.log(np.maximum(total, 1)) * stored)
+    return Level(keys, n, np.where(retained[context], own / unigram[word], 0.0), np.where(retained, rest, 1.0))
 
 
 @dataclass(frozen=True)
 class SuffixTree:
-    """Sorted keys of the retained contexts, the column of each symbol, and log10 probabilities."""
-
-    keys: np.ndarray
-    column: np.ndarray
-    log10: np.ndarray
-
-    def word_scores(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word with its end."""
-        if not words:
-            return np.zeros(0)
-        symbols, owner, place = _streams(words)
-        state = np.full(len(symbols), -1)
-        for depth in range(DEPTH, -1, -1):
-            open_ = np.flatnonzero((state < 0) & (place >= max(depth, 1)))
-            key = _contexts(symbols, place, depth)[open_]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            state[open_[hit]] = at[hit]
-        real = place > 0
-        values = self.log10[state[real], self.column[symbols[real]]]
-        return np.bincount(owner[real], values, len(words))
-
-
-def build_tree(context: np.ndarray, symbol: np.ndarray, count: np.ndarray,
-               divergence: float = DIVERGENCE, smoothing: float = SMOOTHING) -> SuffixTree:
-    """Retain and smooth contexts, given the counts of (context, next symbol) of all candidates."""
-    total = np.zeros(SYMBOLS)
-    root = context == 0
-    np.add.at(total, symbol[root], count[root])
-    seen = np.flatnonzero(total)
-    column = np.full(SYMBOLS, len(seen))
-    column[seen] = np.arange(len(seen))
-    base = (total + 0.5) / (total.sum() + 0.5 * SYMBOLS)
-    # All unseen symbols have the same probability everywhere: one column for them.
-    rows = {0: np.append(base[seen], 0.5 / (total.sum() + 0.5 * SYMBOLS))}
-    order = np.argsort(context, kind="stable")  # the depth is in the highest bits
-    context, symbol, count = context[order], symbol[order], count[order]
-    cuts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1], [True]]))
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        key = suffix = int(context[a])
-        if not key:
-            continue
-        while True:
-            suffix = int(shorter(np.int64(suffix), suffix >> (_BITS * DEPTH)))
-            if suffix in rows:
-                break
-        parent, at, n = rows[suffix], column[symbol[a:b]], count[a:b].astype(float)
-        gain = (n * np.log(n / n.sum() / parent[at])).sum()
-        if gain >= divergence:
-            mixed = smoothing * parent
-            mixed[at] += n
-            rows[key] = mixed / (n.sum() + smoothing)
-    keys = np.array(sorted(rows), np.int64)
-    return SuffixTree(keys, column, np.log10(np.stack([rows[k] for k in keys.tolist()])).astype(np.float32))
+    """Frequent words with their unigram probabilities, and the levels of the tree."""
+
+    head: HeadWords
+    unigram: np.ndarray
+    levels: list[Level]
+
+    def factors(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all tokens, and of each the factor by which its context changes its probability."""
+        ids, place = _numbers(words, self.head)
+        runs = _runs(ids, place, self.levels, len(self.head))
+        factor = np.ones(len(ids))
+        for length, level in enumerate(self.levels, 1):
+            context = np.concatenate([[-1], runs[length - 1][:-1]])
+            known = (place >= length) & (context >= 0)
+            factor[known] *= level.rest[context[known]]
+            hit = runs[length] >= 0
+            factor[hit] += level.gain[runs[length][hit]]
+        return ids, factor
+
+
+def fit_tree(train: DataFrame, counts: DataFrame, text_col: str = "text", depth: int = DEPTH,
+             share: float = SHARE) -> tuple[SuffixTree, int, int]:
+    """The tree of a training corpus whose word counts are given, its tokens and its distinct tokens."""
+    sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    total, distinct = sums["n"] or 0, sums["v"]
+    least = max(MIN_COUNT, share * total)
+    rows = counts.where(F.col("n") >= least).toArrow()  # at most 1 / share rows
+    order = sorted(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist()))
+    head = HeadWords((w, i) for i, (w, _) in enumerate(order))
+    seen = np.array([n for _, n in order], np.int64)
+    unigram = (seen + 1) / (total + distinct + 1)
+    levels: list[Level] = []
+    for length in range(1, depth + 1):
+        # The end is no context. Of a run that is not the end, every occurrence has a successor.
+        found = (
+            train.select(F.col(text_col)).mapInArrow(_count_runs(head, levels), "key long, n long")
+            .groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy("key").toArrow()
+        )
+        keys, n = (found.column(c).to_numpy() for c in ("key", "n"))
+        if length == 1:
+            context_count, factor = seen, np.ones(len(keys))
+        else:
+            above = levels[-1]
+            context_count = above.count
+            # The suffix of (run, word) is (run without its first token, word): a run of the level above.
+            suffix = _suffix_runs(levels, keys, len(head))
+            factor = _suffix_factors(levels, suffix, keys, len(head))
+        levels.append(build_level(keys, n, len(head), context_count, unigram, factor))
+    return SuffixTree(head, unigram, levels), total, distinct
+
+
+def _words_of(levels: list[Level], keys: np.ndarray, n_words: int) -> list[np.ndarray]:
+    """The tokens of runs, given by keys of the level after ``levels``."""
+    out = [keys % n_words]
+    index = keys // n_words
+    for level in reversed(levels):
+        out.append(level.keys[index] % n_words)
+        index = level.keys[index] // n_words
+    return [index, *reversed(out)]
+
+
+def _suffix_runs(levels: list[Level], keys: np.ndarray, n_words: int) -> list[np.ndarray]:
+    """For runs of the next level: the index, at each level, of the run of that level that they end with."""
+    words = _words_of(levels, keys, n_words)
+    out = []
+    for length in range(1, len(levels) + 1):
+        index = words[-length - 1]
+        for level, word in zip(levels[:length], words[len(words) - length :]):
+            index = _look_up(level.keys, index * n_words + word, index >= 0)
+        out.append(index)
+    return out
+
+
+def _suffix_factors(levels: list[Level], suffix: list[np.ndarray], keys: np.ndarray, n_words: int) -> np.ndarray:
+    """The factor that the levels above give to the last token of each run."""
+    factor = np.ones(len(keys))
+    for level, index in zip(levels, suffix):
+        # Kept runs consist of kept runs, so every index is found.
+        context = level.keys[index] // n_words
+        factor = factor * level.rest[context] + level.gain[index]
+    return factor
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -159,105 +243,63 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col)).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (context, next symbol) at all depths, combined per batch of words."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-        symbols, owner, place = _streams(words)
-        weight = n[owner]
-        for depth in range(DEPTH + 1):
-            key = _contexts(symbols, place, depth)
-            use = (key >= 0) & (place > 0)
-            pair, inverse = np.unique((key[use] << _BITS) | symbols[use], return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pair >> _BITS), pa.array((pair & ((1 << _BITS) - 1)).astype(np.int32)),
-                 pa.array(np.bincount(inverse, weight[use], len(pair)).astype(np.int64))],
-                ["context", "symbol", "n"])
-
-
-def fit_tree(counts: DataFrame, p_min: float = P_MIN) -> SuffixTree:
-    """Tree of a table of word counts."""
-    pairs = materialize(
-        counts.mapInArrow(_count_contexts, "context long, symbol int, n long")
-        .groupBy("context", "symbol").agg(F.sum("n").alias("n")),
-        "contexts",
-    )
-    total = pairs.where("context = 0").agg(F.sum("n")).first()[0] or 0
-    often = pairs.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= p_min * total)
-    kept = pairs.join(often.select("context"), "context").toArrow()
-    return build_tree(*(kept.column(c).to_numpy() for c in ("context", "symbol", "n")))
-
-
 def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_tokens, n_known, train_tokens, base_score, score)`` of every row of ``docs``,
     learned from ``train``."""
     counts = materialize(count_words(train, text_col), "words")
-    sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n_train, distinct = sums["n"] or 0, sums["v"]
-    tree = fit_tree(counts)
-    # At most 1 / HEAD words, whatever the corpus.
-    head_rows = counts.where(F.col("n") >= max(2, HEAD * n_train)).toArrow()
-    head = dict(zip(head_rows.column("word").to_pylist(), np.log10(head_rows.column("n").to_numpy() + 1.0).tolist()))
-    version = uuid.uuid4().hex
+    tree, n_train, distinct = fit_tree(train, counts, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = worker_memory("suffix_tree", version)
+        logs = np.append(np.log10(tree.unigram), 0.0)  # the last is for number -1
         for batch in batches:
             for part, texts in slices(batch, 2):
                 words = [tokens(t) for t in texts]
-                fresh = list({w for ws in words for w in ws if w not in known})
-                now = dict(zip(fresh, tree.word_scores(fresh).tolist()))
-                if len(known) < CACHE_WORDS:
-                    known.update(now)
-                    score_of = known.__getitem__
-                else:
-                    def score_of(w, now=now):
-                        return known[w] if w in known else now[w]
+                ids, factor = tree.factors(words)
                 serials = part.column(0).to_pylist()
+                lengths = np.array([len(ws) for ws in words])
+                owner = np.repeat(np.arange(len(words)), lengths)
+                known = np.bincount(owner, ids >= 0, len(words)).astype(np.int64)
+                base = np.bincount(owner, logs[ids], len(words))
+                more = np.bincount(owner, np.log10(factor), len(words))
                 rare_serial, rare_word, rare_n = [], [], []
-                score, known_n, base = [], [], []
+                start = 0
                 for serial, ws in zip(serials, words):
-                    score.append(sum(map(score_of, ws)))
-                    logs = list(map(head.get, ws))
-                    rare = Counter([w for w, x in zip(ws, logs) if x is None])
+                    rare = Counter([ws[i] for i in np.flatnonzero(ids[start : start + len(ws)] < 0).tolist()])
+                    start += len(ws)
                     rare_serial += [serial] * len(rare)
                     rare_word += rare.keys()
                     rare_n += rare.values()
-                    known_n.append(len(ws) - rare.total())
-                    base.append(sum(x for x in logs if x is not None))
-                n, m = len(words), len(rare_word)
+                m = len(rare_word)
                 # A document's own row has a name that no word has, for it holds a space.
                 names = [b" %d" % s for s in serials]
-                rows = [
-                    pa.array(serials + rare_serial, pa.int64()),
-                    pa.concat_arrays([part.column(1), pa.nulls(m, part.column(1).type)]),
-                    pa.array(names + rare_word, pa.binary()),
-                    pa.array([0] * n + rare_n, pa.int64()),
-                    pa.array([len(ws) for ws in words] + [None] * m, pa.int64()),
-                    pa.array(known_n + [None] * m, pa.int64()),
-                    pa.array(base + [None] * m, pa.float64()),
-                    pa.array(score + [None] * m, pa.float64()),
-                ]
                 yield pa.RecordBatch.from_arrays(
-                    rows, ["serial", "id", "word", "k", "n_tokens", "known", "base", "score"])
+                    [
+                        pa.array(serials + rare_serial, pa.int64()),
+                        pa.concat_arrays([part.column(1), pa.nulls(m, part.column(1).type)]),
+                        pa.array(names + rare_word, pa.binary()),
+                        pa.array([0] * len(words) + rare_n, pa.int64()),
+                        pa.array([*lengths.tolist(), *[None] * m], pa.int64()),
+                        pa.array([*known.tolist(), *[None] * m], pa.int64()),
+                        pa.array([*base.tolist(), *[None] * m], pa.float64()),
+                        pa.array([*more.tolist(), *[None] * m], pa.float64()),
+                    ],
+                    ["serial", "id", "word", "k", "n_tokens", "known", "base", "more"])
 
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     read = docs.select(F.monotonically_increasing_id().alias("serial"), F.col(id_col), F.col(text_col)).mapInArrow(
-        run,
-        f"serial long, id {kind}, word binary, k long, n_tokens long, known long, base double, score double",
+        run, f"serial long, id {kind}, word binary, k long, n_tokens long, known long, base double, more double"
     )
     joined = read.join(counts, "word", "left")
-    rare_base = F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 1)
+    unseen = float(-np.log10(n_train + distinct + 1))
+    rare_base = F.col("k") * (F.log10(F.coalesce("n", F.lit(0)) + 1) + unseen)
     rare_known = F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)
     return joined.groupBy("serial").agg(
         F.max("id").alias(id_col),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.coalesce("known", F.lit(0)) + rare_known).alias("n_known"),
-        F.sum(F.coalesce("base", F.lit(0.0)) + rare_base).alias("base"),
-        F.sum("score").alias("score"),
+        F.sum(F.coalesce("base", F.lit(0.0)) + rare_base).alias("base_score"),
+        F.sum("more").alias("more"),
     ).select(
-        id_col, "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * float(np.log10(n_train + distinct + 1))).alias("base_score"), "score",
+        id_col, "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score",
+        (F.col("base_score") + F.col("more")).alias("score"),
     )
