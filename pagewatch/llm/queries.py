@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import pandas as pd
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagewatch.llm.bpe import BpeCodec, encode_texts
 from pagewatch.llm.common import crc_bucket, documents
@@ -96,15 +96,16 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _spans_of_kind(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = find_pii(docs, fit_pii(docs))
     return found.select(
         "doc_id",
-        *[
-            F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-            for kind in KINDS
-        ],
+        *[_spans_of_kind("base", kind).alias(f"n_{kind}") for kind in KINDS],
         F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
         span_text(F.col("spans")).alias("spans"),
     )
