@@ -53,8 +53,8 @@ def seeds(hashes: np.ndarray, masks: list[str]) -> np.ndarray:
         total = np.full(n, int(mask, 2) + (len(mask) << 32), np.uint64)
         for i, bit in enumerate(mask):
             if bit == "1":
-                total = mix(total + hashes[i : i + n])
-        out.append(np.stack([total, np.arange(n, dtype=np.uint64)]))
+                total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
+        out.append(np.stack([mix(total), np.arange(n, dtype=np.uint64)]))
     return np.concatenate(out, axis=1)
 
 

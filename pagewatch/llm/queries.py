@@ -71,18 +71,14 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(documents(spark, sf_dir))
 
 
-@F.pandas_udf("string")
-def _sha256_of_ids(ids: pd.Series) -> pd.Series:
+def _sha256_of_ids(ids: str) -> Column:
     """Lower-case hex digest of the ids as little-endian unsigned 32-bit integers."""
-    return ids.map(lambda row: hashlib.sha256(row.astype("<u4").tobytes()).hexdigest())
 
+    @F.pandas_udf("string")
+    def digest(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda row: hashlib.sha256(row.astype("<u4").tobytes()).hexdigest())
 
-def op8_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = edit_likeness(documents(spark, sf_dir))
-    return made.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
-    )
+    return digest(ids)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
