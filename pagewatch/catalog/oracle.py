@@ -492,9 +492,10 @@ def _lists() -> None:
 
 
 def _late_sql() -> str:
-    """Captures of cycle 2 whose key cycle 3 did not write: only those are compared."""
+    """Captures of cycle 2 whose key cycle 3 did not write are compared, the others are late."""
     key = norm("final_url")
     return (
+        f"SELECT url, captured_at, 'late' FROM src WHERE cycle_no=2 AND {key} IN (SELECT {key} FROM src WHERE cycle_no=3) UNION ALL "
         f"SELECT url, captured_at, 'compared' FROM src WHERE cycle_no=2 AND {key} NOT IN (SELECT {key} FROM src WHERE cycle_no=3) "
         f"UNION ALL SELECT arg_max(url, ordinal), max(captured_at), 'state' FROM src WHERE cycle_no=2 AND {key} NOT IN (SELECT {key} FROM src WHERE cycle_no=3) GROUP BY {key}")
 

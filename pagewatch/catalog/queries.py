@@ -762,11 +762,13 @@ def j4(spark, sf_dir):
 
 @query("j5_late_capture_rule")
 def j5(spark, sf_dir):
-    """Cycle 3 is stored first; of cycle 2, which comes late, nothing is compared or kept."""
+    """Cycle 3 is stored first; cycle 2 comes late: its rows stay, but are compared with nothing and not kept."""
     store = PageState(spark, shared_dir(spark, "page-state"))
     captures = D.page_captures(spark, sf_dir)
     run_batch(captures.where("cycle_no = 3"), store, 0)
     late = run_batch(captures.where("cycle_no = 2"), store, 1)
     kept = store.read().select("url", "captured_at", F.lit("state").alias("kind"))
-    compared = late.select("url", "captured_at", F.lit("compared").alias("kind"))
+    compared = late.select(
+        "url", "captured_at", F.when(F.col("is_late"), "late").otherwise("compared").alias("kind")
+    )
     return kept.unionByName(compared)

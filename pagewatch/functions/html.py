@@ -25,7 +25,8 @@ _CHROME = (
 
 _ATTR_NAME = r"[^\s=>\"'/]+"
 _ATTR_VALUE = r"(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
-_ATTRS_BEFORE = rf"(?:[\s/]+{_ATTR_NAME}(?:\s*=\s*{_ATTR_VALUE})?)*"
+# One attribute with the space before it. Possessive throughout: a tag may have any number of them.
+_ATTR = rf"[\s/]++{_ATTR_NAME}+(?:\s*+=\s*+{_ATTR_VALUE})?+"
 
 
 def visible_document(html: Column) -> Column:
@@ -52,11 +53,18 @@ def start_tags(document: Column, name: str) -> Column:
 
 
 def raw_attribute(tag: Column, name: str) -> Column:
-    """Attribute value as written, without quotes: null if absent, '' if it has no value."""
-    # Earlier attributes are consumed whole, so a name inside another value cannot match.
-    upto = rf"(?is)^<[a-z][^\s/>]*{_ATTRS_BEFORE}[\s/]+{name}(?:\s*=\s*{_ATTR_VALUE}|(?=[\s/>]))"
-    tail = rf"(?is)[\s/]{name}\s*(?:=\s*({_ATTR_VALUE}))?$"
-    value = F.regexp_extract(F.regexp_substr(tag, F.lit(upto)), tail, 1)
+    """Attribute value as written, without quotes: null if absent, '' if it has no value.
+
+    The attributes are listed one after the other, so a name inside another value cannot
+    match, and the depth of the match does not grow with their number. The last of a name counts.
+    """
+    listed = F.regexp_extract_all(
+        F.regexp_replace(tag, r"(?is)^<[a-z][^\s/>]*+", ""), F.lit(rf"(?is)\G{_ATTR}"), F.lit(0)
+    )
+    named = F.filter(listed, lambda a: a.rlike(rf"(?is)^[\s/]+{name}(?:\s*=|$)"))
+    value = F.regexp_extract(
+        F.try_element_at(named, F.lit(-1)), rf"(?is)^[\s/]+{name}\s*(?:=\s*({_ATTR_VALUE}))?$", 1
+    )
     return F.regexp_replace(value, r"^[\"']|[\"']$", "")
 
 
@@ -287,7 +295,7 @@ def has_tag(names: Column, *tags: str) -> Column:
 
 def has_main_content(reduced: Column, names: Column) -> Column:
     by_class = reduced.rlike(
-        rf"(?is)<[a-z][^\s/>]*{_ATTRS_BEFORE}[\s/]+class\s*=\s*"
+        rf"(?is)<[a-z][^\s/>]*+(?:(?![\s/]+class\s*=){_ATTR})*+[\s/]++class\s*=\s*"
         r"(?:\"[^\"]*(?:content|main)|'[^']*(?:content|main)|[^\s\"'>]*(?:content|main))"
     )
     return has_tag(names, "main", "article") | by_class

@@ -53,7 +53,8 @@ def _card_of(text: str | None) -> str | None:
         else:
             children = node if isinstance(node, list) else []
         pending.extend(reversed(children))
-    texts = {field: _compact(value) for field, value in card.items()}
+    # A JSON null is no value: a field that turns into null has gone, not changed.
+    texts = {field: _compact(value) for field, value in card.items() if value is not None}
     return json.dumps(texts, ensure_ascii=False)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column, functions as F
 
@@ -126,17 +126,40 @@ def _entity_table() -> Column:
     return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
 
 
+def _all_entities() -> Column:
+    """All names of HTML 5. A map is searched entry by entry, so this one is asked second."""
+    table = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+
+
+def _windows_1252(code: int) -> str:
+    try:
+        return bytes([code]).decode("cp1252")
+    except UnicodeDecodeError:
+        return chr(code)
+
+
 def _code_point(code: Column) -> Column:
+    """Character of a code; 128 to 159 mean Windows-1252, as HTML readers take them."""
     valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     encoded = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    return F.when(valid, encoded).otherwise(F.lit("�"))
+    windows = F.array(*[F.lit(_windows_1252(c)) for c in range(128, 160)])
+    return (
+        F.when(code.between(128, 159), F.get(windows, (code - 128).cast("int")))
+        .when(valid, encoded).otherwise(F.lit("\ufffd"))
+    )
 
 
 def _decode_number(piece: Column) -> Column:
-    number = r"^#(?:[0-9]{1,9}|[xX][0-9a-fA-F]{1,8});?"
-    digits = F.regexp_extract(piece, r"^#([0-9]{1,9})", 1)
-    hexes = F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]{1,8})", 1)
-    code = F.when(hexes != "", F.conv(hexes, 16, 10)).otherwise(digits).try_cast("bigint")
+    number = r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?"
+    # All digits count; without leading zeros, more than seven are beyond the last code point.
+    digits = F.regexp_extract(piece, r"^#0*([0-9]+)", 1)
+    hexes = F.regexp_extract(piece, r"^#[xX]0*([0-9a-fA-F]+)", 1)
+    code = (
+        F.when((F.length(digits) > 7) | (F.length(hexes) > 7), F.lit(0x110000).cast("bigint"))
+        .when(hexes != "", F.conv(hexes, 16, 10).try_cast("bigint"))
+        .otherwise(digits.try_cast("bigint"))
+    )
     return F.when(
         piece.rlike(number), F.concat(_code_point(code), F.regexp_replace(piece, number, ""))
     ).otherwise(F.concat(F.lit("&"), piece))
@@ -145,7 +168,7 @@ def _decode_number(piece: Column) -> Column:
 def _decode_pieces(pieces: Column, keep_unknown: bool) -> Column:
     """Decode the parts of a text that follow an '&' each; the first part follows none."""
     name = r"^([a-zA-Z][a-zA-Z0-9]*);" if keep_unknown else r"^([a-zA-Z][-.a-zA-Z0-9]*);?"
-    table = _entity_table()
+    table, every = _entity_table(), _all_entities()
     # Values are bound step by step, because a lambda evaluates each mention again.
     named = F.transform(
         pieces,
@@ -155,7 +178,7 @@ def _decode_pieces(pieces: Column, keep_unknown: bool) -> Column:
     )
     looked_up = F.transform(
         named,
-        lambda n: F.struct(n["text"].alias("text"), n["word"].alias("word"), table[n["word"]].alias("known")),
+        lambda n: F.struct(n["text"].alias("text"), n["word"].alias("word"), F.coalesce(table[n["word"]], every[n["word"]]).alias("known")),
     )
     unknown = lambda n: n["text"] if keep_unknown else F.regexp_replace(n["text"], name, "$1")
     return F.transform(

@@ -136,11 +136,11 @@ def _declared_keys(slim: DataFrame, open_captures: DataFrame, chunks: DataFrame
         | (F.col("inserted") <= F.col("lasting.inserted"))
         | (F.col("start") < F.col("lasting.start"))
     )
-    asked = open_captures.select(normalize_url(F.col("url")).alias("declared"), *ORDER)
+    asked = open_captures.select("url", normalize_url(F.col("url")).alias("declared"), *ORDER)
     matches = asked.join(useful, "declared").where(
         (F.col("start") < position) & (F.col("end").isNull() | (position <= F.col("end")))
     )
-    return matches.groupBy(*ORDER).agg(F.min_by("history_key", "inserted").alias("declared_key"))
+    return matches.groupBy("url", *ORDER).agg(F.min_by("history_key", "inserted").alias("declared_key"))
 
 
 def pair_with_previous(
@@ -200,18 +200,11 @@ def pair_with_previous(
     resolved = asked.join(_candidates(slim), "url", "left").withColumn(
         "key", F.get(F.filter("candidates", lambda c: c["first"] < position), F.lit(0))["key"]
     )
-    # Most logs declare nothing but their own keys. One cheap look saves the whole last tier.
-    foreign = slim.where(
-        (F.col("declared_final") != F.col("history_key"))
-        | ((F.col("declared_canonical") != F.col("history_key")) & ~F.startswith("declared_canonical", F.lit("http:///")))
+    # The tier is part of the plan for every log; where nothing is declared its joins are empty.
+    declared = _declared_keys(slim, resolved.where(F.col("key").isNull()), chunks)
+    found = resolved.join(declared, ["url", *ORDER], "left").select(
+        "url", *ORDER, F.coalesce("key", "declared_key").alias("_found")
     )
-    if foreign.isEmpty():
-        found = resolved.select(*ORDER, F.col("key").alias("_found"))
-    else:
-        declared = _declared_keys(slim, resolved.where(F.col("key").isNull()), chunks)
-        found = resolved.join(declared, ORDER, "left").select(
-            *ORDER, F.coalesce("key", "declared_key").alias("_found")
-        )
 
     def role(group: Column, writes: bool, reads: bool) -> Column:
         return F.struct(
@@ -226,7 +219,7 @@ def pair_with_previous(
         key.isNull() | (key == own), F.array(role(own, True, True))
     ).otherwise(F.array(role(own, True, False), role(key, False, True)))
     events = (
-        rows.join(found, ORDER, "left")
+        rows.join(found, ["url", *ORDER], "left")
         .select(*keep, "_seq", "is_late", "cur", "_found", F.inline(roles))
     )
     if stored is not None:

@@ -23,9 +23,11 @@ def replay_changes(
     rule_sets: list[RuleSet] | None = None,
     policy: SkewPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
-    """All captures of a log with their changes; captures that changed nothing have none."""
-    pairs = pair_with_previous(records, state, policy).where("NOT is_late")
-    return with_changes(pairs, limits, rule_sets)
+    """All captures of a log with their changes; captures that changed nothing have none.
+
+    A capture older than the state of its key is kept, without changes and with ``is_late``.
+    """
+    return with_changes(pair_with_previous(records, state, policy), limits, rule_sets)
 
 
 def run_batch(

@@ -21,6 +21,8 @@ def local_session(cores: int = 8, app_name: str = "pagewatch") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Of a repeated key in a JSON object the last value counts; without this such a text is no JSON.
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
         # Call sites of every column expression are costly to record and only help debugging.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()

@@ -199,3 +199,14 @@ def test_numbering_of_hot_group(spark):
 def test_even_groups_are_not_cut(spark):
     rows = spark.range(1000).select((F.col("id") % 100).alias("g"), "id")
     assert plan_chunks(rows, "g", ["id"], policy=SkewPolicy(min_rows=20)) is None
+
+
+def test_declared_tier_does_not_depend_on_other_rows(spark):
+    rows = [capture("http://a.example/x", 1, canonical="/p/1"), capture("/p/1", 2)]
+    unrelated = [capture("http://b.example/y", 3, canonical="http://c.example/z")]
+
+    def pairs(given):
+        records = spark.createDataFrame(given, SCHEMA)
+        return {r[0]: r[1] for r in pair_with_previous(records).select("ordinal", "prev.ordinal").collect()}
+
+    assert pairs(rows)[2] == pairs(rows + unrelated)[2] == loop(rows)[2]
