@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pagewatch.llm.common import texts_of
+from pagewatch.llm.common import slices
 
 DENSE = 64
 GROUPS = 256
@@ -112,8 +112,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [Fingerprint.of(t).hex() for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], ["id", "fingerprint"])
+            for part, texts in slices(batch):
+                made = [Fingerprint.of(t).hex() for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.string())], ["id", "fingerprint"])
 
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(
@@ -180,11 +181,10 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row that waits for its next one: part, id, text, fingerprint
-        for batch in batches:
+        known: dict[str, tuple] = {}
+        for part_rows, texts in (piece for batch in batches for piece in slices(batch, 3)):
             out = []
-            texts = texts_of(batch.column(3))
-            known: dict[str, tuple] = {}
-            for at, (part, own, key) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)))):
+            for at, (part, own, key) in enumerate(zip(*(part_rows.column(i).to_pylist() for i in range(3)))):
                 text = texts[at]
                 mark = Fingerprint.of(text, known)
                 if held and held[0] == part:
@@ -193,7 +193,7 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     out.append((held[1], len(held[2]), changed, held[3].hex(), after.hex(),
                                 held[3].likeness(after), held[3].likeness(mark)))
                 held = (part, key, text, mark) if own else None
-                if len(known) > 50_000:
+                if len(known) > 20_000:
                     known.clear()
             columns = list(zip(*out)) or [()] * 7
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
