@@ -44,12 +44,10 @@ class PageState:
         paths = [f"{self.root}/full-{v}" for v in full] + [f"{self.root}/delta-{v}" for v in deltas]
         if not paths:
             return None
-        # Union by folder keeps one schema, the one written; the newest record per key wins.
-        parts = [self.spark.read.parquet(p) for p in paths]
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part)
-        return rows if len(parts) == 1 else _newest(rows)
+        # All folders were written with one schema: one of them tells it, and one read takes all.
+        schema = self.spark.read.parquet(paths[-1]).schema
+        rows = self.spark.read.schema(schema).parquet(*paths)
+        return rows if len(paths) == 1 else _newest(rows)
 
     def write(self, records: DataFrame, version: int) -> None:
         """Store the records of one batch. Writing a version again replaces it."""
