@@ -22,11 +22,10 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagewatch.llm.common import texts_of
+from pagewatch.sources.tables import materialize
 
 VERSION = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -115,7 +114,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     )
     # Grouped on digests alone: equal bodies meet in a partial aggregate, however many there are.
     keepers = rows.where("same IS NOT NULL").groupBy("same").agg(F.max("page").alias("keeper"), F.count("*").alias("n"))
-    keepers = keepers.where("n > 1").drop("n")
+    # As a table its size is known, so the join sends it to all tasks if it is small and only else moves bodies.
+    keepers = materialize(keepers.where("n > 1").drop("n"), "keepers")
     joined = rows.join(keepers, "same", "left").select(
         F.col("page").cast("string"), F.col("keeper").cast("string"), "url", "body",
         F.monotonically_increasing_id().alias("serial"),
