@@ -15,6 +15,7 @@ treated each; texts are read whole, in any length.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -213,19 +214,29 @@ def fit_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
         .mapInArrow(read, "id string, start int, codes binary, tags binary")
         .orderBy(F.xxhash64("id", "start"), "id", "start", "codes")
-        .limit(max_windows).toArrow()
+        .limit(max_windows)
     )
-    codes = [np.frombuffer(x, np.int8) for x in windows.column("codes").to_pylist()]
-    tags = [np.frombuffer(x, np.int8) for x in windows.column("tags").to_pylist()]
+    # The bounded sample is fitted in one task, where numpy keeps to the task's own core.
+    fitted = windows.select("codes", "tags").mapInArrow(_fit, "model binary").first()
+    return PiiModel(Tagger(**pickle.loads(bytes(fitted["model"]))) if fitted else None)
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codes: list[np.ndarray] = []
+    tags: list[np.ndarray] = []
+    for batch in batches:
+        codes += [np.frombuffer(x, np.int8) for x in batch.column(0).to_pylist()]
+        tags += [np.frombuffer(x, np.int8) for x in batch.column(1).to_pylist()]
     if not any(t.any() for t in tags):
-        return PiiModel(None)
+        return
     more = [pair for c, t in zip(codes, tags) for pair in _more_forms(c, t)]
-    codes = np.stack(codes + [c for c, _ in more])
-    tags = np.stack(tags + [t for _, t in more])
+    x = np.stack(codes + [c for c, _ in more])
+    y = np.stack(tags + [t for _, t in more])
     # A window may begin inside a span; its first tag then counts as the beginning.
-    inner = (tags[:, 0] > 0) & (tags[:, 0] % 2 == 0)
-    tags[inner, 0] -= 1
-    return PiiModel(train(codes, tags, CLASSES, N_TAGS, FORBIDDEN))
+    inner = (y[:, 0] > 0) & (y[:, 0] % 2 == 0)
+    y[inner, 0] -= 1
+    tagger = train(x, y, CLASSES, N_TAGS, FORBIDDEN)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(tagger))], pa.binary())], ["model"])
 
 
 def _spans_of(tags: np.ndarray, offset: int) -> Iterator[Span]:
