@@ -5,6 +5,8 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from pagewatch.catalog.oracle import ORACLES
+from pagewatch.catalog.queries import QUERIES
 from tools.compare import compare, connect
 
 QUICK = [
@@ -16,7 +18,7 @@ QUICK = [
     "h28_document_fingerprint", "h29_model_card_fields", "i12_linked_document_changes",
     "i_all_changes", "j2_stateful_numeric_diff",
 ]
-NAMES = list(entry.queries()) if os.environ.get("PAGEWATCH_ALL") else QUICK
+NAMES = list(QUERIES) if os.environ.get("PAGEWATCH_ALL") else QUICK
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +33,8 @@ def test_query_equals_sql(spark, con, sf_dir, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
