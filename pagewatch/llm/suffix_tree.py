@@ -5,17 +5,21 @@ The root predicts a token by its add-one unigram probability; every retained con
 distribution. Counts are taken over the whole training corpus, level by level: a context of length
 d + 1 and its successor can only be frequent if the shorter runs inside them are.
 
-Kept are runs of tokens with a share of at least ``SHARE`` of all training tokens, so a level
-has at most ``1 / SHARE`` runs, whatever the corpus, and the tree may be sent to all tasks. A context is
-retained if its next-token distribution diverges from its suffix's: the log-likelihood that it gains on its
-occurrences (their number times the Kullback-Leibler divergence) has to exceed ``log(n) / 2`` nats for each successor
-it stores. Smoothing: a stored successor's count is discounted by ``DISCOUNT``, and what this and the
-successors not stored leave is spread as the suffix's distribution. Scoring uses
+Kept are the runs of tokens that were seen ``MIN_COUNT`` times or more, whatever their share, so the tree grows with
+the corpus; words and levels are tables. A context is retained if its next-token distribution diverges from its
+suffix's: the log-likelihood that it gains on its occurrences (their number times the Kullback-Leibler divergence) has
+to exceed ``log(n) / 2`` nats for each successor it stores. Smoothing: a stored successor's count is discounted by
+``DISCOUNT``, and what this and the successors not stored leave is spread as the suffix's distribution. Scoring uses
 the longest retained suffix of what precedes a token.
 
-The probability of a token is its unigram probability times a factor that the tree alone decides, so
-scores need the unigram counts once. Words below ``SHARE`` get theirs from a join, one row per
-document and word; more frequent ones are known to all tasks.
+The probability of a token is its unigram probability times a factor that the tree alone decides. The factor's logarithm
+is a sum: each context of a token adds ``rest``, what it leaves to its suffix, and each stored run that ends with
+the token adds ``gain``, what the run has above that. So a text's score is its base plus one value for each run that it holds,
+and the values come from a join of one row per document and run. Two tables of fixed size spare most rows the join: the
+runs and words above ``SHARE`` (at most ``1 / SHARE`` of a length) are known to all tasks, which also keeps hot keys out of the
+join, and a bit table drops runs that have no value. Neither changes a score.
+
+Runs are named by 64-bit hashes; a run is counted under those of its two shorter runs, 128 bits together.
 
 Defined cases: null and empty texts are one end token. Without training rows all counts are zero and
 both scores are those of the root. Repeated rows are scored each. Texts are read whole.
@@ -29,16 +33,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pagewatch.llm.common import CACHE_WORDS, slices
+from pagewatch.llm.common import CACHE_WORDS, WordHashes, mix, slices
 from pagewatch.sources.tables import materialize
 
-DEPTH = 2
-SHARE = 5e-6
+DEPTH = 4
 DISCOUNT = 0.5
-#: Runs seen more rarely are not kept either.
+#: Runs seen more rarely are not kept.
 MIN_COUNT = 3
+#: Words and runs with so large a share of all tokens go to all tasks, the others through a join. Only speed depends
+#: on it and on the bits of the table of runs that are worth a join.
+SHARE = 5e-6
+FILTER_BITS = 26
 
 #: The end token is the empty word, which no text holds.
 END = b""
@@ -49,18 +57,14 @@ def tokens(text: str) -> list[bytes]:
     return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-@dataclass(frozen=True)
-class Level:
-    """Runs of one length, as sorted keys ``index of the run without its last token * words + last token``.
-
-    ``count`` is how often a run was seen; ``gain`` is what it adds to the factor of its last token
-    after the others, ``rest`` (per context) the share of the suffix's factor that stays.
-    """
+class TokenHashes(WordHashes):
+    """Token to 64-bit hash."""
 
-    keys: np.ndarray
-    count: np.ndarray
-    gain: np.ndarray
-    rest: np.ndarray
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh64_intdigest(word)
+        if len(self) < CACHE_WORDS:
+            self[word] = value
+        return value
 
 
 class HeadWords(dict):
@@ -70,92 +74,143 @@ class HeadWords(dict):
         return -1
 
 
-def _look_up(keys: np.ndarray, wanted: np.ndarray, valid: np.ndarray) -> np.ndarray:
-    """Index of each wanted key, -1 where it is absent or not valid."""
-    out = np.full(len(wanted), -1, np.int64)
-    if len(keys):
-        at = np.flatnonzero(valid)
-        found = np.minimum(np.searchsorted(keys, wanted[at]), len(keys) - 1)
-        hit = keys[found] == wanted[at]
-        out[at[hit]] = found[hit]
-    return out
+def _run_hash(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Hash of a run, from those of the run without its last token and without its first."""
+    return mix(context * np.uint64(0x9E3779B97F4A7C15) + suffix)
 
 
-def _numbers(words: list[list[bytes]], head: HeadWords) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of all tokens of some texts, and the place of each in its text."""
+def _runs(words: list[list[bytes]], hashes: TokenHashes, length: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each length from 1 on the hash of the run that ends at each token of some texts, and the place of each
+    token in its text. A run that would begin before its text has a hash without meaning."""
     lengths = np.array([len(w) for w in words])
-    ids = np.fromiter((i for ws in words for i in map(head.__getitem__, ws)), np.int64, int(lengths.sum()))
+    out = [np.fromiter((h for ws in words for h in map(hashes.__getitem__, ws)), np.uint64, int(lengths.sum()))]
+    for _ in range(1, length):
+        out.append(_run_hash(np.roll(out[-1], 1), out[-1]))
     starts = np.cumsum(lengths) - lengths
-    return ids, np.arange(len(ids)) - np.repeat(starts, lengths)
+    return out, np.arange(len(out[0])) - np.repeat(starts, lengths)
 
 
-def _runs(ids: np.ndarray, place: np.ndarray, levels: list[Level], n_words: int) -> list[np.ndarray]:
-    """For each length from 1 on the index of the kept run that ends at each token, or -1."""
-    out = [ids]
-    for length, level in enumerate(levels, 1):
-        before = np.concatenate([[-1], out[-1][:-1]])
-        valid = (place >= length) & (before >= 0) & (ids >= 0)
-        out.append(_look_up(level.keys, before * n_words + ids, valid))
-    return out
+def _bit_table(keys: DataFrame) -> np.ndarray:
+    """A table of ``2 ** FILTER_BITS`` bits with those of the keys set."""
+    slot = F.shiftrightunsigned("key", 64 - FILTER_BITS)
+    rows = (
+        keys.select(F.shiftright(slot, 6).alias("at"), slot.bitwiseAND(63).cast("int").alias("bit"))
+        .select("at", F.expr("shiftleft(1L, bit)").alias("piece"))
+        .groupBy("at").agg(F.bit_or("piece").alias("piece")).toArrow()
+    )
+    bits = np.zeros((1 << FILTER_BITS) // 64, np.int64)
+    bits[rows.column("at").to_numpy()] = rows.column("piece").to_numpy()
+    return bits.view(np.uint64)
+
 
+def _may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys >> np.uint64(64 - FILTER_BITS)
+    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
-def _count_runs(head: HeadWords, levels: list[Level]):
-    """Counts of the runs that are one token longer than those of the last level."""
+
+def _count_runs(length: int, bits: np.ndarray):
+    """Counts of the runs of a length, where both runs inside that are one token shorter may be kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n_words = len(head)
+        hashes = TokenHashes()
         for batch in batches:
             for _, texts in slices(batch, 0):
-                ids, place = _numbers([tokens(t) for t in texts], head)
-                last = _runs(ids, place, levels, n_words)[-1]
-                before = np.concatenate([[-1], last[:-1]])
-                # Both shorter runs inside have to be kept, and the text must reach so far back.
-                use = (place > len(levels)) & (before >= 0) & (last >= 0)
-                keys, n = np.unique(before[use] * n_words + ids[use], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
+                runs, place = _runs([tokens(t) for t in texts], hashes, length - 1)
+                kept = _may_hold(bits, runs[-1])
+                at = np.flatnonzero((place >= length - 1) & kept & np.roll(kept, 1))
+                context, suffix = runs[-1][at - 1], runs[-1][at]
+                _, first, n = np.unique(_run_hash(context, suffix), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(context[first].view(np.int64)), pa.array(suffix[first].view(np.int64)),
+                     pa.array(n.astype(np.int64))], ["context", "suffix", "n"])
 
     return run
 
 
-def build_level(keys: np.ndarray, n: np.ndarray, n_words: int, context_count: np.ndarray, unigram: np.ndarray,
-                factor: np.ndarray) -> Level:
-    """Divergence test and smoothing of the contexts of one length.
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs with the hash that names them."""
+    for batch in batches:
+        context, suffix = (batch.column(i).to_numpy().view(np.uint64) for i in range(2))
+        key = pa.array(_run_hash(context, suffix).view(np.int64))
+        yield pa.RecordBatch.from_arrays([key, *batch.columns], ["key", "context", "suffix", "n"])
 
-    ``context_count`` is how often each context was seen with a successor; ``factor`` is, for each key, what the
-    suffix's distribution makes of the last token, as a multiple of its unigram probability.
+
+def _word_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = np.array([xxhash.xxh64_intdigest(w) for w in batch.column(0).to_pylist()], np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(1)], ["key", "n"])
+
+
+@dataclass(frozen=True)
+class Level:
+    """The kept runs of one length: ``runs`` has ``(key, context, n, total, unigram, log_factor, rest, gain)``.
+
+    ``total`` is how often the context was seen; ``log_factor`` is what the tree up to this length makes of the
+    run's last token, as a multiple of its unigram probability; ``rest`` and ``gain`` are null where the context is not retained.
     """
-    context, word = keys // n_words, keys % n_words
-    total = context_count.astype(float)
-    own = (n - DISCOUNT) / total[context]
-    rest = 1.0 - np.bincount(context, own, len(total))
-    new = own / unigram[word] + rest[context] * factor
-    stored = np.bincount(context, minlength=len(total))
-    other = total - np.bincount(context, n, len(total))
-    gain = np.bincount(context, n * np.log(new / factor), len(total)) + other * np.log(np.maximum(rest, 1e-300))
-    retained = (stored > 0) & (gain > 0.5 * np.log(np.maximum(total, 1)) * stored)
-    return Level(keys, n, np.where(retained[context], own / unigram[word], 0.0), np.where(retained, rest, 1.0))
+
+    runs: DataFrame
+
+    @property
+    def gain(self) -> np.ndarray:
+        """All gains of the level, for small trees."""
+        return self.runs.where("gain IS NOT NULL").select("gain").toArrow().column(0).to_numpy()
+
+
+def build_level(counted: DataFrame, shorter: DataFrame) -> Level:
+    """Divergence test and smoothing of the contexts of one length, from its kept runs ``(key, context, suffix, n)``
+    and those one token shorter."""
+    contexts = (
+        counted.groupBy("context").agg(F.count("*").alias("stored"), F.sum("n").alias("seen"))
+        .join(shorter.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
+        .withColumn("other", F.col("total") - F.col("seen"))
+        .withColumn("left", (F.col("other") + DISCOUNT * F.col("stored")) / F.col("total"))
+    )
+    # Kept runs consist of kept runs, so every suffix is found.
+    suffixes = shorter.select(F.col("key").alias("suffix"), "unigram", F.col("log_factor").alias("below"))
+    tested = materialize(
+        counted.join(suffixes, "suffix").join(contexts, "context").withColumn(
+            "made", F.log((F.col("n") - DISCOUNT) / F.col("total") / F.col("unigram") + F.col("left") * F.exp("below"))
+        ),
+        "tested",
+    )
+    gained = F.sum(F.col("n") * (F.col("made") - F.col("below"))) + F.max("other") * F.log(F.max("left"))
+    retained = (
+        tested.groupBy("context").agg(gained.alias("gained"), F.max("stored").alias("stored"),
+                                      F.max("total").alias("total"), F.log(F.max("left")).alias("rest"))
+        .where(F.col("gained") > 0.5 * F.log("total") * F.col("stored")).select("context", "rest")
+    )
+    runs = tested.join(retained, "context", "left").select(
+        "key", "context", "n", "total", "unigram",
+        F.when(F.col("rest").isNull(), F.col("below")).otherwise(F.col("made")).alias("log_factor"),
+        "rest", (F.col("made") - F.col("rest") - F.col("below")).alias("gain"),
+    )
+    return Level(materialize(runs, "runs"))
 
 
 @dataclass(frozen=True)
 class SuffixTree:
-    """Frequent words with their unigram probabilities, and the levels of the tree."""
+    """Frequent words with their unigram probabilities, the levels of the tree, and ``(key, n, rest, gain)`` of all
+    runs that change a score, as context or with their last token."""
 
     head: HeadWords
     unigram: np.ndarray
     levels: list[Level]
+    values: DataFrame
 
     def factors(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all tokens, and of each the factor by which its context changes its probability."""
-        ids, place = _numbers(words, self.head)
-        runs = _runs(ids, place, self.levels, len(self.head))
-        factor = np.ones(len(ids))
-        for length, level in enumerate(self.levels, 1):
-            context = np.concatenate([[-1], runs[length - 1][:-1]])
-            known = (place >= length) & (context >= 0)
-            factor[known] *= level.rest[context[known]]
-            hit = runs[length] >= 0
-            factor[hit] += level.gain[runs[length][hit]]
-        return ids, factor
+        """Hashes of the tokens of a few texts, and of each the factor by which its context changes its probability."""
+        runs, place = _runs(words, TokenHashes(), DEPTH + 1)
+        wanted = np.unique(np.concatenate(runs)).view(np.int64).tolist()
+        found = {r["key"]: r for r in self.values.where(F.col("key").isin(wanted)).collect()}
+        total = np.zeros(len(place))
+        for length, keys in enumerate(runs, 1):
+            for at, key in enumerate(keys.view(np.int64).tolist()):
+                if key in found and place[at] >= length - 1:
+                    total[at] += found[key]["gain"]
+                    if at + 1 < len(place) and place[at + 1] > place[at] and length <= DEPTH:
+                        total[at + 1] += found[key]["rest"]
+        return runs[0], np.exp(total)
 
 
 def fit_tree(train: DataFrame, counts: DataFrame, text_col: str = "text", depth: int = DEPTH,
@@ -163,62 +218,51 @@ def fit_tree(train: DataFrame, counts: DataFrame, text_col: str = "text", depth:
     """The tree of a training corpus whose word counts are given, its tokens and its distinct tokens."""
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, distinct = sums["n"] or 0, sums["v"]
-    least = max(MIN_COUNT, share * total)
-    rows = counts.where(F.col("n") >= least).toArrow()  # at most 1 / share rows
+    rows = counts.where(F.col("n") >= max(MIN_COUNT, share * total)).toArrow()  # at most 1 / share rows
     order = sorted(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist()))
     head = HeadWords((w, i) for i, (w, _) in enumerate(order))
-    seen = np.array([n for _, n in order], np.int64)
-    unigram = (seen + 1) / (total + distinct + 1)
+    unigram = (np.array([n for _, n in order], np.int64) + 1) / (total + distinct + 1)
+    words = counts.where(F.col("n") >= MIN_COUNT).select("word", "n").mapInArrow(_word_runs, "key long, n long")
+    shorter = materialize(
+        words.groupBy("key").agg(F.sum("n").alias("n")).select(
+            "key", "n", ((F.col("n") + 1) / (total + distinct + 1)).alias("unigram"), F.lit(0.0).alias("log_factor")),
+        "word-runs",
+    )
     levels: list[Level] = []
-    for length in range(1, depth + 1):
+    for length in range(2, depth + 2):
         # The end is no context. Of a run that is not the end, every occurrence has a successor.
-        found = (
-            train.select(F.col(text_col)).mapInArrow(_count_runs(head, levels), "key long, n long")
-            .groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy("key").toArrow()
+        counted = materialize(
+            train.select(F.col(text_col))
+            .mapInArrow(_count_runs(length, _bit_table(shorter)), "context long, suffix long, n long")
+            .groupBy("context", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
+            .mapInArrow(_named, "key long, context long, suffix long, n long"),
+            "counted",
+        )
+        levels.append(build_level(counted, shorter))
+        shorter = levels[-1].runs
+        if shorter.isEmpty():
+            break
+    parts = []
+    for level in levels:
+        kept = level.runs.where("gain IS NOT NULL")
+        parts.append(kept.select("key", "n", F.lit(0.0).alias("rest"), "gain"))
+        parts.append(
+            kept.groupBy(F.col("context").alias("key")).agg(F.max("total").alias("n"), F.max("rest").alias("rest"))
+            .withColumn("gain", F.lit(0.0))
         )
-        keys, n = (found.column(c).to_numpy() for c in ("key", "n"))
-        if length == 1:
-            context_count, factor = seen, np.ones(len(keys))
-        else:
-            above = levels[-1]
-            context_count = above.count
-            # The suffix of (run, word) is (run without its first token, word): a run of the level above.
-            suffix = _suffix_runs(levels, keys, len(head))
-            factor = _suffix_factors(levels, suffix, keys, len(head))
-        levels.append(build_level(keys, n, len(head), context_count, unigram, factor))
-    return SuffixTree(head, unigram, levels), total, distinct
-
-
-def _words_of(levels: list[Level], keys: np.ndarray, n_words: int) -> list[np.ndarray]:
-    """The tokens of runs, given by keys of the level after ``levels``."""
-    out = [keys % n_words]
-    index = keys // n_words
-    for level in reversed(levels):
-        out.append(level.keys[index] % n_words)
-        index = level.keys[index] // n_words
-    return [index, *reversed(out)]
-
-
-def _suffix_runs(levels: list[Level], keys: np.ndarray, n_words: int) -> list[np.ndarray]:
-    """For runs of the next level: the index, at each level, of the run of that level that they end with."""
-    words = _words_of(levels, keys, n_words)
-    out = []
-    for length in range(1, len(levels) + 1):
-        index = words[-length - 1]
-        for level, word in zip(levels[:length], words[len(words) - length :]):
-            index = _look_up(level.keys, index * n_words + word, index >= 0)
-        out.append(index)
-    return out
-
-
-def _suffix_factors(levels: list[Level], suffix: list[np.ndarray], keys: np.ndarray, n_words: int) -> np.ndarray:
-    """The factor that the levels above give to the last token of each run."""
-    factor = np.ones(len(keys))
-    for level, index in zip(levels, suffix):
-        # Kept runs consist of kept runs, so every index is found.
-        context = level.keys[index] // n_words
-        factor = factor * level.rest[context] + level.gain[index]
-    return factor
+    values = parts[0]
+    for part in parts[1:]:
+        values = values.unionByName(part)
+    values = values.groupBy("key").agg(F.max("n").alias("n"), F.sum("rest").alias("rest"), F.sum("gain").alias("gain"))
+    return SuffixTree(head, unigram, levels, materialize(values, "values")), total, distinct
+
+
+def _join_names(keys: np.ndarray) -> pa.Array:
+    """Runs named so that no word and no document has their name: a line end and eight bytes."""
+    raw = np.full((len(keys), 9), 10, np.uint8)
+    raw[:, 1:] = keys.astype(">u8").view(np.uint8).reshape(-1, 8)
+    ends = np.arange(len(keys) + 1, dtype=np.int32) * 9
+    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -248,19 +292,45 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     learned from ``train``."""
     counts = materialize(count_words(train, text_col), "words")
     tree, n_train, distinct = fit_tree(train, counts, text_col)
+    values = tree.values.select("key", "n", ((F.col("rest") + F.col("gain")) / float(np.log(10))).alias("value"))
+    common = F.col("n") >= SHARE * n_train
+    top = values.where(common).orderBy("key").toArrow()  # at most 1 / SHARE rows of each length
+    top_keys = top.column("key").to_numpy().view(np.uint64)
+    by_key = np.argsort(top_keys)
+    top_keys, top_values = top_keys[by_key], np.append(top.column("value").to_numpy()[by_key], 0.0)
+    bits = _bit_table(values)
+    logs = np.append(np.log10(tree.unigram), 0.0)  # the last is for number -1
+    head = tree.head
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = np.append(np.log10(tree.unigram), 0.0)  # the last is for number -1
+        hashes = TokenHashes()
         for batch in batches:
             for part, texts in slices(batch, 2):
                 words = [tokens(t) for t in texts]
-                ids, factor = tree.factors(words)
                 serials = part.column(0).to_pylist()
                 lengths = np.array([len(ws) for ws in words])
                 owner = np.repeat(np.arange(len(words)), lengths)
+                ids = np.fromiter((i for ws in words for i in map(head.__getitem__, ws)), np.int64, int(lengths.sum()))
                 known = np.bincount(owner, ids >= 0, len(words)).astype(np.int64)
                 base = np.bincount(owner, logs[ids], len(words))
-                more = np.bincount(owner, np.log10(factor), len(words))
+                more = np.zeros(len(words))
+                runs, place = _runs(words, hashes, DEPTH + 1)
+                run_owner, run_keys = [], []
+                for length, keys in enumerate(runs, 1):
+                    at = np.flatnonzero((place >= length - 1) & _may_hold(bits, keys))
+                    who, keys = owner[at], keys[at]
+                    if len(top_keys):
+                        found = np.minimum(np.searchsorted(top_keys, keys), len(top_keys) - 1)
+                        hit = top_keys[found] == keys
+                        more += np.bincount(who[hit], top_values[found[hit]], len(words))
+                        who, keys = who[~hit], keys[~hit]
+                    run_owner.append(who)
+                    run_keys.append(keys)
+                who, keys = np.concatenate(run_owner), np.concatenate(run_keys)
+                by = np.lexsort((keys, who))
+                who, keys = who[by], keys[by]
+                first = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (keys[1:] != keys[:-1]))[: len(keys)])
+                run_n = np.diff(np.append(first, len(keys)))
                 rare_serial, rare_word, rare_n = [], [], []
                 start = 0
                 for serial, ws in zip(serials, words):
@@ -269,36 +339,43 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
                     rare_serial += [serial] * len(rare)
                     rare_word += rare.keys()
                     rare_n += rare.values()
-                m = len(rare_word)
+                m = len(rare_word) + len(first)
                 # A document's own row has a name that no word has, for it holds a space.
                 names = [b" %d" % s for s in serials]
+                run_serial = np.array(serials, np.int64)[who[first]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(serials + rare_serial, pa.int64()),
+                        pa.array(np.concatenate([np.array(serials + rare_serial, np.int64), run_serial])),
                         pa.concat_arrays([part.column(1), pa.nulls(m, part.column(1).type)]),
-                        pa.array(names + rare_word, pa.binary()),
-                        pa.array([0] * len(words) + rare_n, pa.int64()),
+                        pa.concat_arrays([pa.array(names + rare_word, pa.binary()), _join_names(keys[first])]),
+                        pa.array([0] * len(words) + rare_n + [0] * len(first), pa.int64()),
+                        pa.array(np.concatenate([np.zeros(len(words) + len(rare_word), np.int64), run_n])),
                         pa.array([*lengths.tolist(), *[None] * m], pa.int64()),
                         pa.array([*known.tolist(), *[None] * m], pa.int64()),
                         pa.array([*base.tolist(), *[None] * m], pa.float64()),
                         pa.array([*more.tolist(), *[None] * m], pa.float64()),
                     ],
-                    ["serial", "id", "word", "k", "n_tokens", "known", "base", "more"])
+                    ["serial", "id", "word", "k", "runs", "n_tokens", "known", "base", "more"])
 
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     read = docs.select(F.monotonically_increasing_id().alias("serial"), F.col(id_col), F.col(text_col)).mapInArrow(
-        run, f"serial long, id {kind}, word binary, k long, n_tokens long, known long, base double, more double"
+        run, f"serial long, id {kind}, word binary, k long, runs long, n_tokens long, known long, base double, more double"
+    )
+    run_name = F.concat(F.lit(b"\n"), F.unhex(F.lpad(F.hex("key"), 16, "0")))
+    table = counts.select("word", "n", F.lit(None).cast("double").alias("value")).unionByName(
+        values.where(~common).select(run_name.alias("word"), F.lit(None).cast("long").alias("n"), "value")
     )
-    joined = read.join(counts, "word", "left")
+    joined = read.join(table, "word", "left")
     unseen = float(-np.log10(n_train + distinct + 1))
     rare_base = F.col("k") * (F.log10(F.coalesce("n", F.lit(0)) + 1) + unseen)
     rare_known = F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)
+    rare_more = F.col("runs") * F.coalesce("value", F.lit(0.0))
     return joined.groupBy("serial").agg(
         F.max("id").alias(id_col),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.coalesce("known", F.lit(0)) + rare_known).alias("n_known"),
         F.sum(F.coalesce("base", F.lit(0.0)) + rare_base).alias("base_score"),
-        F.sum("more").alias("more"),
+        F.sum(F.coalesce("more", F.lit(0.0)) + rare_more).alias("more"),
     ).select(
         id_col, "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score",
         (F.col("base_score") + F.col("more")).alias("score"),

@@ -202,6 +202,62 @@ def test_suffix_tree_is_a_distribution_and_beats_the_base(spark):
         assert (r.n_tokens, r.n_known) == (len(words), sum(brute[w] > 0 for w in words))
 
 
+def brute_factors(corpus, words):
+    """Factors of the last of some words by the definition, with counters over all runs of the corpus."""
+    n = Counter()
+    for t in corpus:
+        ws = suffix_tree.tokens(t)
+        n.update(tuple(ws[i : i + k]) for k in range(1, suffix_tree.DEPTH + 2) for i in range(len(ws) - k + 1))
+    total, distinct = sum(v for k, v in n.items() if len(k) == 1), sum(len(k) == 1 for k in n)
+    kept = {k: v for k, v in n.items() if v >= suffix_tree.MIN_COUNT}
+    successors = {}
+    for k in kept:
+        successors.setdefault(k[:-1], []).append(k[-1])
+
+    def factor(context, word):
+        if not context:
+            return 1.0
+        below, stored, seen = factor(context[1:], word), successors.get(context, []), n[context]
+        if not stored:
+            return below
+        own = {w: (kept[(*context, w)] - suffix_tree.DISCOUNT) / seen for w in stored}
+        rest = 1 - sum(own.values())
+        unigram = {w: (n[(w,)] + 1) / (total + distinct + 1) for w in stored}
+        gain = (seen - sum(kept[(*context, w)] for w in stored)) * math.log(rest)
+        for w in stored:
+            under = factor(context[1:], w)
+            gain += kept[(*context, w)] * math.log((own[w] / unigram[w] + rest * under) / under)
+        if gain <= 0.5 * math.log(seen) * len(stored):
+            return below
+        return (own[word] / unigram[word] if word in own else 0) + rest * below
+
+    return factor(tuple(words[-suffix_tree.DEPTH - 1 : -1]), words[-1])
+
+
+def test_suffix_tree_keeps_runs_of_any_share(spark, monkeypatch):
+    rng = random.Random(8)
+    many = [f"w{i}" for i in range(400)]
+    corpus = [" ".join(rng.choices(many, k=60)) for _ in range(100)] + ["seldom seen words go a long way together"] * 4
+    corpus += [f"{w} seen words go far" for w in ("often", "never")] * 3
+    train = spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string")
+    asked = [(0, corpus[100]), (1, "seldom seen words go far"), (2, "never seen words go a"), (3, corpus[0])]
+    held = spark.createDataFrame(asked, "doc_id long, text string")
+    wanted = {}
+    for i, text in asked[:3]:
+        words = suffix_tree.tokens(text)
+        wanted[i] = sum(math.log10(brute_factors(corpus, words[: k + 1])) for k in range(len(words)))
+    counts = suffix_tree.count_words(train)
+    words = suffix_tree.tokens(corpus[100])[:-2]
+    tree = suffix_tree.fit_tree(train, counts, share=0.05)[0]
+    assert math.isclose(tree.factors([words])[1][-1], brute_factors(corpus, words), rel_tol=1e-9)
+    assert len(tree.levels) > 2 and tree.factors([words])[1][-1] > 2
+    # All of these runs are below a share that only decides whether the join or the tasks know them.
+    for share in (0.05, 5e-6):
+        monkeypatch.setattr(suffix_tree, "SHARE", share)
+        got = {r.doc_id: r.score - r.base_score for r in suffix_tree.score_texts(held, train).collect()}
+        assert all(math.isclose(got[i], wanted[i], rel_tol=1e-9) for i in wanted) and got[0] > 5
+
+
 def test_scores_of_odd_rows(odd, nothing):
     got = suffix_tree.score_texts(odd, odd).collect()
     assert len(got) == len(ODD) and all(r.n_tokens >= 1 and math.isfinite(r.score) for r in got)
