@@ -3,8 +3,8 @@
 Texts are words (``\\w+``, lower-cased). A mask is a row of ones and zeros; the words under its
 ones are hashed, the others are ignored, so a seed survives substitutions between. Seeds of
 the benchmark and of the documents are joined, and each pair of document and item that shares one
-is verified: along every diagonal with a shared seed the best gap-free run is looked for, where a
-match adds one and a substitution takes two away.
+is verified: of all gap-free runs along a diagonal with a shared seed that have a share of matches of at least
+``MIN_IDENTITY``, the one with the most matches is held against ``MIN_MATCHES``.
 
 A document's seeds would be several times its words. A bit table of a fixed size with the
 benchmark's seeds (``FILTER_BITS``, whatever the benchmark's size) goes to all tasks and drops nearly all
@@ -63,12 +63,19 @@ def _slot(seed: np.ndarray) -> np.ndarray:
 
 
 def best_run(match: np.ndarray) -> tuple[int, int, int]:
-    """``(matches, start, end)`` of the best run of a diagonal, +1 per match and -2 per substitution."""
-    total = np.concatenate([[0], np.cumsum(np.where(match, 1, -2))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return int(match[start:end].sum()), start, end
+    """``(matches, start, end)`` of the run of a diagonal that has the most matches of all runs with a share of
+    at least ``MIN_IDENTITY``; it begins and ends with a match. All zero if nothing matches."""
+    # Non-negative over a run exactly if its share is large enough; whole numbers, as the share is a number of quarters.
+    total = np.concatenate([[0], np.cumsum(np.where(match, 4 - int(4 * MIN_IDENTITY), -int(4 * MIN_IDENTITY)))])
+    matches = np.concatenate([[0], np.cumsum(match)])
+    # For each end the first start from which the run is good enough, as matches only grow with length.
+    start = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+    end = int(np.argmax(matches - matches[start]))
+    first = int(start[end])
+    if not match[first:end].any():
+        return 0, 0, 0
+    first += int(np.argmax(match[first:end]))
+    return int(matches[end] - matches[first]), first, end
 
 
 def verify(doc: np.ndarray, item: np.ndarray, masks: list[str]) -> tuple[int, int, int, int] | None:
@@ -85,7 +92,7 @@ def verify(doc: np.ndarray, item: np.ndarray, masks: list[str]) -> tuple[int, in
     for s in np.unique(shift).tolist():
         a, b = max(0, s), min(len(doc), s + len(item))
         matches, start, end = best_run(doc[a:b] == item[a - s : b - s])
-        if matches >= min(MIN_MATCHES, len(item)) and matches >= MIN_IDENTITY * (end - start):
+        if matches >= min(MIN_MATCHES, len(item)):
             found = (matches, end - start, a + start, a - s + start)
             if best is None or found[0] > best[0]:
                 best = found

@@ -291,6 +291,47 @@ def test_overlaps_survive_substitutions(spark):
     assert all(r.doc_start == 20 + r.item_start for r in got if r.item_id < 40)
 
 
+def test_best_run_is_the_best_of_all_that_count():
+    runs = [True] * 11
+    whole = np.array([*runs, *[False] * 5, *runs, *[False] * 5, *runs, *[False] * 5, *runs])
+    # All four runs are 44 of 59, which is too little; three are 33 of 43.
+    assert decontaminate.best_run(whole)[0] == 33
+    # The longest good run has 9 of 12, another 10 of 10.
+    nine = np.array([*[True] * 3, False] * 3 + [False] * 12 + [True] * 10)
+    assert decontaminate.best_run(nine) == (10, 24, 34)
+    rng = np.random.default_rng(4)
+    for rate in (0.0, 0.2, 0.25, 0.3, 0.6, 1.0):
+        for n in (1, 10, 38, 59):
+            match = rng.random(n) >= rate
+            good = [
+                int(match[a:b].sum()) for a in range(n) for b in range(a + 1, n + 1)
+                if match[a:b].sum() >= decontaminate.MIN_IDENTITY * (b - a)
+            ]
+            matches, start, end = decontaminate.best_run(match)
+            assert matches == max(good, default=0) == match[start:end].sum()
+            assert matches >= decontaminate.MIN_IDENTITY * (end - start)
+
+
+@pytest.mark.parametrize("rate", [0.2, 0.25])
+def test_overlaps_at_higher_rates(rate):
+    rng = np.random.default_rng(6)
+    found = 0
+    for k in range(400):
+        item = rng.integers(0, 1 << 60, 59).astype(np.uint64)
+        swapped = rng.random(59) < rate
+        doc = np.where(swapped, rng.integers(0, 1 << 60, 59).astype(np.uint64), item)
+        match = ~swapped
+        total = np.concatenate([[0], np.cumsum(np.where(match, 1, -3))])
+        good = any(
+            total[b] >= total[a] and match[a:b].sum() >= 10 for a in range(60) for b in range(a + 10, 60)
+        )
+        seeded = bool(np.isin(decontaminate.seeds(doc, list(decontaminate.MASKS))[0],
+                              decontaminate.seeds(item, list(decontaminate.MASKS))[0]).any())
+        assert (decontaminate.verify(doc, item, list(decontaminate.MASKS)) is not None) == (good and seeded)
+        found += good and seeded
+    assert found > 300
+
+
 def test_overlaps_of_odd_rows(spark, odd, nothing):
     bench = spark.createDataFrame([(1, "long " * 12), (2, None), (3, ""), (1, "long " * 12)], "item_id long, text string")
     assert [(r.doc_id, r.item_id) for r in decontaminate.benchmark_overlaps(odd, bench).collect()] == [(7, 1)]
