@@ -7,13 +7,13 @@ response with ``WARC-Segment-Number: 1``, the others are continuation records th
 first by ``WARC-Segment-Origin-ID``; the last tells the total length. Spark writes the records as text
 files whose line end is the end of a record, so every task writes archives of its own to any store.
 
-Reading. Files are split at the version line of a record; chunk and segment borders are laid so that a
-block never holds that line. Records without segments are decoded on the spot. Continuations and their first records are grouped by
+Reading. Files are split at the version line of a record. Chunk borders cut every ``WARC/1.1`` of a body, segment borders none
+that is left, and a URL's is escaped, so whatever line ends follow, neither block nor header holds that line. Records without segments are decoded on the spot. Continuations and their first records are grouped by
 origin and ordered by segment number; the total length is verified, then the chunked framing is taken off.
 
 Defined cases: a null or empty page has an empty body, which is a response. A page with a null id is
 written under the id ``null`` and read as such. Repeated ids get one record each, told apart by a number.
-A record whose segments are missing or whose length is wrong is read with ``complete`` false and without a body.
+A record whose segments are missing or whose length is wrong is read with ``complete`` false and without a body. What has no ``WARC-Record-ID`` is no record.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewatch.sources.tables import materialize
 
-VERSION = b"WARC/1.1\r\n"
+NAME = b"WARC/1.1"
+VERSION = NAME + b"\r\n"
 END = "\r\n\r\n"
 CHUNK = 4096
 MIN_REVISIT = 1000
@@ -36,8 +37,9 @@ _DATE = "2024-01-01T00:00:00Z"
 
 
 def chunked(body: bytes, size: int = CHUNK) -> bytes:
-    """HTTP chunked framing. A chunk ends inside every version line of the body, so none is left whole."""
-    cuts = {*range(0, len(body), size)} | {m.start() + 5 for m in re.finditer(re.escape(VERSION), body)}
+    """HTTP chunked framing. A chunk ends inside every ``WARC/1.1`` of the body, as the line end after a chunk would
+    make a version line of one at its end."""
+    cuts = {*range(0, len(body), size)} | {m.start() + 5 for m in re.finditer(re.escape(NAME), body)}
     edges = [*sorted(cuts), len(body)]
     parts = [b"%x\r\n%b\r\n" % (b - a, body[a:b]) for a, b in zip(edges, edges[1:]) if b > a]
     return b"".join(parts) + b"0\r\n\r\n"
@@ -64,8 +66,15 @@ def unchunked(framed: bytes) -> bytes | None:
 
 
 def segments(block: bytes, size: int) -> list[bytes]:
-    """Pieces of at most ``size`` bytes; a border never joins the rest of a version line with its beginning."""
-    return [block[a : a + size] for a in range(0, len(block), size)] or [b""]
+    """Pieces of at most ``size`` bytes; none ends with ``WARC/1.1``, which the end of its record would make a version line."""
+    out, at = [], 0
+    while at < len(block):
+        end = min(at + size, len(block))
+        if block[at:end].endswith(NAME):
+            end -= 3
+        out.append(block[at:end])
+        at = end
+    return out or [b""]
 
 
 def _record(kind: str, record_id: str, uri: str, block: bytes, **fields: str | int) -> bytes:
@@ -79,7 +88,9 @@ def _record(kind: str, record_id: str, uri: str, block: bytes, **fields: str | i
 
 
 def _uri(url: str | None) -> str:
-    return re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m.group().encode()), url or "")
+    """A URL as a header value: white space is escaped, and the dot of a ``WARC/1.1`` at the end of the line."""
+    uri = re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m.group().encode()), url or "")
+    return re.sub(r"WARC/1\.1$", "WARC/1%2E1", uri)
 
 
 def _write_page(page: str, serial: int, url: str, body: bytes, digest: str, refers_to: str | None,
@@ -174,6 +185,8 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             f = made["fields"]
             own = f.get("warc-record-id", "").strip("<>")
+            if not own:
+                continue
             number = f.get("warc-segment-number")
             out.append((
                 own, f.get("warc-type"), f.get("warc-target-uri"), f.get("warc-payload-digest"),

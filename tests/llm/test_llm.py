@@ -371,6 +371,34 @@ def test_archive_round_trip(spark, tmp_path):
             assert (page, r.refers_to) in {(4, "urn:page:5"), (8, "urn:page:9")}
 
 
+def test_no_border_makes_a_version_line(spark, tmp_path):
+    name = "WARC/1.1"
+    bodies = ["", name, "a" + name, name * 3000, name + "\r\n" + name]
+    bodies += ["x" * (n - k) + name + "y" * 50 for n in (4096, 8192) for k in range(10)]
+    # The head of the response and the framing come before the body in the first segment.
+    bodies += ["x" * (16_384 - k) + name + "y" * 50 for k in range(0, 160)]
+    for body in bodies:
+        framed = warc.chunked(body.encode())
+        assert warc.unchunked(framed) == body.encode() and warc.NAME not in framed
+    for k in range(12):
+        block = b"x" * k + warc.NAME * 40
+        for size in (8, 9, 20, 64):
+            pieces = warc.segments(block, size)
+            assert b"".join(pieces) == block and all(len(p) <= size and not p.endswith(warc.NAME) for p in pieces)
+    rows = [(i, "http://u/" + name if i % 2 else "http://u", body) for i, body in enumerate(bodies)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_warc(pages, str(tmp_path / "w"), min_revisit=1 << 30)
+    got = {r.record_id.split(":")[2]: r for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert len(got) == len(bodies)
+    assert all(got[str(i)].complete and got[str(i)].payload == body.encode() for i, body in enumerate(bodies))
+
+
+def test_what_has_no_record_id_is_no_record(spark, tmp_path):
+    warc.write_warc(spark.createDataFrame([(1, "u", "a")], "page_id long, url string, html string"), str(tmp_path / "w"))
+    spark.createDataFrame([("WARC/1.1\r\n0\r\n\r\n",)], "value string").write.mode("append").text(str(tmp_path / "w"))
+    assert [r.payload for r in warc.read_warc(spark, str(tmp_path / "w")).collect()] == [b"a"]
+
+
 def test_missing_segment_is_seen(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "abc" * 2000)], "page_id long, url string, html string")
     warc.write_warc(pages, str(tmp_path / "w"), segment_bytes=1000)
