@@ -513,6 +513,31 @@ def test_multiset_hash_is_homomorphic():
     assert multiset.Fingerprint.of("").likeness(multiset.Fingerprint()) == 1
 
 
+def test_likeness_follows_the_exact_overlap_at_any_length():
+    for n in (10, 60, 150, 400, 1000, 5000, 20_000):
+        for common in (0.0, 0.5, 0.9):
+            same = int(n * common)
+            one = [f"{n} line {i}" for i in range(n)]
+            two = one[:same] + [f"{n} other {i}" for i in range(n - same)]
+            a, b = Counter(one), Counter(two)
+            exact = (a & b).total() / (a | b).total()
+            x, y = multiset.Fingerprint.of("\n".join(one)), multiset.Fingerprint.of("\n".join(two))
+            assert abs(x.likeness(y) - exact) < 0.2, (n, common)
+            assert multiset.Fingerprint.from_hex(x.hex()) == x and len(x.hex()) == 2 * multiset.BYTES
+            assert x.delete(one[same:]).insert(two[same:]) == y
+
+
+def test_error_of_likeness_is_as_stated():
+    for n, most in ((100, 0.06), (3000, 0.08)):
+        errors = []
+        for k in range(40):
+            one = [f"{k} {n} line {i}" for i in range(n)]
+            two = one[: n // 2] + [f"{k} {n} other {i}" for i in range(n - n // 2)]
+            x, y = multiset.Fingerprint.of("\n".join(one)), multiset.Fingerprint.of("\n".join(two))
+            errors.append(x.likeness(y) - (n // 2) / (2 * n - n // 2))
+        assert np.sqrt(np.mean(np.square(errors))) < most and abs(np.mean(errors)) < 0.03
+
+
 def test_edit_likeness_equals_brute_force(docs):
     df, plain = docs
     plain = plain.sort_values("doc_id", ascending=False)
