@@ -129,7 +129,8 @@ def test_state_keeps_newest_and_ignores_late(spark, tmp_path):
     url = "http://a.example/x"
     store.write(spark.createDataFrame([capture(url, 5)], SCHEMA), 0)
     late = spark.createDataFrame([capture(url, 2, title="old")], SCHEMA)
-    assert replay_changes(late, store.read(before=1)).count() == 0
+    (row,) = replay_changes(late, store.read(before=1)).collect()
+    assert row.is_late and row.changes == [] and row.prev is None
     store.write(late, 1)
     assert [r.ordinal for r in store.read().collect()] == [5]
     store.write(late, 1)  # the same version again changes nothing
