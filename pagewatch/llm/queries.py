@@ -11,16 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagewatch.llm.bpe import BpeCodec, encode_texts
 from pagewatch.llm.common import crc_bucket, documents
+from pagewatch.llm.conversations import damaged_turns, ordered_turns, repaired_digest, repaired_turns, repairs
 from pagewatch.llm.decontaminate import benchmark_overlaps
 from pagewatch.llm.hilbert import hilbert_shards
 from pagewatch.llm.jaccard import jaccard_classes
 from pagewatch.llm.multiset import edit_likeness
+from pagewatch.llm.oracle import ORACLES as ORACLES
 from pagewatch.llm.pii import KINDS, find_pii, fit_pii, span_text
 from pagewatch.llm.suffix_tree import score_texts
 from pagewatch.llm.token_counts import PieceCounter, token_counts
 from pagewatch.llm.toxicity import fit_toxicity, score_toxicity, training_rows
 from pagewatch.llm.warc import read_warc, write_warc
 from pagewatch.session import shared_dir
+from pagewatch.sources.tables import materialize
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +118,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = documents(spark, sf_dir, "conversations")
+    ordered = ordered_turns(damaged_turns(given))
+    repaired = materialize(repairs(ordered), "repairs")
+    digests = repaired_digest(repaired_turns(ordered, repaired))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
+    return (
+        given.select("conv_id").distinct().withColumn("conv", key)
+        .join(repaired, "conv", "left").join(digests, "conv", "left")
+        .select(
+            "conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+            F.coalesce("audit", F.lit("")).alias("audit"),
+            F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+        )
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -126,7 +147,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_multiset_hash": op8_multiset_hash,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
+    "op12_conversation_repair": op12_conversation_repair,
 }
-
-#: No operator of this subpackage can be expressed in SQL as a whole; tests compare them instead.
-ORACLES: dict[str, str] = {}
