@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pagewatch.llm.secrets import BASE, RULES, Rule
+
 #: CRC-32 by bytes: the table of its 256 remainders, as a list.
 CRC_TABLE = """
 crc_table AS (
@@ -88,4 +90,38 @@ LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
 """
 
-ORACLES = {"op12_conversation_repair": CONVERSATIONS}
+
+
+def secrets() -> str:
+    """Matches of every rule, and their places by the lengths of what lies between and before them."""
+
+    def found(order: int, rule: Rule) -> str:
+        pattern = (rule.head + rule.body).replace("'", "''")
+        head = rule.head.replace("'", "''")
+        past = f"length(regexp_extract(m, '^(?:{head})'))" if head else "0"
+        return f"""
+    SELECT row, ord, '{rule.kind}' AS kind, start, start + length(m) AS stop FROM (
+        SELECT row, {order} AS ord, m,
+            list_sum(list_transform(between[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[:i - 1], lambda x: length(x))), 0) AS start
+        FROM (SELECT row, found, between, unnest(found) AS m, generate_subscripts(found, 1) AS i FROM (
+            SELECT row, regexp_extract_all(text, '{pattern}') AS found, string_split_regex(text, '{pattern}') AS between FROM texts)))
+    WHERE length(m) - {past} >= {rule.least}"""
+
+    spans = "\n    UNION ALL".join(found(i, rule) for i, rule in enumerate(RULES))
+    base = len(BASE)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({spans}),
+grouped AS (
+    SELECT row, {counts},
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (ord < {base}) AS base,
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans
+    FROM spans GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)},
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN grouped USING (row)
+"""
+
+
+ORACLES = {"op11_secret_scan": secrets(), "op12_conversation_repair": CONVERSATIONS}

@@ -18,6 +18,7 @@ from pagewatch.llm.jaccard import jaccard_classes
 from pagewatch.llm.multiset import edit_likeness
 from pagewatch.llm.oracle import ORACLES as ORACLES
 from pagewatch.llm.pii import KINDS, find_pii, fit_pii, span_text
+from pagewatch.llm.secrets import BASE, find_secrets, secret_text
 from pagewatch.llm.suffix_tree import score_texts
 from pagewatch.llm.token_counts import PieceCounter, token_counts
 from pagewatch.llm.toxicity import fit_toxicity, score_toxicity, training_rows
@@ -118,6 +119,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        *[_spans_of_kind("base", rule.kind).alias(f"n_{rule.kind}") for rule in BASE],
+        F.sha2(secret_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secret_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = documents(spark, sf_dir, "conversations")
     ordered = ordered_turns(damaged_turns(given))
@@ -147,5 +158,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_multiset_hash": op8_multiset_hash,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
+    "op11_secret_scan": op11_secret_scan,
     "op12_conversation_repair": op12_conversation_repair,
 }
