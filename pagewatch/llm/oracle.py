@@ -124,4 +124,37 @@ FROM texts LEFT JOIN grouped USING (row)
 """
 
 
-ORACLES = {"op11_secret_scan": secrets(), "op12_conversation_repair": CONVERSATIONS}
+COLLOCATIONS = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+worded AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS words FROM pieces),
+grams AS (
+    SELECT lang, phrase, k, count(*) AS f FROM (
+        SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i + k - 1], ' '))) AS phrase
+        FROM worded, range(1, 5) AS t(k))
+    GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY 1),
+candidates AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS words FROM grams WHERE k > 1 AND f >= 30),
+inside AS (
+    SELECT lang, phrase, max(a) AS longer FROM (
+        SELECT lang, a, array_to_string(words[i:i + size - 1], ' ') AS phrase
+        FROM candidates, range(2, 4) AS s(size), range(1, 4) AS p(i) WHERE size < k AND i + size - 1 <= k)
+    GROUP BY 1, 2),
+kept AS (
+    SELECT c.* FROM candidates c LEFT JOIN inside i USING (lang, phrase)
+    WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT),
+cuts AS (
+    SELECT c.lang, c.phrase, a, cut, x.f AS l, y.f AS r, (2000000 * a::HUGEINT) // (x.f::HUGEINT + y.f) AS score
+    FROM kept c JOIN range(1, 4) AS t(cut) ON cut < k
+    JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(words[:cut], ' ')
+    JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(words[cut + 1:], ' ')),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES = {
+    "op11_secret_scan": secrets(), "op12_conversation_repair": CONVERSATIONS, "op13_phrase_collocations": COLLOCATIONS,
+}

@@ -17,6 +17,7 @@ from pagewatch.llm.hilbert import hilbert_shards
 from pagewatch.llm.jaccard import jaccard_classes
 from pagewatch.llm.multiset import edit_likeness
 from pagewatch.llm.oracle import ORACLES as ORACLES
+from pagewatch.llm.phrases import collocations
 from pagewatch.llm.pii import KINDS, find_pii, fit_pii, span_text
 from pagewatch.llm.secrets import BASE, find_secrets, secret_text
 from pagewatch.llm.suffix_tree import score_texts
@@ -147,6 +148,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -160,4 +165,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_secret_scan": op11_secret_scan,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
