@@ -1,7 +1,7 @@
 """Phrase collocations from counting quotient filters.
 
-A word's id is a 64-bit hash of language and word. The table of all words is counted by id and holds the least and the
-largest word of each; if they ever differ, another seed is taken, so ids stand for words without loss. An n-gram is
+A word's id is a 64-bit hash of language and word. The table of all words is checked: if two of them ever share an
+id, another seed is taken, so ids stand for words without loss. An n-gram is
 packed as its word ids. Its first id is changed by a hash of the others, which can be undone: the packed n-gram is
 permuted, not hashed. The leading bits of the permuted n-gram are the quotient; the remainder is all the rest.
 
@@ -42,10 +42,12 @@ MAX_WORDS = 4
 CONTAINED_PERCENT = 80
 TOP = 2000
 FILTER_BITS = 26
-#: Words that a block of quotients stands for, quotients of a block, and n-grams that a task holds before it gives them away.
-BLOCK_WORDS = 1 << 20
+#: Words that a block of quotients stands for, and quotients of a block.
+BLOCK_WORDS = 1 << 19
 BLOCK_QUOTIENT_BITS = 14
-HELD = 1 << 21
+#: Occurrences that a task gathers before it sorts them, and different n-grams that it holds before it gives them away.
+FRESH = 1 << 18
+HELD = 1 << 20
 SALTS = 16
 
 _BREAK = b"."
@@ -184,12 +186,11 @@ def _count_words(seed: int):
 def word_table(texts: DataFrame, seeds: Iterable[int] = range(8)) -> tuple[DataFrame, int]:
     """All words with exact counts, ``id, lang, word, n``, and the seed under which every id stands for one word."""
     for seed in seeds:
-        word = F.struct("lang", "word")
         counted = materialize(
             texts.mapInArrow(_count_words(seed), "id long, lang string, word string, n long")
-            .groupBy("id").agg(F.sum("n").alias("n"), F.min(word).alias("least"), F.max(word).alias("most")), "words")
-        if counted.where("least <> most").limit(1).count() == 0:
-            return counted.select("id", "least.lang", "least.word", "n"), seed
+            .groupBy("id", "lang", "word").agg(F.sum("n").alias("n")), "words")
+        if counted.groupBy("id").count().where("count > 1").limit(1).count() == 0:
+            return counted, seed
     raise ValueError("no seed gives every word an id of its own")
 
 
@@ -228,7 +229,8 @@ def grams_in(ids: np.ndarray, words: int, frequent: np.ndarray) -> list[np.ndarr
     if n < 2:
         return [np.zeros(0, np.uint64)] * words
     part = [ids[i:i + n] for i in range(words - 1)]
-    able = frequent[slot(part)]
+    place = slot(part)
+    able = (frequent[place >> 3] >> (7 - (place & 7)) & 1).astype(bool)
     for column in part:
         able &= column != 0
     at = np.flatnonzero(able[:-1] & able[1:])
@@ -242,7 +244,7 @@ def _count(words: int, seed: int, packed: bytes, block_bits: int):
     """Filters of the n-grams of a task's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).astype(bool)
+        frequent = np.frombuffer(zlib.decompress(packed), np.uint8)
         lookups: dict[str, WordIds] = {}
         keys, counts = [np.zeros(0, np.uint64)] * words, np.zeros(0, np.int64)
         fresh: list[list[np.ndarray]] = []
@@ -279,7 +281,7 @@ def _count(words: int, seed: int, packed: bytes, block_bits: int):
                     ids.append(np.fromiter(map(lookups[lang].__getitem__, found), np.uint64, len(found)))
                     ids.append(np.zeros(1, np.uint64))
                 fresh.append(grams_in(np.concatenate(ids), words, frequent))
-                if sum(len(g[0]) for g in fresh) > HELD:
+                if sum(len(g[0]) for g in fresh) > FRESH:
                     fold()
                 if len(counts) > HELD:
                     yield from given()

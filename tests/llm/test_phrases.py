@@ -75,6 +75,7 @@ def test_many_filters_merge_to_the_same_counts(spark, monkeypatch):
     rows = made(random.Random(3), 400)
     df = spark.createDataFrame(rows, "lang string, text string").repartition(7)
     monkeypatch.setattr(P, "HELD", 50)
+    monkeypatch.setattr(P, "FRESH", 20)
     monkeypatch.setattr(P, "CACHE_WORDS", 3)
     assert collected(P.collocations(df)) == brute(rows)
 
