@@ -572,6 +572,30 @@ def _pages() -> None:
     o["c4_model_card_diff"] = profile(CAPTURES,
         f"SELECT coalesce(n.page_id,o.page_id) AS page_id, coalesce(n.cycle_no,o.cycle_no+1) AS cycle_no, coalesce(n.field,o.field) AS field, o.value AS old_value, n.value AS new_value "
         f"FROM ({card}) n FULL OUTER JOIN ({card}) o ON n.page_id=o.page_id AND n.cycle_no=o.cycle_no+1 AND n.field=o.field WHERE n.value IS DISTINCT FROM o.value")
+    link = "'https://docs.example/' || d || CASE d%3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.html' ELSE '.DOCX' END"
+    own = fields.replace("SELECT page_id, page_url, pos", "SELECT page_id, cycle_no, page_url, pos").replace(
+        "(SELECT page_id, url AS page_url", "(SELECT page_id, cycle_no, url AS page_url").replace(
+        "FROM (SELECT page_id, url, regexp", "FROM (SELECT page_id, cycle_no, url, regexp").replace("AS a FROM g5", "AS a FROM g5 WHERE parsed")
+    manifest = f"""fd AS (SELECT cycle_no, doc_id AS d, {link.replace('d%', 'doc_id%').replace('|| d ', '|| doc_id ')} AS link,
+  CASE WHEN cycle_no=3 AND doc_id%10=5 THEN NULL WHEN cycle_no>=2 AND doc_id%10=2 THEN text || ' rev2' WHEN cycle_no=3 AND doc_id%10=3 THEN text || ' rev3' ELSE text END AS content,
+  doc_id%3<>1 OR doc_id%4 IN (0,3) AS followed FROM documents, range(1,4) c(cycle_no) WHERE NOT (cycle_no=2 AND doc_id%10=4)),
+ml AS (SELECT page_id, cycle_no, {link} AS link FROM g1, range(page_id*4, page_id*4+4) r(d)
+  WHERE parsed AND NOT (cycle_no=1 AND d%10=0) AND NOT (cycle_no=2 AND d%10=1)
+  UNION SELECT page_id, cycle_no, href FROM ({own}) WHERE {kept}),
+ma AS (SELECT ml.page_id, ml.cycle_no, ml.link, CASE WHEN fd.followed AND fd.content IS NOT NULL THEN sha256(fd.content) END AS hash,
+  CASE WHEN fd.d IS NOT NULL AND NOT (fd.cycle_no=3 AND fd.d%10=5) THEN 200 END AS status FROM ml LEFT JOIN fd USING (cycle_no, link)),
+mb AS (SELECT captured_at, ordinal, url, cycle_id, cur.page_id AS cp, cur.cycle_no AS cc, prev.page_id AS pp, prev.cycle_no AS pc FROM pr WHERE known AND cur.has_profile AND prev.has_profile),
+mx AS (SELECT mb.captured_at, mb.ordinal, mb.url, mb.cycle_id, link, hash, status FROM mb JOIN ma ON ma.page_id=cp AND ma.cycle_no=cc),
+my AS (SELECT mb.captured_at, mb.ordinal, mb.url, mb.cycle_id, link, hash FROM mb JOIN ma ON ma.page_id=pp AND ma.cycle_no=pc),
+md AS (SELECT captured_at, ordinal, url, cycle_id, link, my.hash AS old_hash, mx.hash AS new_hash, mx.status,
+  CASE WHEN my.ordinal IS NULL THEN 'added' WHEN mx.ordinal IS NULL THEN 'removed' ELSE 'changed' END AS kind
+  FROM mx FULL OUTER JOIN my USING (captured_at, ordinal, url, cycle_id, link)
+  WHERE mx.ordinal IS NULL OR my.ordinal IS NULL OR mx.hash IS DISTINCT FROM my.hash)"""
+    o["i12_documents_in_detection"] = "WITH " + ",\n".join([CAPTURES, PROFILE, PAIRS, manifest]) + """
+SELECT url, captured_at, ordinal, cycle_id, 19 AS rule_ordinal, 'linked_document_' || kind AS change_type, 'linked_documents' AS source,
+  CASE kind WHEN 'changed' THEN 'high' ELSE 'medium' END AS severity, false AS policy_alert, link, old_hash, new_hash,
+  'Linked doc ' || kind || ': ' || link || CASE kind WHEN 'added' THEN ' (status:' || coalesce(CAST(status AS VARCHAR),'') || ' type:)'
+   WHEN 'removed' THEN ' (old_hash:' || coalesce(old_hash,'') || ')' ELSE ' (old:' || coalesce(old_hash,'') || ' new:' || coalesce(new_hash,'') || ')' END AS log_text FROM md"""
     header = ("SELECT page_id, cycle_no, 'content-type' AS name, content_type AS value FROM src WHERE error IS NULL UNION ALL SELECT page_id, cycle_no, 'last-modified', last_modified FROM src WHERE error IS NULL "
               "UNION ALL SELECT page_id, cycle_no, 'etag', 'late-' || url FROM src WHERE error IS NULL")
     o["b6_volatile_header_drop"] = _with(CAPTURES) + header

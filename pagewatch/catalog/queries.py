@@ -672,6 +672,21 @@ def i12(spark, sf_dir):
     return found.withColumn("log_text", text)
 
 
+@query("i12_documents_in_detection")
+def i12_detected(spark, sf_dir):
+    """Document changes of captured pages, found with all other changes, and their log texts."""
+    records = profile_records(D.document_captures(spark, sf_dir), D.fetched_documents(spark, sf_dir))
+    found = replay_changes(records).select(
+        *CAPTURE, F.col("cur.documents").alias("documents"), F.inline_outer("changes")
+    ).where("change_type LIKE 'linked_document%'")
+    change = F.struct("change_type", "source", "field", "old_value", "new_value")
+    return found.select(
+        *CAPTURE, "rule_ordinal", "change_type", "source", "severity", "policy_alert", F.col("field").alias("link"),
+        F.col("old_value").alias("old_hash"), F.col("new_value").alias("new_hash"),
+        reports.change_text(change, F.col("documents")).alias("log_text"),
+    )
+
+
 @query("i_all_changes")
 def all_changes(spark, sf_dir):
     return changes(spark, sf_dir)

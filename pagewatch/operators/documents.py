@@ -1,4 +1,8 @@
-"""Linked documents: which bodies count, fingerprints, and comparison of two manifests."""
+"""Linked documents: which bodies count, fingerprints, manifests of pages, and comparison of two manifests.
+
+A manifest is a map from the links of a page to what is known of each document: its hash, status, media type, length,
+whether it was skipped, and the error if it could not be read. Every link of the page has an entry.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pagewatch.functions.urls import path as url_path
 from pagewatch.operators.rules import differs
 
+ENTRY = "STRUCT<hash: STRING, status_code: INT, content_type: STRING, length: BIGINT, skipped: BOOLEAN, error: STRING>"
+MANIFEST = f"MAP<STRING, {ENTRY}>"
+NOT_CAPTURED = "not captured"
+
 # Media types and file endings of documents that are followed.
 FOLLOWED_TYPES = [
     "application/pdf",
@@ -54,6 +62,57 @@ def fingerprints(documents: DataFrame, **whitelists: list[str]) -> DataFrame:
     )
 
 
+def fetched_fingerprints(documents: DataFrame) -> DataFrame:
+    """One fingerprint per link and cycle: ``cycle_id, link, entry``, however many pages share the link.
+
+    ``documents`` has ``cycle_id, link, content_type, status_code, declared_length`` and either the ``content`` or its ``hash``
+    and ``length``, as the reader gives them. A row with an ``error`` has no fingerprint. Of several rows of a link the least
+    entry counts.
+    """
+    given = documents.columns
+    followed = is_followed(F.col("content_type"), F.col("link"))
+    failed = F.col("error").isNotNull() if "error" in given else F.lit(False)
+    body = F.col("hash") if "hash" in given else F.sha2("content", 256)
+    length = F.col("length") if "length" in given else F.octet_length("content")
+    read = followed & ~failed
+    entry = F.struct(
+        F.when(read, body).alias("hash"),
+        F.col("status_code").cast("int").alias("status_code"),
+        F.col("content_type").alias("content_type"),
+        F.when(read, length).when(~failed, F.coalesce("declared_length", F.lit(0))).cast("bigint").alias("length"),
+        (~followed).alias("skipped"),
+        (F.col("error") if "error" in given else F.lit(None)).cast("string").alias("error"),
+    ).cast(ENTRY)
+    return documents.select("cycle_id", "link", entry.alias("entry")).groupBy("cycle_id", "link").agg(
+        F.min("entry").alias("entry")
+    )
+
+
+def with_manifests(records: DataFrame, documents: DataFrame) -> DataFrame:
+    """Add the manifest of each record's own links as ``documents``.
+
+    A link that was not captured in the record's cycle has an error, or is skipped if nothing of its kind is followed. A record
+    without a profile has no manifest. Only keys and links are shuffled to meet the documents.
+    """
+    key = ["url", "captured_at", "ordinal"]
+    links = records.select(
+        *key, "cycle_id", F.explode(F.array_distinct(F.col("profile.important_links")["url"])).alias("link")
+    )
+    unknown = ~is_followed(F.lit(None).cast("string"), F.col("link"))
+    missing = F.struct(
+        F.lit(None), F.lit(None), F.lit(None), F.lit(0), unknown, F.when(~unknown, F.lit(NOT_CAPTURED))
+    ).cast(ENTRY)
+    manifests = (
+        links.join(fetched_fingerprints(documents), ["cycle_id", "link"], "left")
+        .groupBy(*key)
+        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("link", F.coalesce("entry", missing))))).alias("documents"))
+    )
+    empty = F.create_map().cast(MANIFEST)
+    return records.join(manifests, key, "left").withColumn(
+        "documents", F.when(F.col("profile").isNotNull(), F.coalesce("documents", empty))
+    )
+
+
 def manifest_changes(current: DataFrame, previous: DataFrame, follow: bool = True) -> DataFrame:
     """Documents added, removed or changed between two manifests.
 

@@ -8,14 +8,16 @@ Every tier is an equi-join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewatch.functions.headers import normalize_headers
 from pagewatch.functions.urls import TIER_DECLARED, candidate_keys, history_key, normalize_url
 from pagewatch.operators.rules import snapshot
 from pagewatch.operators.skew import (
-    DEFAULT_POLICY, SkewPolicy, assign_chunks, plan_chunks, previous_in_order,
+    DEFAULT_POLICY, SkewPolicy, plan_chunks, previous_in_order,
 )
+from pagewatch.operators.sweep import holders
+from pagewatch.session import materialize
 
 # State rows come before every row of a batch.
 ORDER = ["_seq", "captured_at", "ordinal"]
@@ -99,12 +101,10 @@ def _candidates(slim: DataFrame) -> DataFrame:
     )
 
 
-def _declared_keys(slim: DataFrame, open_captures: DataFrame, chunks: DataFrame | None) -> DataFrame:
-    """Last tier: captures whose URL some stored capture declared at that time.
+def _claims(slim: DataFrame, chunks: DataFrame | None, policy: SkewPolicy) -> DataFrame:
+    """Intervals in which a stored capture declares a URL, ranked by when its key was first stored.
 
-    Runs of writes with the same declaration become one interval. Of the intervals of one
-    declared URL, those that start later and belong to a later key than an interval without
-    an end can never be the first match and are dropped before the join.
+    Runs of writes with the same declaration become one interval, from its first write to the write that ends it.
     """
     position = _position()
     declared = slim.select(
@@ -114,33 +114,68 @@ def _declared_keys(slim: DataFrame, open_captures: DataFrame, chunks: DataFrame
     ))))
     turns = previous_in_order(
         declared, "history_key", ORDER, F.struct("declares"), "before", chunks
-    ).where(F.col("before").isNull() | (F.col("before.declares") != F.col("declares")))
-    of_key = Window.partitionBy("history_key").orderBy(*ORDER)
-    inserted = slim.groupBy("history_key").agg(F.min(position).alias("inserted"))
-    intervals = (
-        turns.select(
-            "history_key", "declares", position.alias("start"), F.lead(position).over(of_key).alias("end")
-        )
-        .join(inserted, "history_key")
-        .withColumn("declared", F.explode("declares"))
+    ).where(F.col("before").isNull() | (F.col("before.declares") != F.col("declares"))).select(
+        "history_key", *ORDER, "declares"
+    )
+    plan = None
+    if chunks is not None:
+        turns = materialize(turns, "turns")
+        plan = plan_chunks(turns.select("history_key", *ORDER), "history_key", ORDER, policy=policy)
+    # The write that ends an interval tells it; the last one of a key has no end.
+    claim = F.struct(position.alias("start"), F.col("declares"))
+    ended = previous_in_order(turns, "history_key", ORDER, claim, "claim", plan).where(
+        F.col("claim").isNotNull()
+    ).select("history_key", "claim", position.alias("end"))
+    lasting = turns.groupBy("history_key").agg(F.max(claim).alias("claim")).withColumn(
+        "end", F.lit(None).cast(ended.schema["end"].dataType)
+    )
+    inserted = slim.groupBy("history_key").agg(F.min(position).alias("rank"))
+    return (
+        ended.unionByName(lasting)
+        .select("history_key", "claim.start", "end", F.explode("claim.declares").alias("_group"))
         # Declaring its own key adds nothing to the second tier.
-        .where(F.col("declared") != F.col("history_key"))
+        .where(F.col("_group") != F.col("history_key"))
+        .join(inserted, "history_key")
+        .withColumnRenamed("history_key", "value")
     )
-    lasting = (
-        intervals.where(F.col("end").isNull())
-        .groupBy("declared")
-        .agg(F.min(F.struct("inserted", "start")).alias("lasting"))
+
+
+def _declared_keys(
+    slim: DataFrame, open_captures: DataFrame, chunks: DataFrame | None, policy: SkewPolicy
+) -> DataFrame | None:
+    """Last tier: captures whose URL some stored capture declared at that time; None if none declares one.
+
+    A sweep over the claims of a declared URL tells from when on which key is the first to declare it. A capture then
+    looks back at the last such change, as it does at captures of its own key.
+    """
+    changes = materialize(holders(_claims(slim, chunks, policy), policy), "declared")
+    if changes.isEmpty():
+        return None
+    order = [*ORDER, "_kind"]
+
+    def asking(captures: DataFrame) -> DataFrame:
+        return captures.select(
+            normalize_url(F.col("url")).alias("_group"), "url", *ORDER, F.lit(None).cast("string").alias("value"),
+            F.lit(0).alias("_kind"),
+        )
+
+    # A change takes effect after the captures of its own position.
+    told = changes.select("_group", F.lit(None).cast("string").alias("url"), *ORDER, "value", F.lit(1).alias("_kind"))
+    writes = F.col("_kind") == 1
+    # All captures in place of those still open: counting them needs no lookup.
+    plan = plan_chunks(
+        asking(slim.where("_seq = 1")).unionByName(told).select("_group", *order), "_group", order, writes, policy
     )
-    useful = intervals.join(lasting, "declared", "left").where(
-        F.col("lasting").isNull()
-        | (F.col("inserted") <= F.col("lasting.inserted"))
-        | (F.col("start") < F.col("lasting.start"))
+    looked = previous_in_order(
+        asking(open_captures).unionByName(told), "_group", order, F.struct("value"), "last", plan, writes
     )
-    asked = open_captures.select("url", normalize_url(F.col("url")).alias("declared"), *ORDER)
-    matches = asked.join(useful, "declared").where(
-        (F.col("start") < position) & (F.col("end").isNull() | (position <= F.col("end")))
+    return looked.where((F.col("_kind") == 0) & F.col("last.value").isNotNull()).select(
+        "url", *ORDER, F.col("last.value").alias("declared_key")
     )
-    return matches.groupBy("url", *ORDER).agg(F.min_by("history_key", "inserted").alias("declared_key"))
+
+
+def _snapshot_of(records: DataFrame) -> Column:
+    return snapshot(documents="documents" in records.columns).alias("cur")
 
 
 def pair_with_previous(
@@ -154,14 +189,14 @@ def pair_with_previous(
     looked back at. ``records`` are read several times, by few columns each; pass a table,
     not an unfinished profile job.
     """
-    keep = [c for c in records.columns if c not in ("headers", "profile")]
+    keep = [c for c in records.columns if c not in ("headers", "profile", "documents")]
     # Snapshots are taken next to the scan, so only their fields of a profile are read.
-    rows = records.select(*keep, snapshot().alias("cur")).withColumn("_seq", F.lit(1))
+    rows = records.select(*keep, _snapshot_of(records)).withColumn("_seq", F.lit(1))
     stored = None
     if state is not None:
         state = state.select(
             "history_key", "url", "final_url", "captured_at", "ordinal", "first_captured_at",
-            "first_ordinal", snapshot().alias("cur"),
+            "first_ordinal", _snapshot_of(state),
         )
         # Only the state of keys that this batch can touch takes part.
         needed = rows.select(
@@ -200,11 +235,13 @@ def pair_with_previous(
     resolved = asked.join(_candidates(slim), "url", "left").withColumn(
         "key", F.get(F.filter("candidates", lambda c: c["first"] < position), F.lit(0))["key"]
     )
-    # The tier is part of the plan for every log; where nothing is declared its joins are empty.
-    declared = _declared_keys(slim, resolved.where(F.col("key").isNull()), chunks)
-    found = resolved.join(declared, ["url", *ORDER], "left").select(
-        "url", *ORDER, F.coalesce("key", "declared_key").alias("_found")
-    )
+    declared = _declared_keys(slim, resolved.where(F.col("key").isNull()), chunks, policy)
+    if declared is None:
+        found = resolved.select("url", *ORDER, F.col("key").alias("_found"))
+    else:
+        found = resolved.join(declared, ["url", *ORDER], "left").select(
+            "url", *ORDER, F.coalesce("key", "declared_key").alias("_found")
+        )
 
     def role(group: Column, writes: bool, reads: bool) -> Column:
         return F.struct(

@@ -26,9 +26,10 @@ def detected_only(detected: DataFrame) -> DataFrame:
 def with_priority(changes: DataFrame, schedule: DataFrame) -> DataFrame:
     """Attach the watchlist priority. ``schedule`` has one row per URL, so no row multiplies.
 
-    No broadcast hint: a watchlist grows with the data, and the join adapts to its size.
+    A URL that is not in the watchlist keeps its changes and has no priority. No broadcast hint: a watchlist grows with
+    the data, and the join adapts to its size.
     """
-    return changes.join(schedule.select("url", "priority"), "url")
+    return changes.join(schedule.select("url", "priority"), "url", "left")
 
 
 def iso_time(moment: Column) -> Column:
@@ -54,15 +55,25 @@ ARROW_LABELS = {
 }
 
 
-def change_text(change: Column) -> Column:
-    """Log text of one change struct; null where the log has no wording for its type."""
+def change_text(change: Column, documents: Column | None = None) -> Column:
+    """Log text of one change struct; null where the log has no wording for its type.
+
+    ``documents`` is the page's manifest, which knows the status of a document that was added.
+    """
     kind = change["change_type"]
     text = F.when(kind == "content_change", F.lit("Content modified"))
     for name, label in ARROW_LABELS.items():
         text = text.when(kind == name, _arrow(label, change))
+    if documents is not None:
+        status = F.try_element_at(documents, change["field"])["status_code"]
+        text = text.when(
+            change["source"] == "linked_documents",
+            document_text(kind, change["field"], change["old_value"], change["new_value"], status),
+        )
     return text
 
 
+# How the change log words changes of linked documents.
 def document_text(change_type: Column, link: Column, old: Column, new: Column, status: Column) -> Column:
     """Log text of a linked-document change; missing values print as nothing."""
 
@@ -94,7 +105,7 @@ def change_types(changes: Column) -> Column:
 
 def change_log_rows(detected: DataFrame, schedule: DataFrame) -> DataFrame:
     """One log row per capture that changed something. Rows are made in place, without grouping."""
-    texts = F.array_compact(F.transform("changes", change_text))
+    texts = F.array_compact(F.transform("changes", lambda c: change_text(c, F.col("cur.documents"))))
     rows = with_priority(detected_only(detected), schedule).withColumn("_texts", texts)
     return rows.select(
         "cycle_id",

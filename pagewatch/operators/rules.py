@@ -44,8 +44,15 @@ def _header_field(name: str) -> str:
     return "header_" + name.replace("-", "_")
 
 
-def snapshot(prefix: str = "") -> Column:
-    """The part of a capture record that rules look at. Headers must be normalised."""
+#: What rules look at in the manifest of linked documents.
+SEEN_DOCUMENTS = "MAP<STRING, STRUCT<hash: STRING, status_code: INT>>"
+
+
+def snapshot(prefix: str = "", documents: bool = False) -> Column:
+    """The part of a capture record that rules look at. Headers must be normalised.
+
+    ``documents`` tells whether the records have a manifest; without one, documents are not followed.
+    """
 
     def col(name: str) -> Column:
         return F.col(prefix + name)
@@ -78,6 +85,12 @@ def snapshot(prefix: str = "") -> Column:
             "version_indicators"
         ),
         F.coalesce(content["has_legal_language"], F.lit(False)).alias("has_legal_language"),
+        (
+            F.transform_values(
+                col("documents"),
+                lambda _, d: F.struct(d["hash"].alias("hash"), d["status_code"].alias("status_code")),
+            ) if documents else F.lit(None).cast(SEEN_DOCUMENTS)
+        ).alias("documents"),
     )
 
 
@@ -261,6 +274,30 @@ def _model_card_changes(cur_card: Column, prev_card: Column) -> Column:
     )
 
 
+def document_changes(cur: Column, prev: Column) -> Column:
+    """Documents that a page links to newly, no longer, or with another body; in order of their links.
+
+    Only where the current manifest is there. A stored page without one had no documents.
+    """
+    none = F.create_map().cast(SEEN_DOCUMENTS)
+
+    def change(link: Column, new: Column, old: Column) -> Column:
+        def row(kind: str, severity: str) -> Column:
+            return change_struct(
+                19, f"linked_document_{kind}", "linked_documents", severity, False, link, old["hash"], new["hash"]
+            )
+
+        return (
+            F.when(old.isNull(), row("added", "medium")).when(new.isNull(), row("removed", "medium"))
+            .when(differs(old["hash"], new["hash"]), row("changed", "high"))
+        )
+
+    both = F.map_zip_with(cur["documents"], F.coalesce(prev["documents"], none), change)
+    return F.transform(
+        F.array_sort(F.map_entries(F.map_filter(both, lambda _, c: c.isNotNull()))), lambda e: e["value"]
+    )
+
+
 def with_changes(
     pairs: DataFrame,
     limits: Thresholds = Thresholds(),
@@ -269,7 +306,7 @@ def with_changes(
     """Add ``changes`` to rows that hold ``cur`` and ``prev`` snapshots.
 
     Changes are in rule order. Without a previous snapshot there is one change, the first
-    detection. Model cards are walked only where structured data changed.
+    detection; a late capture has none. Model cards are walked only where structured data changed.
     """
     cur, prev = F.col("cur"), F.col("prev")
     rules = [r for build in (rule_sets or DEFAULT_RULES) for r in build(cur, prev, limits)]
@@ -293,12 +330,16 @@ def with_changes(
     card_changes = F.when(
         F.col("_cur_card").isNotNull(), _model_card_changes(F.col("_cur_card"), F.col("_prev_card"))
     ).otherwise(no_changes)
+    followed = cur["has_profile"] & prev["has_profile"] & cur["documents"].isNotNull()
+    late = F.col("is_late") if "is_late" in pairs.columns else F.lit(False)
     changes = (
-        F.when(prev.isNull(), F.array(_first_detection()))
+        F.when(late, no_changes)
+        .when(prev.isNull(), F.array(_first_detection()))
         .otherwise(
             F.concat(
                 fired([r for r in rules if r.ordinal < 18]),
                 card_changes,
+                F.when(followed, document_changes(cur, prev)).otherwise(no_changes),
                 fired([r for r in rules if r.ordinal > 18]),
             )
         )

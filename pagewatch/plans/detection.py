@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from pagewatch.operators.documents import with_manifests
 from pagewatch.operators.history import pair_with_previous, to_records
 from pagewatch.operators.profile import profile_captures
 from pagewatch.operators.rules import RuleSet, Thresholds, with_changes
@@ -11,9 +12,13 @@ from pagewatch.operators.skew import DEFAULT_POLICY, SkewPolicy
 from pagewatch.sources.tables import PageState, materialize
 
 
-def profile_records(captures: DataFrame) -> DataFrame:
-    """Profile captures once and keep the records as a table, which is far smaller than the HTML."""
-    return materialize(to_records(profile_captures(captures)), "records")
+def profile_records(captures: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Profile captures once and keep the records as a table, which is far smaller than the HTML.
+
+    With ``documents``, the linked documents captured in the same cycles, records get the manifest of their links.
+    """
+    records = materialize(to_records(profile_captures(captures)), "records")
+    return records if documents is None else with_manifests(records, documents)
 
 
 def replay_changes(

@@ -182,6 +182,48 @@ def linked_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _doc_link(doc: F.Column) -> F.Column:
+    extension = F.when(doc % 3 == 0, ".pdf").when(doc % 3 == 1, ".html").otherwise(".DOCX")
+    return F.concat(F.lit("https://docs.example/"), doc.cast("string"), extension)
+
+
+def document_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page captures with links to four documents each; some links come and go with the cycles."""
+    cycle = F.col("cycle_no")
+    linked = F.filter(
+        F.sequence(F.col("page_id") * 4, F.col("page_id") * 4 + 3),
+        lambda d: ~((cycle == 1) & (d % 10 == 0)) & ~((cycle == 2) & (d % 10 == 1)),
+    )
+    anchors = F.array_join(F.transform(linked, lambda d: F.concat(F.lit('<a href="'), _doc_link(d), F.lit('"></a>'))), "")
+    return page_captures(spark, sf_dir).withColumn(
+        "html", F.replace("html", F.lit("</article>"), F.concat(anchors, F.lit("</article>")))
+    )
+
+
+def fetched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as captured in three cycles: some change, some are missing or fail in one of them."""
+    doc, cycle = F.col("doc_id"), F.col("cycle_no")
+    failed = (cycle == 3) & (doc % 10 == 5)
+    captured_at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(cycle)
+    return (
+        table(spark, sf_dir, "documents")
+        .withColumn("cycle_no", F.explode(F.sequence(F.lit(1), F.lit(3))))
+        .where(~((cycle == 2) & (doc % 10 == 4)))
+        .select(
+            F.concat(F.lit("cycle_"), F.date_format(captured_at, "yyyyMMdd_HHmmss")).alias("cycle_id"),
+            _doc_link(doc).alias("link"),
+            F.when(failed, F.lit(None)).when((cycle >= 2) & (doc % 10 == 2), F.concat("text", F.lit(" rev2")))
+            .when((cycle == 3) & (doc % 10 == 3), F.concat("text", F.lit(" rev3")))
+            .otherwise(F.col("text")).alias("content"),
+            F.when(doc % 4 == 0, "application/pdf; charset=binary").when(doc % 4 == 1, "text/html")
+            .when(doc % 4 == 3, "application/msword").alias("content_type"),
+            F.when(~failed, 200).alias("status_code"),
+            F.col("n_chars").alias("declared_length"),
+            F.when(failed, "timed out").alias("error"),
+        )
+    )
+
+
 def page_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as stored under six spellings of their key; every seventh page is not stored."""
     page, url = F.col("page_id"), F.col("url")

@@ -5,14 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewatch.operators.history import latest_records
-from pagewatch.session import shared_dir
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back; lost executors cost no rework."""
-    path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from pagewatch.session import materialize, shared_dir
 
 
 class PageState:

@@ -2,13 +2,17 @@
 
 import datetime as dt
 import random
+import time
+from collections import defaultdict
 from urllib.parse import urlsplit
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pagewatch.operators.history import latest_records, pair_with_previous
 from pagewatch.operators.skew import SkewPolicy, number_in_order, plan_chunks, previous_in_order
+from pagewatch.operators.sweep import POSITION, _sweep, holders
 from pagewatch.plans.detection import replay_changes
 from pagewatch.sources.tables import PageState
 
@@ -211,3 +215,72 @@ def test_declared_tier_does_not_depend_on_other_rows(spark):
         return {r[0]: r[1] for r in pair_with_previous(records).select("ordinal", "prev.ordinal").collect()}
 
     assert pairs(rows)[2] == pairs(rows + unrelated)[2] == loop(rows)[2]
+
+
+# ------------------------------------------------------------------ overlapping claims
+
+
+def claims_frame(spark, rows):
+    spot = "struct<_seq: int, captured_at: timestamp_ntz, ordinal: bigint>"
+    at = lambda n: None if n is None else (1, START, n)
+    made = [(g, v, at(a), at(b), at(r)) for g, v, a, b, r in rows]
+    return spark.createDataFrame(made, f"_group string, value string, start {spot}, end {spot}, rank {spot}")
+
+
+def holder_at(rows, group, n):
+    living = [(r, v) for g, v, a, b, r in rows if g == group and a < n and (b is None or n <= b)]
+    return min(living)[1] if living else None
+
+
+@pytest.mark.parametrize("policy", [SkewPolicy(), SkewPolicy(min_rows=5, share=0.0), SkewPolicy(min_rows=40, share=0.0)])
+def test_holders_equal_all_claims(spark, policy):
+    rng = random.Random(9)
+    rows = []
+    for n in range(300):
+        start = rng.randrange(400)
+        end = rng.choice([None, start + 1, start + rng.randrange(1, 30), start + rng.randrange(1, 300)])
+        # One value claims one group many times, with the rank that it always has.
+        rows.append((rng.choice("aaab"), f"v{n}", start, None if end is None else end, n * 7 % 300))
+    changes = defaultdict(list)
+    for r in holders(claims_frame(spark, rows).repartition(3), policy).collect():
+        changes[r._group].append((r.ordinal, r.value))
+    for group in "ab":
+        told = {}
+        for at, value in sorted(changes[group], key=lambda c: c[0]):
+            assert told.get(at, value) == value  # chunks agree on their border
+            told[at] = value
+        for n in range(-1, 720):
+            last = max((at for at in told if at < n), default=None)
+            assert told.get(last) == holder_at(rows, group, n), (group, n)
+
+
+def test_redirected_url_against_alternating_canonical(spark):
+    """Many captures of a URL that others declare on and off: one look back each, not one per interval."""
+    wanted = "http://wanted.example/p"
+    rows = []
+    for n in range(1200):
+        if n % 3 == 0:
+            rows.append(capture(f"http://a{n // 3 % 4}.example/x", n, canonical=wanted if n // 12 % 2 else None))
+        else:
+            rows.append(capture(wanted, n, final=f"http://r{n % 2}.example/"))
+    records = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    for policy in (SkewPolicy(), SkewPolicy(min_rows=60, share=0.0)):
+        got = pair_with_previous(records, policy=policy).select("ordinal", "prev.ordinal").collect()
+        assert {r[0]: r[1] for r in got} == loop(rows)
+
+
+def test_sweep_of_many_claims_is_linear():
+    """10^5 claims that alternate on one group are swept in seconds, and the heap stays as small as what lives."""
+    n = 100_000
+    at = [pa.array(c) for c in zip(*[(1, i, i) for i in range(n)])]
+    end = [pa.array([None if i % 2 else 1 for i in range(n)], pa.int64()), pa.array([i + 1 for i in range(n)]), pa.array([i + 1 for i in range(n)])]
+    names = [f"{p}_{f}" for p in ("start", "end", "rank") for f in POSITION]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["g"] * n), pa.array([0] * n), pa.array([f"k{i % 2}" for i in range(n)]), *at, *end, *at],
+        ["_group", "_chunk", "value", *names])
+    for name in ("start_captured_at", "end_captured_at", "rank_captured_at"):
+        k = batch.schema.get_field_index(name)
+        batch = batch.set_column(k, name, batch.column(k).cast(pa.timestamp("us")))
+    begin = time.time()
+    rows = sum(b.num_rows for b in _sweep(iter([batch])))
+    assert time.time() - begin < 10 and rows <= 2 * n
