@@ -228,6 +228,8 @@ def pair_with_previous(
     slim = slim_of(on_time)
     if stored is not None:
         slim = slim.unionByName(slim_of(_in_insertion_order(stored)))
+    # Keys and positions are read five times below: normalise URLs and meet the state once.
+    slim = materialize(slim, "slim")
 
     chunks = plan_chunks(slim.select("history_key", *ORDER), "history_key", ORDER, policy=policy)
     asked = rows.where(~F.col("is_late")).select("url", *ORDER)

@@ -127,11 +127,15 @@ def change_log_rows(detected: DataFrame, schedule: DataFrame) -> DataFrame:
     )
 
 
-def append_change_log(rows: DataFrame, path: str) -> None:
-    """Append the eleven log columns, under their log names, to a table."""
+def named_log(rows: DataFrame) -> DataFrame:
+    """The eleven log columns under their log names."""
     fields = [name.lower().replace(" ", "_") for name in LOG_COLUMNS]
-    named = [F.col(f).alias(name) for f, name in zip(fields, LOG_COLUMNS)]
-    rows.select(*named).write.mode("append").parquet(path)
+    return rows.select(*[F.col(f).alias(name) for f, name in zip(fields, LOG_COLUMNS)])
+
+
+def append_change_log(rows: DataFrame, path: str) -> None:
+    """Append the eleven log columns to a table."""
+    named_log(rows).write.mode("append").parquet(path)
 
 
 def append_batches(

@@ -8,12 +8,14 @@ one run over what has arrived, or a processing time for repeated runs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagewatch.operators.rules import Thresholds, change_percent, differs
 from pagewatch.operators.skew import DEFAULT_POLICY, SkewPolicy, plan_chunks, previous_in_order
-from pagewatch.plans.detection import run_batch
+from pagewatch.plans.detection import detect_batch, write_outputs
 from pagewatch.sources.tables import PageState
 
 NUMERIC_ORDER = ["_seq", "captured_at", "ordinal"]
@@ -27,14 +29,27 @@ def start_change_feed(
     limits: Thresholds = Thresholds(),
     policy: SkewPolicy = DEFAULT_POLICY,
     compact_every: int = 20,
+    documents: Callable[[DataFrame], DataFrame] | None = None,
+    schedule: Callable[[SparkSession], DataFrame] | None = None,
+    report_path: str | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Detect changes in a stream of captures and write them by batch."""
+    """Detect changes in a stream of captures and write them by batch.
+
+    ``documents`` gives the linked documents of a batch of captures. With ``schedule``, the watchlist at that time, and
+    ``report_path``, each batch also writes its change log, alerts, statistics and report. The state is
+    committed last: a batch that fails before that runs again from the same state and replaces all it had written.
+    """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        state = PageState(batch.sparkSession, state_path)
-        detected = run_batch(batch, state, batch_id, limits, policy)
-        detected.write.mode("overwrite").parquet(f"{output_path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        state = PageState(spark, state_path)
+        found = detect_batch(
+            batch, state, batch_id, limits, policy, documents and documents(batch), f"{output_path}/batch_id={batch_id}"
+        )
+        if schedule is not None and report_path is not None:
+            write_outputs(found.rows, schedule(spark), report_path, batch_id, bool(state.folders(batch_id)))
+        state.write(found.records, batch_id)
         if batch_id % compact_every == compact_every - 1:
             state.compact(batch_id)
 
@@ -54,27 +69,30 @@ def numeric_changes(
 ) -> DataFrame:
     """Status and size changes of a numeric capture log, after the last row per key.
 
-    A row older than the stored one pairs with nothing and is dropped.
+    A row older than the stored one is kept with ``is_late``, is compared with nothing and nothing is compared with it.
     """
     fields = ["key", "captured_at", "ordinal", "status_code", "content_length", "etag"]
-    rows = log.select(*fields).withColumn("_seq", F.lit(1))
+    rows = log.select(*fields).withColumns({"_seq": F.lit(1), "is_late": F.lit(False)})
     if last is not None:
         touched = last.join(rows.select("key").distinct(), "key", "left_semi").select(*fields)
         newest = touched.select("key", F.struct("captured_at", "ordinal").alias("_newest"))
-        rows = rows.join(newest, "key", "left").where(
-            F.col("_newest").isNull() | (F.struct("captured_at", "ordinal") > F.col("_newest"))
+        rows = rows.join(newest, "key", "left").withColumn(
+            "is_late", F.coalesce(F.struct("captured_at", "ordinal") <= F.col("_newest"), F.lit(False))
         ).drop("_newest")
-        rows = rows.unionByName(touched.withColumn("_seq", F.lit(0)))
+        rows = rows.unionByName(touched.withColumns({"_seq": F.lit(0), "is_late": F.lit(False)}))
     values = F.struct("status_code", "content_length", "etag")
-    chunks = plan_chunks(rows.select("key", *NUMERIC_ORDER), "key", NUMERIC_ORDER, policy=policy)
-    paired = previous_in_order(rows, "key", NUMERIC_ORDER, values, "prev", chunks)
+    writes = ~F.col("is_late")
+    chunks = plan_chunks(rows.select("key", *NUMERIC_ORDER, "is_late"), "key", NUMERIC_ORDER, writes, policy)
+    paired = previous_in_order(rows, "key", NUMERIC_ORDER, values, "prev", chunks, writes).withColumn(
+        "prev", F.when(writes, F.col("prev"))
+    )
     size = F.col("content_length") - F.col("prev.content_length")
     status = F.col("status_code")
     return paired.where("_seq = 1").select(
         "key", "captured_at", "ordinal", "status_code", "content_length",
         F.col("prev.status_code").alias("old_status"),
         F.col("prev.content_length").alias("old_length"),
-        F.col("prev").isNull().alias("is_first"),
+        (F.col("prev").isNull() & writes).alias("is_first"),
         F.coalesce(F.col("prev").isNotNull() & differs(status, F.col("prev.status_code")), F.lit(False))
         .alias("status_changed"),
         F.when(status >= 400, "high").otherwise("medium").alias("status_severity"),
@@ -82,6 +100,7 @@ def numeric_changes(
         F.coalesce(F.col("prev").isNotNull() & differs(F.col("etag"), F.col("prev.etag")), F.lit(False))
         .alias("etag_changed"),
         change_percent(F.col("prev.content_length"), F.col("content_length")).alias("change_percent"),
+        "is_late",
     )
 
 
@@ -104,7 +123,8 @@ def start_numeric_feed(
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         state = PageState(spark, state_path)
-        changes = numeric_changes(batch, _as_log(state.read(before=batch_id)), limits, policy)
+        keys = batch.select(F.col("key").alias("history_key"))
+        changes = numeric_changes(batch, _as_log(state.read(before=batch_id, keys=keys)), limits, policy)
         changes.write.mode("overwrite").parquet(f"{output_path}/batch_id={batch_id}")
         state.write(batch.withColumnRenamed("key", "history_key"), batch_id)
         if batch_id % compact_every == compact_every - 1:

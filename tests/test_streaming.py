@@ -33,13 +33,15 @@ def test_feed_over_days_equals_one_batch(spark, sf_dir, tmp_path):
     assert rows(run(spark, tmp_path / "in", tmp_path, log.schema, availableNow=True)) == want
 
 
-def test_late_rows_are_dropped(spark):
+def test_late_rows_are_kept_and_compared_with_nothing(spark):
     schema = "key bigint, captured_at timestamp_ntz, ordinal bigint, status_code int, content_length bigint, etag string"
     at = lambda h: dt.datetime(2024, 1, 1, h)
     last = spark.createDataFrame([(1, at(5), 5, 200, 10, "a")], schema)
     batch = spark.createDataFrame([(1, at(4), 9, 500, 0, "b"), (1, at(6), 6, 200, 1011, "a"), (2, at(1), 1, 200, 0, "c")], schema)
-    got = {r.ordinal: (r.old_length, r.is_first, r.size_changed) for r in numeric_changes(batch, last).collect()}
-    assert got == {6: (10, False, True), 1: (None, True, False)}
+    for policy in (SkewPolicy(), SkewPolicy(min_rows=1, share=0.0)):
+        found = numeric_changes(batch, last, policy=policy).collect()
+        got = {r.ordinal: (r.old_length, r.is_first, r.size_changed, r.is_late) for r in found}
+        assert got == {6: (10, False, True, False), 1: (None, True, False, False), 9: (None, False, False, True)}
 
 
 def test_empty_key_history_has_no_change(spark):
