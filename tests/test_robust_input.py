@@ -1,5 +1,7 @@
 """Inputs that web pages bring and that the fixtures do not hold."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,3 +48,30 @@ def test_json_null_is_no_model_card_value(spark):
 
 def test_repeated_json_key_keeps_the_last_value(spark):
     assert one(spark, '{"a": 1, "a": 2}', canonical_or_null) == '{"a":2}'
+
+
+BLOCKS = {
+    "<nav>": H.reduced_document, "<header>": H.reduced_document, "<footer>": H.reduced_document, "<!--": H.visible_document,
+    "<script>": H.visible_document, "<style>": H.visible_document, "<a href=x>": H.anchors, "<title>": H.title,
+    "<script >": H.json_ld_bodies,
+}
+
+
+@pytest.mark.parametrize("start", BLOCKS)
+def test_unclosed_starts_take_linear_time(spark, start):
+    text = start * (1_000_000 // len(start))
+    begin = time.perf_counter()
+    got = one(spark, text, BLOCKS[start])
+    assert time.perf_counter() - begin < 8
+    assert got in (text, [], None)
+
+
+def test_blocks_end_at_their_first_end(spark):
+    document = "a<nav>1<nav>2</nav>3</nav>b<!-- c --><!-- d <footer>e<header>f</header>g</nav>nav<nav>h</NAV >i<nav>j"
+    assert one(spark, document, H.visible_document) == document.replace("<!-- c -->", "")
+    assert one(spark, document, H.reduced_document) == "a3</nav>b<!-- c --><!-- d <footer>eg</nav>navi<nav>j"
+    links = "<a name=x><a href=1>one</a><A href=2>two</a ><a href=3>three"
+    assert one(spark, links, H.anchors) == ["<a name=x><a href=1>one</a>", "<A href=2>two</a >"]
+    page = "<!--x--><script type='application/ld+json'>{\"a\":\"<!-- b\"}</script><script type=application/ld+json>{}"
+    assert one(spark, page, H.json_ld_bodies) == ['{"a":"<!-- b"}']
+    assert one(spark, None, H.reduced_document) is None and one(spark, "", H.visible_document) == ""
