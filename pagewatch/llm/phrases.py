@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pagewatch.llm.common import CACHE_WORDS, mix, slices
+from pagewatch.llm.common import mix, slices
 from pagewatch.sources.tables import materialize
 
 MIN_COUNT = 30
@@ -48,6 +48,9 @@ BLOCK_QUOTIENT_BITS = 14
 #: Occurrences that a task gathers before it sorts them, and different n-grams that it holds before it gives them away.
 FRESH = 1 << 18
 HELD = 1 << 20
+#: Words that a task counts before it gives them away, and ids that it remembers; a task with more forgets them all.
+COUNTED = 1 << 18
+REMEMBERED = 1 << 17
 SALTS = 16
 
 _BREAK = b"."
@@ -61,7 +64,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 class WordIds(dict):
-    """Word to id in one language; a break is 0. Ids are computed anew once ``CACHE_WORDS`` are remembered."""
+    """Word to id in one language; a break is 0. Ids are computed anew once ``REMEMBERED`` are remembered."""
 
     def __init__(self, lang: str, seed: int):
         super().__init__({_BREAK: 0})
@@ -69,7 +72,7 @@ class WordIds(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word, self.seed) or 1
-        if len(self) < CACHE_WORDS:
+        if len(self) < REMEMBERED:
             self[word] = value
         return value
 
@@ -176,7 +179,7 @@ def _count_words(seed: int):
             for part, texts in slices(batch):
                 for lang, text in zip(part.column(0).to_pylist(), texts):
                     held.setdefault(lang, Counter()).update(words_of(text))
-                if sum(map(len, held.values())) > CACHE_WORDS:
+                if sum(map(len, held.values())) > COUNTED:
                     yield from given()
         yield from given()
 
@@ -273,6 +276,8 @@ def _count(words: int, seed: int, packed: bytes, block_bits: int):
 
         for batch in batches:
             for part, texts in slices(batch):
+                if sum(map(len, lookups.values())) > 2 * REMEMBERED:
+                    lookups.clear()
                 ids = []
                 for lang, text in zip(part.column(0).to_pylist(), texts):
                     if lang not in lookups:

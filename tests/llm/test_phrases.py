@@ -76,7 +76,8 @@ def test_many_filters_merge_to_the_same_counts(spark, monkeypatch):
     df = spark.createDataFrame(rows, "lang string, text string").repartition(7)
     monkeypatch.setattr(P, "HELD", 50)
     monkeypatch.setattr(P, "FRESH", 20)
-    monkeypatch.setattr(P, "CACHE_WORDS", 3)
+    monkeypatch.setattr(P, "COUNTED", 3)
+    monkeypatch.setattr(P, "REMEMBERED", 3)
     assert collected(P.collocations(df)) == brute(rows)
 
 
