@@ -155,6 +155,17 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
 
+ARCHIVED = """
+WITH paged AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+told AS (SELECT page_id, octet_length(body) AS size, sha1(body) AS digest,
+    CASE WHEN octet_length(body) >= 1000 THEN max(page_id) OVER (PARTITION BY body) END AS keeper FROM paged)
+SELECT page_id, size::BIGINT AS payload_bytes, digest AS payload_digest,
+    CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN keeper <> page_id THEN keeper END AS refers_to, true AS complete
+FROM told
+"""
+
 ORACLES = {
+    "op6_warc": ARCHIVED,
     "op11_secret_scan": secrets(), "op12_conversation_repair": CONVERSATIONS, "op13_phrase_collocations": COLLOCATIONS,
 }

@@ -65,7 +65,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
     write_warc(documents(spark, sf_dir, "pages"), path)
-    page = lambda name: F.element_at(F.split(name, ":"), 3).cast("long")
+    page = lambda name: F.element_at(F.split(name, ":"), 3).try_cast("long")
     return read_warc(spark, path).select(
         page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"),
         page("refers_to").alias("refers_to"), "complete",

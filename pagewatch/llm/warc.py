@@ -13,7 +13,9 @@ origin and ordered by segment number; the total length is verified, then the chu
 
 Defined cases: a null or empty page has an empty body, which is a response. A page with a null id is
 written under the id ``null`` and read as such. Repeated ids get one record each, told apart by a number.
-A record whose segments are missing or whose length is wrong is read with ``complete`` false and without a body. What has no ``WARC-Record-ID`` is no record.
+A record whose segments are missing, or whose length or another number is wrong or no number, is read with ``complete`` false and without
+a body. What has no ``WARC-Record-ID`` is no record. Archives are read by their version, 1.1 unless told; a file of another one ends
+the reading with an error, as its records could not be told apart.
 """
 
 from __future__ import annotations
@@ -152,6 +154,11 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     records.write.option("lineSep", END).text(path)
 
 
+def _number(text: str | None) -> int | None:
+    """A count, or None if there is none or it is no number."""
+    return int(text) if text and text.isascii() and text.isdigit() and len(text) < 19 else None
+
+
 def _parse(record: bytes) -> dict | None:
     """Fields and block of a record without its version line; None if it holds no header."""
     head, found, rest = record.partition(b"\r\n\r\n")
@@ -161,8 +168,8 @@ def _parse(record: bytes) -> dict | None:
     for line in head.decode("utf-8", "replace").split("\r\n"):
         name, _, value = line.partition(":")
         fields[name.strip().lower()] = value.strip()
-    length = int(fields.get("content-length", "-1"))
-    whole = 0 <= length <= len(rest)
+    length = _number(fields.get("content-length"))
+    whole = length is not None and length <= len(rest)
     return {"fields": fields, "block": rest[:length] if whole else b"", "whole": whole}
 
 
@@ -180,6 +187,8 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for raw in batch.column(0).to_pylist():
+            if raw and re.match(rb"WARC/\d", raw):
+                raise ValueError(f"an archive of another version: {raw[:8].decode()}")
             made = _parse(raw) if raw else None
             if made is None:
                 continue
@@ -187,14 +196,15 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = f.get("warc-record-id", "").strip("<>")
             if not own:
                 continue
-            number = f.get("warc-segment-number")
+            stated = f.get("warc-segment-number")
+            number = _number(stated)
+            number = number if number is None or number < 1 << 31 else None
             out.append((
                 own, f.get("warc-type"), f.get("warc-target-uri"), f.get("warc-payload-digest"),
                 f.get("warc-refers-to", "").strip("<>") or None,
-                f.get("warc-segment-origin-id", "").strip("<>") or (own if number else None),
-                int(number) if number else None,
-                int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None,
-                made["whole"], made["block"],
+                f.get("warc-segment-origin-id", "").strip("<>") or (own if number is not None else None),
+                number, _number(f.get("warc-segment-total-length")), made["whole"] and (number is None) == (stated is None),
+                made["block"],
             ))
         yield _table(out, _RECORD)
 
@@ -218,7 +228,8 @@ def _page(row: dict, block: bytes, complete: bool) -> tuple:
         body = unchunked(framed) if fields.get(b"transfer-encoding") == b"chunked" else framed
     stated = (row["digest"] or "").removeprefix("sha1:")
     if row["kind"] == "revisit":
-        size, digest = int(fields.get(b"x-payload-length", b"-1")), stated
+        size, digest = _number(fields.get(b"x-payload-length", b"").decode("latin-1")), stated
+        size = -1 if size is None else size
     else:
         size = -1 if body is None else len(body)
         digest = None if body is None else hashlib.sha1(body).hexdigest()
@@ -247,9 +258,9 @@ def _pages_of_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield _table(out, _PAGE)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """All pages of the archives below ``path``: record, kind, payload and whether it is complete."""
-    lines = spark.read.option("lineSep", VERSION.decode()).text(path).select(F.col("value").cast("binary"))
+def read_warc(spark: SparkSession, path: str, version: str = "1.1") -> DataFrame:
+    """All pages of the archives of a version below ``path``: record, kind, payload and whether it is complete."""
+    lines = spark.read.option("lineSep", f"WARC/{version}\r\n").text(path).select(F.col("value").cast("binary"))
     records = lines.mapInArrow(_records, _RECORD)
     whole = records.where("number IS NULL").mapInArrow(_pages_of_whole, _PAGE)
     parts = records.where("number IS NOT NULL")
