@@ -24,17 +24,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(toxicity_score(F.col("text"), model) < model.threshold)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Documents with a key of their own: ids may be null, or come with different texts."""
+    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class, once. Rows without an id stay."""
-    classes = jaccard_classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(classes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    """The document with the smallest id of each class, once; one without an id if none of its class has one."""
+    keyed = _keyed(docs)
+    classes = jaccard_classes(keyed, id_col="_key").select("_key", "class_id").distinct()
+    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key"))
+    kept = keyed.select("doc_id", "_key").join(classes, "_key").groupBy("class_id").agg(F.min(first)["_key"].alias("_key"))
+    return keyed.join(kept.select("_key"), "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an accepted overlap with a benchmark item."""
-    leaks = benchmark_overlaps(docs, documents(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """Documents without an accepted overlap with a benchmark item, each by its own text."""
+    keyed = _keyed(docs)
+    overlaps = benchmark_overlaps(keyed, documents(spark, sf_dir, "benchmark"), id_col="_key")
+    return keyed.join(overlaps.select("_key").distinct(), "_key", "left_anti").select(docs.columns)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ one group, compared in arrays inside its task. A task returns one row per node:
 the smallest node it reaches there. Components of these rows are the classes.
 
 Defined cases: a null text is an empty one; texts without any word are equal to each other.
-Repeated rows are separate documents of one node (each counts as a link of the other). Rows
+Repeated rows are separate documents of one node (each counts as a link of the other). One id may come with
+different texts: nodes have numbers of their own. Rows
 with a null id link nothing and form no class: their class is null, their links 0. Ties: a class is named by its smallest id.
 """
 
@@ -201,10 +202,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = materialize(
         plain.mapInArrow(_sketch, "id long, hi long, lo long, sign array<int>"), "sketches"
     )
+    # Numbers are given once: the table is written before anything reads them.
     nodes = materialize(
         sketches.where("id IS NOT NULL").groupBy("hi", "lo").agg(
-            F.min("id").alias("node"), F.count("*").alias("copies"), F.first("sign").alias("sign")
-        ),
+            F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("sign").alias("sign")
+        ).withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
     banded = nodes.select(
@@ -227,7 +229,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("node", "root", "blocks", "block")
         .join(nodes, "node")
     )
-    read = placed.join(plain.withColumnRenamed("id", "node"), "node").select(
+    # An id may have other texts too; the next step keeps the node's own.
+    read = placed.join(plain.withColumnRenamed("id", "first_id"), "first_id").select(
         "node", "t", "hi", "lo", "root", "blocks", "block", "copies", "sign"
     )
     members = read.mapInArrow(
@@ -249,10 +252,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     degrees = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected_components(found, "node", "root").withColumnRenamed("root", "class")
+    named = nodes.select("node", "first_id").join(classes, "node").groupBy("class").agg(F.min("first_id").alias("class_id"))
     known = (
-        nodes.select("hi", "lo", "node", "copies")
-        .join(degrees, "node", "left").join(classes, "node", "left")
-        .select("hi", "lo", F.coalesce("class", "node").alias("class_id"),
+        nodes.select("hi", "lo", "node", "first_id", "copies")
+        .join(degrees, "node", "left").join(classes.join(named, "class").select("node", "class_id"), "node", "left")
+        .select("hi", "lo", F.coalesce("class_id", "first_id").alias("class_id"),
                 (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
     return sketches.select("id", "hi", "lo").join(known, ["hi", "lo"], "left").select(

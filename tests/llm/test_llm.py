@@ -496,6 +496,14 @@ def test_jaccard_classes_equal_brute_force(spark, monkeypatch, block):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == brute_classes(rows)
 
 
+def test_one_id_with_two_texts_loses_no_link(spark):
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in ("red", "blue"))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (9, "other words " * 9)]
+    got = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (9, 9, 0)]
+
+
+
 def test_jaccard_on_odd_rows(odd, nothing):
     got = jaccard.jaccard_classes(odd).collect()
     want = brute_classes([(i, t) for i, t in ODD if i is not None])

@@ -71,3 +71,18 @@ def test_stages_on_odd_rows(spark, sf_dir, name, stage):
     docs = spark.createDataFrame(rows, kinds)
     assert stage(spark, docs, sf_dir).where(F.col("doc_id").isNull()).count() == 1
     assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_texts_decide_where_ids_do_not(spark, sf_dir):
+    """One id with two texts, and rows without an id, are kept or dropped by their own text."""
+    item = next(r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if len(r.text.split()) > 20)
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in ("red", "blue"))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b), (None, a), (None, "own words of a row without an id " * 3), (4, item), (4, "clean " * 30),
+            (None, f"before {item} after")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = {(r.doc_id, r.text) for r in stages["ngram_jaccard_join"](spark, docs, sf_dir).collect()}
+    assert {t for _, t in kept} >= {rows[0][1], rows[1][1], rows[5][1], rows[7][1]}
+    assert (1, a) in kept and (1, b) in kept and not kept & {(2, a + " more"), (3, b), (None, a)}
+    clean = sorted((r.doc_id or 0, r.text) for r in stages["benchmark_decontamination"](spark, docs, sf_dir).collect())
+    assert clean == sorted((i or 0, t) for i, t in rows if item not in t)
