@@ -1,18 +1,12 @@
 """HTML extraction with regular expressions, inside the JVM.
 
-Contract: tags are well formed; blocks (``script``, ``style``, ``nav``, ``header``, ``footer``, comments, anchors,
-titles) end at the first end tag of their name. A start without an end tag after it opens no block: its tag is a tag like
-others. Attributes may come in any order and in any of the three quoting styles.
-
-A pattern that looks for the end of a block would read on to the end of the page from every start that has none. So
-starts behind the last end tag of their name are first made invisible (``_shielded``), which takes one pass, and visible
-again afterwards: the time is linear in the page, whatever it holds.
+Contract: tags are well formed; blocks (``script``, ``style``, ``nav``, ``header``, ``footer``, comments, anchors, titles)
+end at the first end tag of their name. A block without one runs to the end of the page, so no part of a page is scanned
+again for every start: the time is linear. Attributes may come in any order and in any of the three quoting styles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
 from pagewatch.functions.text import decode_entities, occurrences, strip
@@ -23,11 +17,16 @@ _ANY_TAG = rf"(?s)<(?:/?[a-zA-Z](?:{_REST}|[^>]*>)|[!?][^>]*>)"
 
 # Every pattern starts with one plain '<', so the scan skips the text between tags quickly.
 # Comments and raw-text blocks go in one alternation, so that neither hides the other.
-_OPAQUE = r"(?is)<(?:!--.*?-->|script\b[^>]*>.*?</script\s*>|style\b[^>]*>.*?</style\s*>)"
-_OPAQUE_SCRIPT = r"(?is)<(?:!--.*?-->|script\b[^>]*>(.*?)</script\s*>)"
+# A block without an end tag runs to the end of the page: one scan finds that, and nothing is scanned twice.
+_OPAQUE = (
+    r"(?is)<(?:!--.*?(?:-->|\z)|script\b[^>]*>.*?(?:</script\s*>|\z)|style\b[^>]*>.*?(?:</style\s*>|\z))"
+)
+_OPAQUE_SCRIPT = r"(?is)<(?:!--.*?(?:-->|\z)|script\b[^>]*>(.*?)(?:</script\s*>|\z))"
 _CHROME = (
-    r"(?is)<(?:nav\b[^>]*>.*?</nav\s*>|footer\b[^>]*>.*?</footer\s*>|header\b[^>]*>.*?</header\s*>)"
+    r"(?is)<(?:nav\b[^>]*>.*?(?:</nav\s*>|\z)|footer\b[^>]*>.*?(?:</footer\s*>|\z)|header\b[^>]*>.*?(?:</header\s*>|\z))"
 )
+_ANCHOR = rf"(?is)<a\b{_REST}.*?(?:</a\s*>|\z)"
+_TITLE = r"(?is)<title\b[^>]*>.*?(?:</title\s*>|\z)"
 
 _ATTR_NAME = r"[^\s=>\"'/]+"
 _ATTR_VALUE = r"(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
@@ -35,57 +34,14 @@ _ATTR_VALUE = r"(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 _ATTR = rf"[\s/]++{_ATTR_NAME}+(?:\s*+=\s*+{_ATTR_VALUE})?+"
 
 
-# Stands for '<' of a start that has no end. No character: it means nothing in a page and is dropped if it is there.
-_HIDDEN = "\ufdd0"
-# How blocks begin, after '<', and how they end.
-_BLOCKS = {"comment": ("!--", "-->")} | {
-    name: (rf"{name}\b", rf"</{name}\s*+>") for name in ("script", "style", "nav", "header", "footer", "a", "title")
-}
-
-
-def _shielded(text: Column, *kinds: str) -> Column:
-    """The text with the starts of blocks hidden that no end follows.
-
-    The first alternative takes all up to the last end, from the start of the text only; the second finds the starts behind it.
-    The mark that the first one leaves before that end is taken off again.
-    """
-    for kind in kinds:
-        start, end = _BLOCKS[kind]
-        marked = F.regexp_replace(text, rf"(?is)(^.*)({end})|<(?={start})", f"$1{_HIDDEN}$2")
-        opening = "-->" if kind == "comment" else "</"
-        text = F.replace(marked, F.lit(_HIDDEN + opening), F.lit(opening))
-    return text
-
-
-def _unshielded(text: Column) -> Column:
-    return F.replace(text, F.lit(_HIDDEN), F.lit("<"))
-
-
-def _of_blocks(text: Column, kinds: tuple[str, ...], found: Callable[[Column], Column], shown: Callable[[Column], Column]) -> Column:
-    """``found(text)``, with starts hidden that no end follows where there may be one.
-
-    Searches of fixed texts tell where, and spare nearly all pages the passes of ``_shielded``. ``shown`` takes the marks off.
-    """
-    open_ended = F.lit(False)
-    for kind in kinds:
-        start, end = ("<!--", "-->") if kind == "comment" else (f"<{kind}", f"</{kind}")
-        searched = text if kind == "comment" else F.lower(text)
-        open_ended = open_ended | F.contains(F.substring_index(searched, end, -1), F.lit(start))
-    return F.when(open_ended, shown(found(_shielded(text, *kinds)))).otherwise(found(text))
-
-
 def visible_document(html: Column) -> Column:
     """The document without comments, scripts and styles."""
-    return _of_blocks(
-        html, ("comment", "script", "style"), lambda text: F.regexp_replace(text, _OPAQUE, ""), _unshielded
-    )
+    return F.regexp_replace(html, _OPAQUE, "")
 
 
 def reduced_document(document: Column) -> Column:
     """A visible document without its navigation, header and footer blocks."""
-    return _of_blocks(
-        document, ("nav", "header", "footer"), lambda text: F.regexp_replace(text, _CHROME, ""), _unshielded
-    )
+    return F.regexp_replace(document, _CHROME, "")
 
 
 def drop_tags(document: Column) -> Column:
@@ -144,8 +100,7 @@ def meta_tags(document: Column) -> Column:
 
 
 def title(document: Column) -> Column:
-    pattern = F.lit(r"(?is)<title\b[^>]*>.*?</title\s*>")
-    element = _of_blocks(document, ("title",), lambda text: F.regexp_substr(text, pattern), _unshielded)
+    element = F.regexp_substr(document, F.lit(_TITLE))
     return strip(decode_entities(drop_tags(element)))
 
 
@@ -223,10 +178,7 @@ def other_entries(metas: Column) -> Column:
 
 def json_ld_bodies(html: Column) -> Column:
     """Bodies of JSON-LD scripts that are not inside a comment."""
-    blocks = _of_blocks(
-        html, ("comment", "script"), lambda text: F.regexp_extract_all(text, F.lit(_OPAQUE_SCRIPT), F.lit(0)),
-        lambda found: F.transform(found, _unshielded),
-    )
+    blocks = F.regexp_extract_all(html, F.lit(_OPAQUE_SCRIPT), F.lit(0))
     scripts = F.filter(
         blocks,
         lambda b: F.startswith(F.lower(b), F.lit("<script"))
@@ -235,8 +187,8 @@ def json_ld_bodies(html: Column) -> Column:
             == "application/ld+json"
         ),
     )
-    # A block is one match, from its start tag to its end tag.
-    return F.transform(scripts, lambda b: F.regexp_extract(b, r"(?is)^<script\b[^>]*>(.*)</script\s*>$", 1))
+    # A block is one match, from its start tag to its end tag, if it has one.
+    return F.transform(scripts, lambda b: F.regexp_extract(b, r"(?is)^<script\b[^>]*>(.*?)(?:</script\s*>)?\z", 1))
 
 
 def item_types(document: Column) -> Column:
@@ -263,11 +215,7 @@ LINK_TEXT_CHARS = 100
 
 
 def anchors(document: Column) -> Column:
-    pattern = F.lit(rf"(?is)<a\b{_REST}.*?</a\s*>")
-    return _of_blocks(
-        document, ("a",), lambda text: F.regexp_extract_all(text, pattern, F.lit(0)),
-        lambda found: F.transform(found, _unshielded),
-    )
+    return F.regexp_extract_all(document, F.lit(_ANCHOR), F.lit(0))
 
 
 def anchor_fields(anchors_: Column) -> Column:
