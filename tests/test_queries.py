@@ -16,7 +16,7 @@ QUICK = [
     "g4_watchlist_dedupe", "h1_normalize_url", "h2_url_variants", "h7_meta_tags", "h12_page_links",
     "h19_policy_keyword_counts", "h20_version_indicators", "h26_canonical_json",
     "h28_document_fingerprint", "h29_model_card_fields", "i12_linked_document_changes",
-    "i_all_changes", "j2_stateful_numeric_diff",
+    "i_all_changes", "i12_documents_in_detection", "j2_stateful_numeric_diff",
 ]
 NAMES = list(QUERIES) if os.environ.get("PAGEWATCH_ALL") else QUICK
 
