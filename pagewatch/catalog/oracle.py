@@ -366,7 +366,10 @@ def _content(select: str) -> str:
 
 def _sources() -> None:
     o = ORACLES
-    o["a1_watchlist_source"] = _with(WATCHLIST) + "SELECT url, type, priority, ordinal, CAST(3600 AS INTEGER) AS check_interval FROM wl"
+    o["a1_watchlist_source"] = _with(WATCHLIST) + (
+        "SELECT url, type, priority, ordinal//100 AS document, row_number() OVER (PARTITION BY ordinal//100 ORDER BY ordinal)-1 AS position, "
+        "CAST(3600 AS INTEGER) AS check_interval FROM wl"
+    )
     o["a2_captures_source"] = _with(CAPTURES) + (
         "SELECT page_id, cycle_no, url, captured_at, CAST(status_code AS INTEGER) AS status_code, CASE WHEN error IS NULL THEN final_url ELSE url END AS final_url, "
         "content_length, error, etag, CAST(CASE WHEN error IS NULL THEN 3 ELSE 0 END AS BIGINT) AS n_headers FROM src"

@@ -18,6 +18,7 @@ from pagewatch.plans.detection import profile_records, replay_changes, run_batch
 from pagewatch.session import shared_dir
 from pagewatch.sources import derived as D
 from pagewatch.sources.captures import spread, stream_captures
+from pagewatch.sources.lists import read_watchlist
 from pagewatch.sources.tables import PageState, materialize
 from pagewatch.streaming.feeds import start_change_feed, start_numeric_feed
 
@@ -70,20 +71,26 @@ def recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a1_watchlist_source")
 def a1(spark, sf_dir):
-    # Entries leave out values that equal the defaults; the source fills them in again.
+    # Documents of up to a hundred entries, a file each. Entries leave out values that equal the defaults; the source fills them in.
     entry = F.struct(
+        "ordinal",
         "url",
         F.nullif("type", F.lit("policy")).alias("type"),
         F.nullif("priority", F.lit("medium")).alias("priority"),
         F.lit(60).alias("check_interval"),
     )
-    texts = D.watchlist(spark, sf_dir).select(
-        "ordinal", F.to_json(F.struct(F.array(entry).alias("monitored_urls"))).alias("text")
+    texts = (
+        D.watchlist(spark, sf_dir)
+        .groupBy(F.expr("ordinal div 100").alias("document"))
+        .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+        .select("document", F.to_json(F.struct(F.transform("entries", lambda e: e.dropFields("ordinal")).alias("monitored_urls"))))
     )
-    parsed = texts.select(
-        "ordinal", F.inline(F.array(F.from_json("text", schemas.WATCHLIST_DOCUMENT)))
+    folder = shared_dir(spark, "watchlist")
+    texts.write.partitionBy("document").text(folder)
+    number = F.regexp_extract(F.col("ordinal.document"), r"/document=(\d+)/", 1).cast("bigint")
+    return read_watchlist(spark, folder).select(
+        "url", "type", "priority", number.alias("document"), F.col("ordinal.position").alias("position"), "check_interval"
     )
-    return watchlist.watchlist_of_documents(parsed)
 
 
 @query("a2_captures_source")

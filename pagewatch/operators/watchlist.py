@@ -15,19 +15,21 @@ DEFAULT_INTERVAL = 3600
 DEFAULT_TYPE, DEFAULT_PRIORITY = "policy", "medium"
 
 
-def watchlist_of_documents(documents: DataFrame, ordinal: str = "ordinal") -> DataFrame:
-    """Entries of watchlist documents, with defaults. A legacy per-URL interval is dropped."""
-    first = F.col(ordinal)
+def watchlist_of_documents(documents: DataFrame, document: str = "document") -> DataFrame:
+    """Entries of watchlist documents, with defaults. A legacy per-URL interval is dropped.
+
+    The ``ordinal`` of an entry is the pair of its document and its place in it: no two entries share one.
+    """
     entries = documents.select(
         F.coalesce("central_check_interval", F.lit(DEFAULT_INTERVAL)).alias("check_interval"),
-        first.alias("_first"),
-        F.posexplode("monitored_urls").alias("_pos", "entry"),
+        F.col(document).alias("document"),
+        F.posexplode("monitored_urls").alias("position", "entry"),
     )
     return entries.select(
         F.col("entry.url").alias("url"),
         F.coalesce("entry.type", F.lit(DEFAULT_TYPE)).alias("type"),
         F.coalesce("entry.priority", F.lit(DEFAULT_PRIORITY)).alias("priority"),
-        (F.col("_first") + F.col("_pos")).alias("ordinal"),
+        F.struct("document", F.col("position").cast("bigint").alias("position")).alias("ordinal"),
         "check_interval",
     )
 
@@ -59,7 +61,7 @@ def validate(watchlist: DataFrame, interval: int = DEFAULT_INTERVAL) -> DataFram
         text = f"Central check interval too long: {interval}s (maximum: {MAX_INTERVAL}s)"
     if text is not None:
         fault = watchlist.sparkSession.range(1).select(
-            F.lit(None).cast("bigint").alias("ordinal"), F.lit(None).cast("string").alias("url"),
+            F.lit(None).cast(watchlist.schema["ordinal"].dataType).alias("ordinal"), F.lit(None).cast("string").alias("url"),
             F.lit(text).alias("message"),
         )
         rows = rows.unionByName(fault)

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from pagewatch import schemas
 from pagewatch.operators import documents, reports, rules, watchlist
 from pagewatch.operators.skew import SkewPolicy
+from pagewatch.sources.lists import read_linked_documents, read_watchlist
 
 NOW = dt.datetime(2024, 1, 1, 12)
 
@@ -16,15 +18,73 @@ def entries(spark, *rows):
 
 def test_watchlist_defaults_and_legacy_interval(spark):
     text = '{"monitored_urls":[{"url":"http://a/","check_interval":5},{"url":"http://b/","type":"t","priority":"high"}]}'
-    document = spark.createDataFrame([(text, 10)], "j string, ordinal bigint").select(
-        "ordinal", F.inline(F.array(F.from_json("j", schemas.WATCHLIST_DOCUMENT)))
+    document = spark.createDataFrame([(text, 10)], "j string, document bigint").select(
+        "document", F.inline(F.array(F.from_json("j", schemas.WATCHLIST_DOCUMENT)))
     )
     got = watchlist.watchlist_of_documents(document).orderBy("ordinal").collect()
     assert [tuple(r) for r in got] == [
-        ("http://a/", "policy", "medium", 10, 3600), ("http://b/", "t", "high", 11, 3600)
+        ("http://a/", "policy", "medium", (10, 0), 3600), ("http://b/", "t", "high", (10, 1), 3600)
     ]
 
 
+def test_watchlist_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text(
+        '{\n "central_check_interval": 900,\n "monitored_urls": [\n  {"url": "http://a/"},\n  {"url": "http://b/", "priority": "low"},\n'
+        '  {"url": "http://a/", "type": "x"}]}'
+    )
+    (tmp_path / "b.json").write_text('{"monitored_urls": [{"url": "http://b/", "priority": "high"}, {"url": "http://c/"}]}')
+    (tmp_path / "c.json").write_text("\n")
+    (tmp_path / "d.json").write_text('{"scheduling": {"polling_interval": 5}}')
+    rows = read_watchlist(spark, str(tmp_path))
+    got = [(r.ordinal.document[-6:], r.ordinal.position, r.url, r.priority, r.check_interval)
+           for r in rows.orderBy("ordinal").collect()]
+    assert got == [
+        ("a.json", 0, "http://a/", "medium", 900), ("a.json", 1, "http://b/", "low", 900), ("a.json", 2, "http://a/", "medium", 900),
+        ("b.json", 0, "http://b/", "high", 3600), ("b.json", 1, "http://c/", "medium", 3600),
+    ]
+    # Entries at one place of two documents do not tie.
+    assert rows.groupBy("ordinal").count().where("count > 1").isEmpty()
+    for policy in (SkewPolicy(), SkewPolicy(min_rows=1, share=0.0)):
+        again = watchlist.repeated_entries(rows, policy)
+        assert {(r.url, r.ordinal.document[-6:], r.occurrence) for r in again.collect()} == {
+            ("http://a/", "a.json", 2), ("http://b/", "b.json", 2)}
+    merged = {r.url: (r.type, r.priority, r.ordinal.document[-6:], r.ordinal.position) for r in watchlist.schedule_entries(rows).collect()}
+    assert merged == {"http://a/": ("x", "medium", "a.json", 0), "http://b/": ("policy", "high", "a.json", 1),
+                      "http://c/": ("policy", "medium", "b.json", 1)}
+    faults = {r.message for r in watchlist.validate(rows, 10).collect()}
+    assert "Duplicate URL: http://b/" in faults and any("too short" in m for m in faults)
+    (tmp_path / "e.json").write_text("monitored_urls: nothing")
+    with pytest.raises(Exception):
+        read_watchlist(spark, str(tmp_path)).collect()
+
+
+def test_linked_document_files(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a b%20.pdf").write_bytes(b"one")
+    (tmp_path / "deep" / "empty.pdf").write_bytes(b"")
+    (tmp_path / "long.pdf").write_bytes(b"x" * 100)
+    (tmp_path / "unlisted.pdf").write_bytes(b"z")
+    files = {"1": ("a b%20.pdf", 3), "2": ("deep/empty.pdf", 0), "3": ("long.pdf", 100), "4": ("gone.pdf", 5), "5": (None, None),
+             "6": ("a b%20.pdf", None), "7": ("a b%20.pdf", 3), "8": ("a b%20.pdf", 9), "9": ("gone.pdf", None)}
+    listing = spark.createDataFrame(
+        [("c", f"https://d/{k}.pdf", "application/pdf", 200, 9, f, n, "timeout" if k == "7" else None) for k, (f, n) in files.items()],
+        "cycle_id string, link string, content_type string, status_code int, declared_length bigint, file string, "
+        "stored_length bigint, error string")
+    rows = read_linked_documents(listing, str(tmp_path), max_bytes=99)
+    one, nothing = hashlib.sha256(b"one").hexdigest(), hashlib.sha256(b"").hexdigest()
+    want = {"1": (one, 3, None), "2": (nothing, 0, None), "3": (None, None, "longer than 99 bytes"), "4": (None, None, "missing"),
+            "5": (None, None, "no body"), "6": (one, 3, None), "7": (None, None, "timeout"), "8": (None, None, "3 of 9 bytes"),
+            "9": (None, None, "missing or empty")}
+    assert {r.link[10:-4]: (r.hash, r.length, r.error) for r in rows.collect()} == want
+    entries = documents.fetched_fingerprints(rows).collect()
+    assert {r.link[10:-4]: (r.entry.hash, r.entry.length, r.entry.error) for r in entries} == want
+    no_errors = read_linked_documents(listing.drop("error"), str(tmp_path))
+    assert no_errors.where("error is null").count() == 5
+    # The bodies are hashed at the scan: no content is shuffled.
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert not any("content" in line.replace("content_type", "") for line in plan.splitlines() if "Exchange" in line)
+
+
 def test_validation(spark):
     rows = entries(
         spark, ("http://a/", "p", "low"), ("http://a/", "p", "low"), ("HTTP://b/", "p", "high"),
