@@ -10,6 +10,10 @@ on (curve index, text hash, id), so a cell with very many rows is split like any
 its place in its partition plus the rows of earlier partitions, of which the driver gets one
 number each.
 
+A dimension is a number or a text. Texts are quantised whole, in the order of their UTF-8 bytes: rows are counted per distinct
+value, the values are ranked over a range exchange, and at most ``2**bits - 1`` values where the running count passes a
+share become cut points. Only these reach the driver, and no row is joined to its value, so a hot value is no hot key.
+
 Defined cases: a null value takes the lowest level, a null text has no bytes and the checksum of the
 empty text. Repeated rows take different slots. With fewer rows than shards the last shards are empty.
 """
@@ -20,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagewatch.sources.tables import materialize
 
@@ -58,29 +62,51 @@ def hilbert_index(levels: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """A dimension as a number in the order of its values: of a text its first seven bytes."""
-    if dict(df.dtypes)[name] == "string":
-        head = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 7)), 14, "0")
-        return F.conv(head, 16, 10).cast("long")
-    return F.col(name).cast("double")
+def text_cuts(df: DataFrame, name: str, bits: int) -> list[str]:
+    """The values at which the running count of rows, by value, passes ``k / 2**bits`` of all rows, for each ``k``."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = materialize(
+        df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count("*").alias("n"))
+        .repartitionByRange(n, "v").withColumn("_part", F.spark_partition_id()),
+        "values",
+    )
+    rows = {r["_part"]: r["n"] for r in counted.groupBy("_part").agg(F.sum("n").alias("n")).collect()}
+    total = sum(rows.values())
+    if not total:
+        return []
+    before = np.cumsum([0] + [rows[part] for part in sorted(rows)]).tolist()
+    starts = spark.createDataFrame(list(zip(sorted(rows), before)), "_part int, _before long")
+    upto = F.col("_before") + F.sum("n").over(Window.partitionBy("_part").orderBy("v"))
+    levels = 1 << bits
+    passed = lambda rows_so_far: F.expr(f"({rows_so_far} * {levels}L) div {total}L")
+    found = (
+        counted.join(F.broadcast(starts), "_part")  # one row per partition of the exchange
+        .withColumn("_upto", upto)
+        .select("v", passed("(_upto - n)").alias("a"), F.least(passed("_upto"), F.lit(levels - 1)).alias("b"))
+        .where("b > a")
+        .collect()
+    )
+    return [r["v"] for r in sorted(found, key=lambda r: r["a"]) for _ in range(r["b"] - r["a"])]
 
 
 def quantised(df: DataFrame, dimensions: list[str], bits: int) -> DataFrame:
     """``df`` with a column ``_level_i`` per dimension: how many of its cut points lie below a value."""
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    df = df.withColumns({f"_number_{i}": as_number(df, d) for i, d in enumerate(dimensions)})
-    cuts = df.select(
-        *[F.percentile_approx(f"_number_{i}", shares, ACCURACY).alias(f"c{i}") for i in range(len(dimensions))]
+    kinds = dict(df.dtypes)
+    numbers = [d for d in dimensions if kinds[d] != "string"]
+    found = df.select(
+        F.count("*"), *[F.percentile_approx(F.col(d).cast("double"), shares, ACCURACY).alias(d) for d in numbers]
     ).first()
 
-    def below(i: int) -> Column:
-        points = list(cuts[f"c{i}"] or [])  # 2**bits - 1 numbers; repeats spread few values over all levels
-        cut = F.array(*map(F.lit, points)) if points else F.array().cast("array<double>")
-        number = F.col(f"_number_{i}")
-        return F.when(number.isNull(), 0).otherwise(F.size(F.filter(cut, lambda c: c < number)))
+    def below(d: str) -> Column:
+        # 2**bits - 1 values; repeats spread few values over all levels.
+        points = list(found[d] or []) if d in numbers else text_cuts(df, d, bits)
+        kind, value = ("double", F.col(d).cast("double")) if d in numbers else ("string", F.col(d))
+        cut = F.array(*map(F.lit, points)).cast(f"array<{kind}>")
+        return F.when(value.isNull(), 0).otherwise(F.size(F.filter(cut, lambda c: c < value)))
 
-    return df.withColumns({f"_level_{i}": below(i) for i in range(len(dimensions))})
+    return df.withColumns({f"_level_{i}": below(d) for i, d in enumerate(dimensions)})
 
 
 def _curve(dimensions: int, bits: int):
@@ -110,7 +136,7 @@ def hilbert_shards(docs: DataFrame, dimensions: list[str], shards: int, id_col:
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["curve", "_hash", "_id"]
     ranged = materialize(
-        placed.drop(*[f"{c}_{i}" for c in ("_level", "_number") for i in range(len(names))])
+        placed.drop(*[f"_level_{i}" for i in range(len(names))])
         .repartitionByRange(n, *order).sortWithinPartitions(*order)
         # The number of the partition in the upper bits, the place inside it in the lower 33.
         .withColumn("_place", F.monotonically_increasing_id()),

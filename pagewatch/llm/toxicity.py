@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewatch.llm.common import SLICE_CHARS, bounded_fraction, crc_bucket, in_sample, slices
+from pagewatch.sources.tables import materialize
 
 BITS = 20
 SIZES = (3, 4, 5, 6)
@@ -102,7 +103,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                  min_ratio: float = 1.0, penalty: float = 1e-6, threshold: float = 0.7) -> ToxicityModel:
     """Fit on a bounded sample of labelled rows; ``labels`` must hold training rows only.
 
-    The sample's ids are at most ``max_train_docs``, so they may be broadcast, and the driver
+    The sample's ids are at most ``max_train_docs``, so they may be broadcast. Of an id that several rows have, one text is
+    learned from, the least by hash and value; so the sample has at most so many rows too, and the driver
     gets at most so many lists of features.
     """
     known = (
@@ -139,10 +141,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
              pa.array(np.append(toxic_texts[seen], p).astype(np.int64)),
              pa.array(np.append(all_texts[seen], n).astype(np.int64))], ["f", "p", "n"])
 
-    learned = (
+    one = F.min(F.struct(F.xxhash64("_t"), F.col("_t")))["_t"]
+    learned = materialize(
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
         .join(F.broadcast(chosen), "_id")
-        .select(F.col("_id").cast("string"), "_t", "_y")
+        .groupBy(F.col("_id").cast("string").alias("_id")).agg(one.alias("_t"), F.max("_y").alias("_y"))
+        # Few rows that are dear to read: one task each of many, not one task for all.
+        .repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))),
+        "labelled",
     )
     # First the number of texts with each feature, then only the features that tell the classes apart.
     stats = (

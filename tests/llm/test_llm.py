@@ -81,6 +81,22 @@ def test_toxicity_on_odd_rows(spark, odd, nothing):
     assert toxicity.score_toxicity(odd, unknown).agg(F.max("score")).first()[0] < 1e-9
 
 
+def test_toxicity_learns_from_a_bounded_number_of_rows(spark, monkeypatch):
+    rows = [(i, f"text {i} " + ("vile words here" if i % 2 else "kind words here")) for i in range(300)]
+    rows += [(1, f"other vile text {i}") for i in range(2000)] + [(3, "same vile text")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    sizes = []
+    fitted = toxicity._logistic
+    monkeypatch.setattr(toxicity, "_logistic", lambda *a: sizes.append(len(a[3])) or fitted(*a))
+    model = toxicity.fit_toxicity(docs, labels, max_train_docs=400)
+    assert sizes == [300]
+    shuffled = toxicity.fit_toxicity(docs.orderBy(F.rand(1)), labels, max_train_docs=400)
+    assert np.allclose(model.weights, shuffled.weights, atol=1e-5)
+    toxicity.fit_toxicity(docs, labels, max_train_docs=100)
+    assert sizes[-1] <= 100
+
+
 # -- token counts, BPE
 
 
@@ -165,6 +181,21 @@ def test_shards(spark, docs, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(plain)
 
 
+def test_text_dimensions_are_quantised_whole(spark):
+    names = [f"https://example.org/{'long/' * 3}{i:03d}" for i in range(20)] + ["https://é", ""]
+    rng = random.Random(5)
+    rows = [(i, "https://example.org/hot" if i % 3 == 0 else rng.choice(names)) for i in range(3000)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "i long, s string")
+    values = sorted((s for _, s in rows if s is not None), key=str.encode)
+    # The cut point k is the value of the row at which k / 2**bits of all rows are reached.
+    want = [values[-(-k * len(values) // 16) - 1] for k in range(1, 16)]
+    assert hilbert.text_cuts(df, "s", 4) == want
+    levels = {r.i: r._level_0 for r in hilbert.quantised(df, ["s"], 4).collect()}
+    assert levels == {i: 0 if s is None else sum(c.encode() < s.encode() for c in want) for i, s in rows}
+    fine = hilbert.quantised(df, ["s"], 8).groupBy("s").agg(F.min("_level_0").alias("a"), F.max("_level_0").alias("b")).collect()
+    assert all(r.a == r.b for r in fine) and len({r.a for r in fine if r.s is not None}) == len(set(values))
+
+
 def test_shards_of_odd_rows(odd, nothing):
     got = hilbert.hilbert_shards(odd.withColumn("source", F.lit(None).cast("string")), ["source", "score"], 4).collect()
     assert sorted(Counter(r.shard for r in got).values()) == [2, 3, 3, 3]
