@@ -7,8 +7,11 @@ The new pre-tokens of a batch are held in one ragged array of symbols. In each r
 looks up the ranks of its neighbouring pairs, takes its lowest, and all of them merge at once; those
 without a pair left are done. Symbols that are no piece count as one token per UTF-8 byte.
 
-A round merges all places of a pre-token's lowest pair if no merge that this makes possible has a
-lower rank, else the leftmost only: so the result is that of one merge after the other.
+A round merges the places of a pre-token's lowest rank from the left, up to the first merge that makes a
+pair of no higher rank possible: so the result is that of one merge after the other. A pre-token of which
+a round would merge less than one symbol in ``SLOW``, which takes more symbols than that, is finished by a
+heap of pairs over linked symbols: a run of spaces, in which each merge makes the next one possible, then
+takes n log n steps. The others shrink by that share in a round, so all rounds together are linear.
 
 Defined cases: null and empty texts have no tokens and no bytes. Repeated rows are counted each;
 texts are read whole, in any length.
@@ -17,6 +20,7 @@ texts are read whole, in any length.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 from functools import cached_property
@@ -29,6 +33,8 @@ from pyspark.sql import DataFrame, functions as F
 from pagewatch.llm.common import CACHE_WORDS, slices, worker_memory
 
 MARK = "▁"
+SLOW = 64
+NEVER = np.iinfo(np.int64).max
 
 
 class PieceCounter:
@@ -61,8 +67,8 @@ class PieceCounter:
         return {piece: i for i, (piece, _) in enumerate(self._pieces)}
 
     @cached_property
-    def _merges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted pair keys, with rank, joined symbol, and whether all places may merge at once."""
+    def _merges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted pair keys, with rank and joined symbol."""
         order = sorted(range(len(self._pieces)), key=lambda i: -self._pieces[i][1])
         rank = np.empty(len(order), np.int64)
         # Equal scores are equal ranks; the leftmost of them goes first.
@@ -77,14 +83,52 @@ class PieceCounter:
             for cut in range(1, len(piece)):
                 a, b = ids.get(piece[:cut]), ids.get(piece[cut:])
                 if a is not None and b is not None:
-                    pairs.append((a * len(ids) + b, rank[i], i, a, b))
+                    pairs.append((a * len(ids) + b, rank[i], i))
         pairs.sort()
         table = np.array(pairs, np.int64)
-        # The lowest rank of the merges that a symbol takes part in.
-        least = np.full(len(ids), np.iinfo(np.int64).max)
-        np.minimum.at(least, table[:, 3], table[:, 1])
-        np.minimum.at(least, table[:, 4], table[:, 1])
-        return table[:, 0], table[:, 1], table[:, 2], least[table[:, 2]] > table[:, 1]
+        return table[:, 0], table[:, 1], table[:, 2]
+
+    @cached_property
+    def _pairs(self) -> dict[int, tuple[int, int]]:
+        keys, ranks, joined = (x.tolist() for x in self._merges)
+        return dict(zip(keys, zip(ranks, joined)))
+
+    def _look_up(self, left: np.ndarray, right: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair, ``NEVER`` for those that never merge or are not asked for, and its joined symbol."""
+        keys, ranks, joined = self._merges
+        pair = left * len(self._symbols) + right
+        at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+        return np.where(where & (keys[at] == pair), ranks[at], NEVER), joined[at]
+
+    def _merges_one_by_one(self, symbols: list[int]) -> int:
+        """Number of merges of one pre-token, lowest rank and leftmost first, over linked symbols."""
+        pairs, n = self._pairs, len(self._symbols)
+        size = len(symbols)
+        before, after = list(range(-1, size - 1)), list(range(1, size + 1))
+        heap = []
+
+        def offer(a: int, b: int) -> None:
+            if a >= 0 and b < size:
+                found = pairs.get(symbols[a] * n + symbols[b])
+                if found:
+                    heapq.heappush(heap, (found[0], a, symbols[a], symbols[b], found[1]))
+
+        for a in range(size - 1):
+            offer(a, a + 1)
+        merges = 0
+        while heap:
+            _, a, x, y, made = heapq.heappop(heap)
+            b = after[a]
+            if symbols[a] != x or b >= size or symbols[b] != y:
+                continue
+            merges += 1
+            symbols[a], symbols[b] = made, -1
+            after[a] = after[b]
+            if after[a] < size:
+                before[after[a]] = a
+            offer(before[a], a)
+            offer(a, after[a])
+        return merges
 
     @cached_property
     def _neighbours(self) -> np.ndarray:
@@ -116,32 +160,41 @@ class PieceCounter:
         at = np.minimum(np.searchsorted(near, key), len(near) - 1)
         apart = (near[at] != key) | (owner[:-1] != owner[1:]) | (symbol[:-1] < 0) | (symbol[1:] < 0)
         part = np.concatenate([[0], np.cumsum(apart)])  # pre-token of each symbol
-        keys, ranks, joined, free = self._merges
-        n = len(self._symbols)
-        high = np.iinfo(np.int64).max
         while len(symbol) > 1:
-            pair = symbol[:-1] * n + symbol[1:]
-            at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-            known = (keys[at] == pair) & (part[:-1] == part[1:])
-            rank = np.where(known, ranks[at], high)
+            rank, joined = self._look_up(symbol[:-1], symbol[1:], part[:-1] == part[1:])
             starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             ends = np.append(starts[1:], len(symbol))
-            low = np.minimum.reduceat(np.append(rank, high), starts)
-            going = low < high
+            low = np.minimum.reduceat(np.append(rank, NEVER), starts)
+            going = low < NEVER
             if not going.any():
                 break
-            here = known & (rank == np.repeat(low, ends - starts)[:-1])
-            # Places of the lowest pair: all that do not overlap, or only the first of each pre-token.
-            place = np.flatnonzero(here)
+            # Places of the lowest rank that do not overlap, from the left.
+            place = np.flatnonzero((rank < NEVER) & (rank == np.repeat(low, ends - starts)[:-1]))
             first = np.concatenate([[True], part[place][1:] != part[place][:-1]])
             run = np.concatenate([[True], (np.diff(place) != 1)]) | first
             begin = np.maximum.accumulate(np.where(run, np.arange(len(place)), 0))
             even = (np.arange(len(place)) - begin) % 2 == 0
-            # Of several pairs of equal rank only the leftmost goes, as with a pair that is not free.
-            same = pair[place] == np.repeat(pair[place[first]], np.diff(np.append(np.flatnonzero(first), len(place))))
-            place = place[first | (even & same & free[at[place]])]
+            place, first = place[even], first[even]
+            # A merge that makes a pair of no higher rank possible is the last of this round. Left of it
+            # stands what the merge before it has made, if that one is its neighbour.
+            made = joined[place]
+            close = np.concatenate([[False], np.diff(place) == 2]) & ~first
+            left = np.where(close, np.roll(made, 1), symbol[place - 1])
+            right = symbol[np.minimum(place + 2, len(symbol) - 1)]
+            has_left = (place > 0) & (part[place - 1] == part[place])
+            has_right = (place + 2 < len(symbol)) & (part[np.minimum(place + 2, len(symbol) - 1)] == part[place])
+            next_rank = np.minimum(self._look_up(left, made, has_left)[0], self._look_up(made, right, has_right)[0])
+            opens = np.cumsum(next_rank <= rank[place]) - (next_rank <= rank[place])
+            place = place[opens == np.maximum.accumulate(np.where(first, opens, 0))]
+            # Where a round gets nowhere the pre-token is finished on its own.
+            merged = np.bincount(np.searchsorted(starts, place, "right") - 1, minlength=len(starts))
+            slow = going & (merged * SLOW < ends - starts)
+            for a, b in zip(starts[slow].tolist(), ends[slow].tolist()):
+                count[owner[a]] -= self._merges_one_by_one(symbol[a:b].tolist())
+            going &= ~slow
+            place = place[np.repeat(going, ends - starts)[place]]
             symbol = symbol.copy()
-            symbol[place] = joined[at[place]]
+            symbol[place] = joined[place]
             np.subtract.at(count, owner[place], 1)
             stay = np.repeat(going, ends - starts)
             stay[place + 1] = False

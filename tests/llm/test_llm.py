@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -117,6 +118,32 @@ def test_token_counts_equal_the_library(docs):
         assert counter.count_all(many, {}) == [len(x) for x in library.encode(many)]
 
 
+def long_runs():
+    rng = random.Random(9)
+    return [" " * 5_000, "the" * 2_000, "the quick" * 700, "=-" * 900, "a  b   c" * 400, " the" * 15 + " " * 700,
+            "".join(rng.choice(" aethhr") for _ in range(4_000)), "日本" * 500, "".join(rng.choice("ehtan") for _ in range(5_000))]
+
+
+def test_long_runs_equal_the_library(monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    want = [len(x) for x in library.encode(long_runs())]
+    for slow in (0, 1, 4, token_counts.SLOW, 1_000_000):
+        monkeypatch.setattr(token_counts, "SLOW", slow)
+        assert token_counts.PieceCounter.from_file(path).count_all(long_runs(), {}) == want
+
+
+def test_a_million_spaces_take_seconds():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    counter = token_counts.PieceCounter.from_file(path)
+    counter.count_all(["warm  up"], {})
+    began = time.monotonic()
+    made = counter.count_all([" " * 1_000_000, "the" * 300_000], {})
+    assert time.monotonic() - began < 20
+    # Sixteen marks are the longest piece, and the text gets one mark in front.
+    assert made[0] == -(-1_000_001 // 16)
+
+
 def test_token_counts_do_not_need_the_memory():
     counter = token_counts.PieceCounter.from_file(public_tokenizers.path("piece_bpe_32k.model"))
     full = dict.fromkeys(range(token_counts.CACHE_WORDS), 0)
