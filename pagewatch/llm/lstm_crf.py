@@ -1,4 +1,4 @@
-"""A small bidirectional LSTM with CRF transitions over character classes, in numpy.
+"""A small bidirectional LSTM with CRF transitions over characters, in numpy.
 
 Sequences are padded to one length; padding is a class of its own and is labelled as outside.
 """
@@ -109,7 +109,7 @@ def _crf(scores: np.ndarray, tags: np.ndarray, step: np.ndarray, first: np.ndarr
 
 
 def train(codes: np.ndarray, tags: np.ndarray, classes: int, n_tags: int, forbidden: np.ndarray,
-          hidden: int = 16, rounds: int = 250, batch: int = 64, rate: float = 0.02, seed: int = 7) -> Tagger:
+          hidden: int = 24, rounds: int = 350, batch: int = 64, rate: float = 0.02, seed: int = 7) -> Tagger:
     """Fit with Adam on ``(n, T)`` arrays. ``forbidden`` marks transitions that never happen."""
     rng = np.random.default_rng(seed)
     h = hidden
@@ -148,9 +148,31 @@ def train(codes: np.ndarray, tags: np.ndarray, classes: int, n_tags: int, forbid
     return Tagger(**(p | {"step": p["step"] + wall}))
 
 
-def decode(model: Tagger, codes: np.ndarray) -> np.ndarray:
-    """Best tag path of each row of an ``(n, T)`` array of classes."""
-    scores, _ = _emissions(model, _lstm(model.inputs, model.recurrent, codes)[3])
+def emissions(model: Tagger, codes: np.ndarray) -> np.ndarray:
+    """Scores (n, T, tags) of an ``(n, T)`` array of classes."""
+    return _emissions(model, _lstm(model.inputs, model.recurrent, codes)[3])[0].transpose(1, 0, 2)
+
+
+def best_paths(model: Tagger, scores: list[np.ndarray], together: int = 200_000) -> list[np.ndarray]:
+    """Best tag path for each array of emissions (T, tags). Those of like length go together."""
+    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(scores)
+    order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
+    while order:
+        some = [order.pop()]
+        longest = len(scores[some[0]])
+        while order and (len(some) + 1) * longest <= together:
+            some.append(order.pop())
+        # Behind its end a sequence is outside of any span.
+        padded = np.full((longest, len(some), model.bias.shape[0]), -1e4, np.float32)
+        padded[:, :, 0] = 0
+        for at, i in enumerate(some):
+            padded[: len(scores[i]), at] = scores[i]
+        for i, path in zip(some, _viterbi(model, padded)):
+            out[i] = path[: len(scores[i])]
+    return out
+
+
+def _viterbi(model: Tagger, scores: np.ndarray) -> np.ndarray:
     steps, n, k = scores.shape
     back = np.zeros((steps, n, k), np.int8)
     total = scores[0] + model.first

@@ -1,14 +1,15 @@
 """Personal data: base patterns, and spans that a character-level BiLSTM-CRF adds to them.
 
-The tagger is trained here on windows around digits and at-signs of at most ``max_train_docs`` documents,
-with what has the form of a base span as labels (digits' values and checksums are no matter of form,
-so they are checked afterwards, on the tagger's spans as on the base ones); windows with a phone number without its country code and with
-cards in dotted groups are added, so it finds forms that the patterns miss. All four kinds hold a
-digit or an at-sign, so windows without either cannot hold a span; all others are tagged.
-Windows overlap; every position takes its tag from the window in which it lies deepest. A span
-of the tagger is kept if it overlaps no base span and passes the check of its kind.
-
-Defined cases: null and empty texts have no spans. If no document has a base span nothing is
+The tagger is trained here on at most ``max_windows`` windows around digits, at-signs and bracketed "at" of
+at most ``max_train_docs`` documents. Labels are what has the form of a base span (values and checksums are
+looked at afterwards), and what is put between two words of these windows: written forms that the patterns miss
+(``pii_forms.py``), labelled by their kind, and look-alikes such as dates and ISBNs, labelled as nothing. All
+kinds hold a digit, an at-sign or a bracketed "at", so windows without cannot hold a span; all others are tagged.
+Windows overlap; the scores of a position are the mean over its windows, weighted by how deep it lies in them,
+and each stretch of overlapping windows is decoded as a whole with the transitions. A span
+of the tagger is kept if it overlaps no base span, has at most ``LONGEST`` characters and passes the check of its kind.
+
+Defined cases: null and empty texts have no spans. If no document has a window nothing is
 trained and nothing added. Positions are code points, ends exclusive. Repeated rows are
 treated each; texts are read whole, in any length.
 """
@@ -16,6 +17,7 @@ treated each; texts are read whole, in any length.
 from __future__ import annotations
 
 import pickle
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,9 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewatch.llm.common import bounded_fraction, in_sample, slices
-from pagewatch.llm.lstm_crf import Tagger, decode, train
+from pagewatch.llm.lstm_crf import Tagger, best_paths, emissions, train
+from pagewatch.llm.pii_forms import KINDS, insertion, luhn
 
-KINDS = ("email", "ip", "card", "phone")
+#: Training windows that are made of the given ones by putting something in, at least.
+MADE = 4_000
+LONGEST = 254
 WINDOW, STRIDE, REACH = 96, 48, 24
 _SPAN_TYPE = "array<struct<kind:string,start:int,end:int>>"
 
@@ -38,28 +43,37 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-_TRIGGER = re.compile("[0-9@]+")
+_TRIGGER = re.compile(r"[0-9@]+|[(\[{<][\x20]?[aA][tT][\x20]?[)\]}>]")
+_MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_AT = re.compile(r"\s*[(\[{<]\s?at\s?[)\]}>]\s*|\s*@\s*", re.I)
+_MAIL_DOT = re.compile(r"\s*[(\[{<]\s?dot\s?[)\]}>]\s*", re.I)
+_IP_DOT = re.compile(r"\s*[(\[{]?\s*\.\s*[)\]}]?\s*")
+_CARD_LIKE = re.compile(r"[0-9]+(?:[\x20._/-]{0,3}[0-9]+)*")
+_PHONE_LIKE = re.compile(r"[+(]{0,2}[0-9][\x20()./0-9-]*[0-9]")
+_ISBN = re.compile(r"97[89](?:[\x20-]?[0-9]){10}(?![0-9])")
+#: Dates and times, thousands, years: digits that are no phone number.
+_NO_PHONE = re.compile(
+    r"(?:19|20)[0-9]{2}([-/. ])[0-9]{1,2}\1[0-9]{1,2}.*|[0-9]{1,2}([-/. ])[0-9]{1,2}\2(?:19|20)[0-9]{2}.*"
+    r"|[0-9]{1,3}(?:\.[0-9]{3})+|[0-9]+\.[0-9]+|(?:(?:19|20)[0-9]{2}[\x20./-]*)+"
+)
 
-#: Character classes: padding, letters by case, other letters, digits, space, other white space,
-#: each of these signs, and anything else.
-_SIGNS = "@.-+()_%/:,"
-CLASSES = 8 + len(_SIGNS)
+#: Inputs: padding, the printable ASCII characters (letters without case, brackets of one side alike, digits but
+#: for 0 alike), line ends, other white space, other letters by a hash, and anything else.
+LETTERS = 32
+CLASSES = 1 + 95 + 2 + LETTERS + 1
+_ALIKE = str.maketrans("[{<]}>23456789", "((()))11111111")
 
 
 def _class_table() -> np.ndarray:
-    table = np.full(1 << 16, CLASSES - 1, np.int8)
+    table = np.full(1 << 16, CLASSES - 1, np.uint8)
     for c in range(1 << 16):
         s = chr(c)
-        if s.isdigit() and c < 128:
-            table[c] = 4
-        elif s.isalpha():
-            table[c] = (1 if s.islower() else 2) if c < 128 else 3
-        elif s == " ":
-            table[c] = 5
+        if 32 <= c < 127:
+            table[c] = 1 + ord(s.lower().translate(_ALIKE)) - 32
         elif s.isspace():
-            table[c] = 6
-        elif s in _SIGNS:
-            table[c] = 7 + _SIGNS.index(s)
+            table[c] = 96 if s in "\r\n" else 97
+        elif s.isalpha():
+            table[c] = 98 + (c * 40503 >> 4) % LETTERS
     return table
 
 
@@ -73,12 +87,6 @@ FORBIDDEN = np.array(
 Span = tuple[str, int, int]
 
 
-def luhn(digits: str) -> bool:
-    values = [int(d) for d in digits]
-    double = [2 * d - 9 * (d > 4) for d in values[-2::-2]]
-    return (sum(values[-1::-2]) + sum(double)) % 10 == 0
-
-
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """As the pattern would, but each at-sign is looked at once, so long runs cost no retries."""
     done, at = 0, text.find("@")
@@ -143,12 +151,6 @@ def _codes(text: str) -> np.ndarray:
     return _TABLE[np.minimum(points, (1 << 16) - 1)]
 
 
-def _cut(values: np.ndarray, starts: list[int]) -> np.ndarray:
-    """Windows of an array, padded with zeros."""
-    padded = np.concatenate([values, np.zeros(WINDOW, values.dtype)])
-    return padded[np.array(starts)[:, None] + np.arange(WINDOW)]
-
-
 def _tags(n: int, spans: list[Span]) -> np.ndarray:
     tags = np.zeros(n, np.int8)
     for kind, a, b in reversed(spans):
@@ -165,26 +167,13 @@ class PiiModel:
     tagger: Tagger | None
 
 
-def _more_forms(codes: np.ndarray, tags: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The window with its phone numbers without country code, and with its cards in dotted groups."""
-    out = []
-    phone, card = 1 + 2 * KINDS.index("phone"), 1 + 2 * KINDS.index("card")
-    dot = 7 + _SIGNS.index(".")
-    for at in np.flatnonzero(tags == phone)[:1]:
-        rest = at + 1
-        while rest < WINDOW and codes[rest] == 4 and tags[rest] == phone + 1:
-            rest += 1
-        while rest < WINDOW and codes[rest] == 5 and tags[rest] == phone + 1:
-            rest += 1
-        if rest < WINDOW and tags[rest] == phone + 1:
-            c, t = np.delete(codes, slice(at, rest)), np.delete(tags, slice(at, rest))
-            t[at] = phone
-            out.append((np.pad(c, (0, WINDOW - len(c))), np.pad(t, (0, WINDOW - len(t)))))
-    for at in np.flatnonzero(tags == card)[:1]:
-        run = at + np.array([4, 8, 12])
-        if run[-1] < WINDOW and (codes[at : run[-1]] == 4).all():
-            out.append((np.insert(codes, run, dot)[:WINDOW], np.insert(tags, run, card + 1)[:WINDOW]))
-    return out
+def with_insertion(rng: random.Random, text: str, tags: np.ndarray, held_out: bool = False) -> tuple[str, np.ndarray]:
+    """The text with something put between two of its words, where no span is, and its tags."""
+    places = [i for i, c in enumerate(text) if c in " \n" and (i + 1 >= len(text) or tags[i + 1] % 2 or not tags[i + 1])] or [len(text)]
+    at = rng.choice(places)
+    put, kind, a, b = insertion(rng, held_out)
+    inner = _tags(len(put), [(kind, a, b)] if kind else [])
+    return f"{text[:at]} {put}{text[at:]}", np.concatenate([tags[:at], [0], inner, tags[at:]]).astype(np.int8)
 
 
 def fit_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -198,40 +187,45 @@ def fit_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rows = []
                 for row, text in enumerate(texts):
                     starts = window_starts(text)
-                    if not starts:
-                        continue
-                    codes, tags = _cut(_codes(text), starts), _cut(_tags(len(text), base_spans(text, checked=False)), starts)
-                    rows += [(row, s, c.tobytes(), t.tobytes()) for s, c, t in zip(starts, codes, tags)]
+                    if starts:
+                        tags = _tags(len(text), base_spans(text, checked=False))
+                        rows += [(row, s, text[s : s + WINDOW], tags[s : s + WINDOW].tobytes()) for s in starts]
                 if rows:
-                    at, start, codes, tags = zip(*rows)
+                    at, start, words, tags = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0).take(pa.array(at)), pa.array(start, pa.int32()),
-                         pa.array(codes, pa.binary()), pa.array(tags, pa.binary())],
-                        ["id", "start", "codes", "tags"])
+                         pa.array(words, pa.string()), pa.array(tags, pa.binary())],
+                        ["id", "start", "words", "tags"])
 
     windows = (
         docs.where(in_sample(id_col, fraction))
         .select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
-        .mapInArrow(read, "id string, start int, codes binary, tags binary")
-        .orderBy(F.xxhash64("id", "start"), "id", "start", "codes")
+        .mapInArrow(read, "id string, start int, words string, tags binary")
+        .orderBy(F.xxhash64("id", "start"), "id", "start", "words")
         .limit(max_windows)
     )
     # The bounded sample is fitted in one task, where numpy keeps to the task's own core.
-    fitted = windows.select("codes", "tags").mapInArrow(_fit, "model binary").first()
+    fitted = windows.select("words", "tags").mapInArrow(_fit, "model binary").first()
     return PiiModel(Tagger(**pickle.loads(bytes(fitted["model"]))) if fitted else None)
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codes: list[np.ndarray] = []
-    tags: list[np.ndarray] = []
+    given: list[tuple[str, np.ndarray]] = []
     for batch in batches:
-        codes += [np.frombuffer(x, np.int8) for x in batch.column(0).to_pylist()]
-        tags += [np.frombuffer(x, np.int8) for x in batch.column(1).to_pylist()]
-    if not any(t.any() for t in tags):
+        given += zip(batch.column(0).to_pylist(), [np.frombuffer(t, np.int8) for t in batch.column(1).to_pylist()])
+    if not given:
         return
-    more = [pair for c, t in zip(codes, tags) for pair in _more_forms(c, t)]
-    x = np.stack(codes + [c for c, _ in more])
-    y = np.stack(tags + [t for _, t in more])
+    rng = random.Random(5)
+    rows = [(*pair, 0) for pair in given]
+    for _ in range(-(-MADE // len(given))):
+        for words, tags in given:
+            made = with_insertion(rng, words, tags)
+            rows.append((*made, rng.randint(0, len(made[0]) - len(words))))
+    x, y = np.zeros((len(rows), WINDOW), np.uint8), np.zeros((len(rows), WINDOW), np.int8)
+    for i, (words, tags, start) in enumerate(rows):
+        part = slice(start, start + WINDOW)
+        codes = _codes(words)[part]
+        x[i, : len(codes)], y[i, : len(codes)] = codes, tags[part]
     # A window may begin inside a span; its first tag then counts as the beginning.
     inner = (y[:, 0] > 0) & (y[:, 0] % 2 == 0)
     y[inner, 0] -= 1
@@ -251,15 +245,42 @@ def _spans_of(tags: np.ndarray, offset: int) -> Iterator[Span]:
             begin, kind = i, now
 
 
-def _fits(kind: str, found: str) -> bool:
-    digits = [c for c in found if c in "0123456789"]
+def _in_isbn(text: str, a: int, b: int) -> bool:
+    return any(m.start() < b and a < m.end() for m in _ISBN.finditer(text, max(0, a - 17), b + 17))
+
+
+def _fits(kind: str, text: str, a: int, b: int) -> bool:
+    """Whether a span of the tagger can be of its kind: its form, its values, and no half of a longer word or number."""
+    found = text[a:b]
+    if b - a > LONGEST or (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()):
+        return False
     if kind == "email":
-        return "@" in found[1:-1] and "." in found
+        return bool(_MAIL.fullmatch(_MAIL_DOT.sub(".", _AT.sub("@", found))))
     if kind == "ip":
-        return found.count(".") == 3 and _is_ip(found)
+        parts = _IP_DOT.split(found)
+        return len(parts) == 4 and _is_ip(".".join(parts))
+    digits = "".join(c for c in found if c in "0123456789")
     if kind == "card":
-        return 16 <= len(digits) <= 19 and luhn("".join(digits))
-    return 7 <= len(digits) <= 15
+        return 16 <= len(digits) <= 19 and bool(_CARD_LIKE.fullmatch(found)) and luhn(digits)
+    return (
+        8 <= len(digits) <= 15 and bool(_PHONE_LIKE.fullmatch(found)) and (found != digits or found[0] == "0")
+        and not _NO_PHONE.fullmatch(found) and not _in_isbn(text, a, b)
+    )
+
+
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """A span without the white space and stops around it."""
+    while a < b and (text[a].isspace() or text[a] in ".,;:"):
+        a += 1
+    while a < b and (text[b - 1].isspace() or text[b - 1] in ".,;:"):
+        b -= 1
+    return a, b
+
+
+def _stretches(starts: list[int]) -> list[tuple[int, int]]:
+    """Ranges of windows that overlap or touch each other."""
+    cuts = [0] + [k for k in range(1, len(starts)) if starts[k] > starts[k - 1] + WINDOW] + [len(starts)]
+    return list(zip(cuts, cuts[1:]))
 
 
 def added_spans(texts: list[str], base: list[list[Span]], model: PiiModel) -> list[list[Span]]:
@@ -267,41 +288,47 @@ def added_spans(texts: list[str], base: list[list[Span]], model: PiiModel) -> li
     out: list[list[Span]] = [[] for _ in texts]
     if model.tagger is None:
         return out
-    places: list[tuple[int, int]] = []
-    pieces: list[np.ndarray] = []
+    weight = 1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.float32)[:, None]
+    places: list[tuple[int, int]] = []  # text and begin of each stretch
+    sums: list[np.ndarray] = []
+    waiting: list[tuple[int, int, np.ndarray]] = []  # stretch, offset, codes
+
+    def flush() -> None:
+        if waiting:
+            scores = emissions(model.tagger, np.stack([codes for _, _, codes in waiting]))
+            for (k, at, _), one in zip(waiting, scores):
+                sums[k][at : at + WINDOW, :-1] += one * weight
+                sums[k][at : at + WINDOW, -1:] += weight
+            waiting.clear()
+
     for row, text in enumerate(texts):
         starts = window_starts(text)
-        if starts:
-            places += [(row, s) for s in starts]
-            pieces.append(_cut(_codes(text), starts))
-    if not places:
-        return out
-    codes = np.concatenate(pieces)
-    paths = np.concatenate([decode(model.tagger, codes[i : i + 512]) for i in range(0, len(codes), 512)])
-    depth = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
-    i = 0
-    while i < len(places):
-        # Windows of one text that overlap or touch are reconciled as one stretch.
-        j = i + 1
-        while j < len(places) and places[j][0] == places[i][0] and places[j][1] <= places[j - 1][1] + WINDOW:
-            j += 1
-        row, begin = places[i]
-        length = places[j - 1][1] + WINDOW - begin
-        best = np.full(length, -1)
-        tags = np.zeros(length, np.int8)
-        for k in range(i, j):
-            a = places[k][1] - begin
-            deeper = depth > best[a : a + WINDOW]
-            tags[a : a + WINDOW][deeper] = paths[k][deeper]
-            best[a : a + WINDOW][deeper] = depth[deeper]
+        if not starts:
+            continue
+        codes = _codes(text)
+        codes = np.concatenate([codes, np.zeros(WINDOW, codes.dtype)])
+        for i, j in _stretches(starts):
+            places.append((row, starts[i]))
+            sums.append(np.zeros((starts[j - 1] + WINDOW - starts[i], N_TAGS + 1), np.float32))
+            for s in starts[i:j]:
+                waiting.append((len(places) - 1, s - starts[i], codes[s : s + WINDOW]))
+                if len(waiting) == 512:
+                    flush()
+    flush()
+    paths = best_paths(model.tagger, [x[:, :-1] / x[:, -1:] for x in sums])
+    covered: dict[int, bytearray] = {}
+    for (row, begin), tags in zip(places, paths):
         text = texts[row]
         for kind, a, b in _spans_of(tags, begin):
-            b = min(b, len(text))
-            inside = text[a:b]
-            a, b = a + len(inside) - len(inside.lstrip()), b - (len(inside) - len(inside.rstrip()))
-            if a < b and _fits(kind, text[a:b]) and not any(a < y and x < b for _, x, y in base[row]):
+            a, b = _trimmed(text, a, min(b, len(text)))
+            if a >= b or not _fits(kind, text, a, b):
+                continue
+            if row not in covered:
+                covered[row] = bytearray(len(text))
+                for _, x, y in base[row]:
+                    covered[row][x:y] = b"\1" * (y - x)
+            if covered[row].find(1, a, b) < 0:
                 out[row].append((kind, a, b))
-        i = j
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -18,8 +19,10 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pagewatch.llm import bpe, decontaminate, hilbert, jaccard, multiset, pii, suffix_tree, token_counts, toxicity, warc
+from pagewatch.llm import bpe, decontaminate, hilbert, jaccard, multiset, pii, pii_forms, suffix_tree, token_counts, toxicity, warc
 from pagewatch.llm.components import connected_components
+from pagewatch.llm.lstm_crf import Tagger, best_paths
+from pagewatch.llm.pii_forms import insertion
 from pagewatch.llm.queries import ORACLES, QUERIES
 from tools.compare import rows_of
 
@@ -708,6 +711,79 @@ def test_tagger_finds_spans_on_its_own(spark, model):
     assert phone == [("phone", 12, 26)]
 
 
+def test_tagger_finds_forms_that_it_was_not_taught(model):
+    rng = random.Random(21)
+    held = duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' where length(text) > 50 order by doc_id").fetchall()
+    rows = []
+    for _ in range(1500):
+        text = rng.choice(held)[0]
+        at = rng.choice([i for i, c in enumerate(text) if c == " "])
+        before, after = text[max(0, at - 150) : at] + " ", text[at : at + 150]
+        put, kind, a, b = insertion(rng, held_out=True)
+        rows.append((before + put + after, (kind, len(before) + a, len(before) + b) if kind else None))
+    texts = [text for text, _ in rows]
+    base = [pii.base_spans(text) for text in texts]
+    found = pii.added_spans(texts, base, model)
+    for kind in pii.KINDS:
+        wanted = [(want, got) for (_, want), got in zip(rows, found) if want and want[0] == kind]
+        assert len(wanted) > 150
+        assert sum(want in got for want, got in wanted) >= 0.9 * len(wanted)
+        added = [(span, want) for (_, want), got in zip(rows, found) for span in got if span[0] == kind]
+        assert sum(span == want for span, want in added) >= 0.9 * len(added)
+
+
+def test_look_alikes_are_left_alone(model):
+    texts = [
+        "ordered 2024-10-11 and went", "isbn 978-3-16-148410-0 book", "at 11.10.2024 12:30 we", "about 12.345.678 of them",
+        "in 2019 2020 2021 as well", "at 3.14159265 it ends", "order 98079157628 was sent",
+    ]
+    assert pii.added_spans(texts, [pii.base_spans(t) for t in texts], model) == [[]] * len(texts)
+    assert not pii._fits("phone", "1020 7946 09589", 1, 14) and pii._fits("phone", " 020 7946 0958 ", 1, 14)
+    assert not pii._fits("card", "4111.1111.1111.1112", 0, 19) and pii._fits("card", "4111.1111.1111.1111", 0, 19)
+    assert not pii._fits("ip", "10 . 20 . 30 . 400", 0, 18) and pii._fits("ip", "10[.]20[.]30[.]40", 0, 17)
+    assert not pii._fits("email", "jane (at) example", 0, 17) and pii._fits("email", "j.d [at] a [dot] org", 0, 20)
+    assert not pii._fits("email", "j" * 400 + "@a.b", 0, 404)
+
+
+def test_training_forms_are_not_held_out_and_not_base_spans():
+    rng = random.Random(3)
+    assert not set(pii_forms.PHONES) & set(pii_forms.HELD_PHONES) and not set(pii_forms.OTHERS) & set(pii_forms.HELD_OTHERS)
+    assert not set(pii_forms.CARD_MARKS) & set(pii_forms.HELD_CARD_MARKS) and not set(pii_forms.DOTS) & set(pii_forms.HELD_DOTS)
+    assert not set(pii_forms.ATS) & set(pii_forms.HELD_ATS)
+    for kind in pii.KINDS:
+        for held_out in (False, True):
+            for _ in range(300):
+                text = pii_forms.variant(rng, kind, held_out)
+                assert pii.base_spans(text) == [] and pii._fits(kind, text, 0, len(text)), (kind, text)
+
+
+def test_paths_of_many_lengths_equal_the_best_of_all():
+    rng = np.random.default_rng(2)
+    k = 3
+    step = rng.normal(size=(k, k)).astype(np.float32)
+    step[:, 0] = 0  # leaving a span behind the end costs nothing here
+    tagger = Tagger(np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(k), step, rng.normal(size=k).astype(np.float32))
+    scores = [rng.normal(size=(n, k)).astype(np.float32) for n in (1, 5, 3, 6, 2, 6)]
+
+    def value(tags, one):
+        return tagger.first[tags[0]] + sum(one[i, t] for i, t in enumerate(tags)) + sum(step[a, b] for a, b in zip(tags, tags[1:]))
+
+    for together in (1, 12, 1000):
+        for one, path in zip(scores, best_paths(tagger, scores, together)):
+            best = max(itertools.product(range(k), repeat=len(one)), key=lambda tags: value(tags, one))
+            assert path.tolist() == list(best)
+
+
+def test_spans_across_many_windows_and_long_texts(model):
+    text = "see 020 7946 0958, then some words. " * 400
+    spans = pii.added_spans([text, "", text], [[], [], []], model)
+    assert spans[0] == spans[2] and spans[1] == []
+    assert sum(text[a:b] == "020 7946 0958" for _, a, b in spans[0]) >= 390
+    began = time.monotonic()
+    pii.added_spans(["1 2-3 " * 50_000 + "@ " * 50_000], [[]], model)
+    assert time.monotonic() - began < 60
+
+
 def test_windows_are_reconciled(model):
     mail = "someone.with.a.rather.long.name" * 4 + "@mail.example.com"
     text = "word " * 40 + "x.y@mail5.example.com and 10.20.30.40 " + "word " * 40 + mail
