@@ -7,6 +7,8 @@ again for every start: the time is linear. Attributes may come in any order and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from pagewatch.functions.text import decode_entities, occurrences, strip
@@ -57,15 +59,18 @@ def start_tags(document: Column, name: str) -> Column:
     return F.regexp_extract_all(document, F.lit(rf"(?is)<{name}\b{_REST}"), F.lit(0))
 
 
-def raw_attribute(tag: Column, name: str) -> Column:
-    """Attribute value as written, without quotes: null if absent, '' if it has no value.
+def attribute_list(tag: Column) -> Column:
+    """The attributes of a start tag as written, one after the other.
 
-    The attributes are listed one after the other, so a name inside another value cannot
-    match, and the depth of the match does not grow with their number. The last of a name counts.
+    So a name inside another value cannot match, and the depth of the match does not grow with their number.
     """
-    listed = F.regexp_extract_all(
+    return F.regexp_extract_all(
         F.regexp_replace(tag, r"(?is)^<[a-z][^\s/>]*+", ""), F.lit(rf"(?is)\G{_ATTR}"), F.lit(0)
     )
+
+
+def listed_attribute(listed: Column, name: str) -> Column:
+    """Value of a listed attribute as written, without quotes: null if absent, '' if it has no value. The last of a name counts."""
     named = F.filter(listed, lambda a: a.rlike(rf"(?is)^[\s/]+{name}(?:\s*=|$)"))
     value = F.regexp_extract(
         F.try_element_at(named, F.lit(-1)), rf"(?is)^[\s/]+{name}\s*(?:=\s*({_ATTR_VALUE}))?$", 1
@@ -73,6 +78,15 @@ def raw_attribute(tag: Column, name: str) -> Column:
     return F.regexp_replace(value, r"^[\"']|[\"']$", "")
 
 
+def raw_attribute(tag: Column, name: str) -> Column:
+    return listed_attribute(attribute_list(tag), name)
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` mentions it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def attribute(tag: Column, name: str) -> Column:
     """Attribute value with entities decoded."""
     return decode_entities(raw_attribute(tag, name), keep_unknown=True)
@@ -87,8 +101,8 @@ _META_ATTRIBUTES = {
 def meta_tags(document: Column) -> Column:
     """``array<struct<pos, name, property, http_equiv, charset, content>>`` in document order."""
     raw = F.transform(
-        start_tags(document, "meta"),
-        lambda tag: F.struct(*[raw_attribute(tag, a).alias(f) for f, a in _META_ATTRIBUTES.items()]),
+        F.transform(start_tags(document, "meta"), attribute_list),
+        lambda listed: F.struct(*[listed_attribute(listed, a).alias(f) for f, a in _META_ATTRIBUTES.items()]),
     )
     return F.transform(
         raw,
@@ -101,7 +115,7 @@ def meta_tags(document: Column) -> Column:
 
 def title(document: Column) -> Column:
     element = F.regexp_substr(document, F.lit(_TITLE))
-    return strip(decode_entities(drop_tags(element)))
+    return _once(element, lambda e: strip(decode_entities(drop_tags(e))))
 
 
 def first_tag(metas: Column, field: str, value: str) -> Column:
@@ -118,7 +132,7 @@ def canonical_link(document: Column) -> Column:
         start_tags(document, "link"),
         lambda tag: F.array_contains(F.split(raw_attribute(tag, "rel"), r"\s+"), "canonical"),
     )
-    return F.nullif(strip(attribute(F.get(links, F.lit(0)), "href")), F.lit(""))
+    return _once(F.get(links, F.lit(0)), lambda tag: F.nullif(strip(attribute(tag, "href")), F.lit("")))
 
 
 def prefixed_entries(metas: Column, field: str, prefix: str) -> Column:
@@ -221,14 +235,20 @@ def anchors(document: Column) -> Column:
 def anchor_fields(anchors_: Column) -> Column:
     """``array<struct<pos, href, title, text>>`` of the anchors that carry an href."""
     start = rf"(?is)^<a\b{_REST}"
-    raw = F.transform(
+    listed = F.transform(
         anchors_,
         lambda a, i: F.struct(
-            i.alias("pos"),
-            raw_attribute(F.regexp_substr(a, F.lit(start)), "href").alias("href"),
-            raw_attribute(F.regexp_substr(a, F.lit(start)), "title").alias("title"),
+            i.alias("pos"), a.alias("anchor"), attribute_list(F.regexp_substr(a, F.lit(start))).alias("listed")
+        ),
+    )
+    raw = F.transform(
+        listed,
+        lambda a: F.struct(
+            a["pos"].alias("pos"),
+            listed_attribute(a["listed"], "href").alias("href"),
+            listed_attribute(a["listed"], "title").alias("title"),
             F.transform(
-                F.split(a, _ANY_TAG, -1), lambda piece: strip(decode_entities(piece))
+                F.split(a["anchor"], _ANY_TAG, -1), lambda piece: strip(decode_entities(piece))
             ).alias("texts"),
         ),
     )
@@ -320,7 +340,7 @@ def has_comment_text(reduced: Column, text: Column) -> Column:
 
 def page_language(document: Column) -> Column:
     tag = F.regexp_substr(document, F.lit(rf"(?is)<html\b{_REST}"))
-    return F.nullif(strip(attribute(tag, "lang")), F.lit(""))
+    return _once(tag, lambda t: F.nullif(strip(attribute(t, "lang")), F.lit("")))
 
 
 def _charset_of(content_type: Column) -> Column:

@@ -16,14 +16,18 @@ def stream_captures(spark: SparkSession, path: str, **options: str) -> DataFrame
     return normalize_captures(reader.parquet(path))
 
 
+#: Tasks that a scan's rows are dealt to, for each core or split.
+TASKS_PER_SPLIT = 4
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a small scan out to all cores before per-row work that is heavy on CPU.
+    """Deal a scan out to all cores, in small tasks, before per-row work that is heavy on CPU.
 
-    A scan of few splits would leave cores idle. A scan with at least as many splits as
-    cores, and so every large one, is returned as it is: its rows are never shuffled here.
+    The splits of a file tell nothing about its rows: a row group is read whole by one task, and the other
+    splits that it covers are empty. So the rows are always dealt out, whatever the number of splits.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(TASKS_PER_SPLIT * max(cores, splits))
 
 
 def normalize_captures(captures: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pagewatch.functions import jsonld, text
 from pagewatch.functions.headers import drop_volatile, header, normalize_headers
 from pagewatch.functions.urls import history_key, normalize_url, url_variants
+from pagewatch.sources.captures import spread
 
 
 def values(spark, expression, inputs, kind="string"):
@@ -128,3 +129,37 @@ def test_headers(spark):
     assert row.n == {"date": "d", "etag": "2", "x-cache": "h", "age": "3"}
     assert row.d == {"etag": "2", "age": "3"}
     assert df.select(header(F.col("v"), "etag"), header(F.col("v"), "none")).first() == ("2", None)
+
+
+def test_runs_of_any_white_space_become_one_space(spark):
+    marks = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b {c}d  e{c} f{c}{c}g h" for c in marks]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    plain = F.trim(F.regexp_replace("t", rf"(?U){text.SPACE}+", " "))
+    assert rows.where(text.collapse_spaces(F.col("t")) != plain).count() == 0
+
+
+def test_phrases_are_counted_without_overlap_and_beside_others(spark):
+    cases = {"copyrights copyright": "rights", "ccpaccpa": "ccpa", "no close accounts": "close account", "": "gdpr", "ääterms-terms": "terms"}
+    rows = spark.createDataFrame([(t, p, t.count(p)) for t, p in cases.items()], "t string, p string, n int")
+    counted = F.coalesce(*[F.when(F.col("p") == p, text.occurrences(F.col("t"), p)) for p in cases.values()])
+    assert rows.where(counted != F.col("n")).count() == 0
+    assert spark.sql("SELECT CAST(NULL AS STRING) AS t").select(text.occurrences(F.col("t"), "terms")).first()[0] is None
+
+
+def test_a_scan_of_many_splits_and_one_row_group_is_dealt_out(spark, tmp_path):
+    rows = spark.range(2000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("t"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "t"))
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    kept = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "2k")
+        scan = spark.read.parquet(str(tmp_path / "t"))
+        assert scan.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        dealt = spread(scan).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for n, value in kept.items():
+            spark.conf.set(n, value)
+    assert sum(r["count"] for r in dealt) == 2000
+    assert max(r["count"] for r in dealt) < 500
