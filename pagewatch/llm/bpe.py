@@ -27,12 +27,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from pagewatch.llm.common import CACHE_WORDS, lists, slices, worker_memory
+from pagewatch.llm.common import lists, slices, worker_memory
 
 #: White space as the vocabulary's normaliser sees it.
 _SPACE = "\t-\r \x85\xa0  -     　"
 
 
+#: Pieces, and pre-tokens, that a worker remembers, 200 to 300 bytes each. Later ones are encoded anew: only speed depends on it.
+REMEMBERED = 100_000
 #: Larger than any id of a vocabulary, for pairs of ids as one number; and the mark of merged symbols.
 _BASE, _GONE = 1 << 24, -(1 << 60)
 
@@ -163,7 +165,7 @@ class BpeCodec:
                     known = words.get(word)
                     if known is None:
                         known = array("i", self._pretoken(word))
-                        if len(words) < CACHE_WORDS:
+                        if len(words) < REMEMBERED:
                             words[word] = known
                     out.extend(known)
         return array("i", out).tobytes()
@@ -184,7 +186,7 @@ class BpeCodec:
                         chunk = chunks[at]
                         if chunk not in fresh:
                             fresh[chunk] = self._chunk(chunk, words)
-                            if len(chunks_known) < CACHE_WORDS:
+                            if len(chunks_known) < REMEMBERED:
                                 chunks_known[chunk] = fresh[chunk]
                         found[at] = fresh[chunk]
             out.append(np.frombuffer(b"".join(found), np.int32))
