@@ -35,8 +35,10 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, text_at: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of a batch with about ``SLICE_CHARS`` bytes of text each, and their texts."""
+def slices(
+    batch: pa.RecordBatch, text_at: int = 1, size_limit: int = SLICE_CHARS
+) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of a batch with about ``size_limit`` bytes of text each, and their texts."""
     column = batch.column(text_at)
     sizes = np.asarray(
         pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
@@ -44,7 +46,7 @@ def slices(batch: pa.RecordBatch, text_at: int = 1) -> Iterator[tuple[pa.RecordB
     start, total = 0, 0
     for at, size in enumerate(sizes.tolist()):
         total += size
-        if total >= SLICE_CHARS or at == len(sizes) - 1:
+        if total >= size_limit or at == len(sizes) - 1:
             part = batch.slice(start, at + 1 - start)
             yield part, texts_of(part.column(text_at))
             start, total = at + 1, 0

@@ -22,11 +22,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagewatch.llm.common import SLICE_CHARS, bounded_fraction, crc_bucket, in_sample, slices
+from pagewatch.llm.common import bounded_fraction, crc_bucket, in_sample, slices
 from pagewatch.sources.tables import materialize
 
 BITS = 20
 SIZES = (3, 4, 5, 6)
+#: Texts are read in slices of about so many characters: each takes a hundred bytes of a worker's memory.
+SLICE = 250_000
 _PLAIN = np.array([c if chr(c).isalpha() else 32 for c in range(1 << 16)], np.uint32)
 
 
@@ -129,7 +131,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         all_texts = np.zeros(1 << BITS, np.int32)
         p = n = 0
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, size_limit=SLICE):
                 y = part.column(2).to_numpy(zero_copy_only=False)
                 rows, features = _features(texts, None)
                 all_texts += np.bincount(features, minlength=1 << BITS).astype(np.int32)
@@ -171,7 +173,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, size_limit=SLICE):
                 rows, found = _features(texts, wanted)
                 cuts = np.searchsorted(rows, np.arange(len(texts) + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(found.astype(np.int32)))
@@ -213,7 +215,7 @@ def toxicity_score(text: Column | str, model: ToxicityModel) -> Column:
             for t in texts:
                 group.append(t or "")
                 size += len(group[-1])
-                if size >= SLICE_CHARS:
+                if size >= SLICE:
                     out.append(text_scores(group, model))
                     group, size = [], 0
             out.append(text_scores(group, model))
