@@ -564,8 +564,8 @@ _content_query("h18_has_main_content", main_content="@.has_main_content")
 @query("h19_policy_keyword_counts")
 def h19(spark, sf_dir):
     docs = spread(D.table(spark, sf_dir, "documents")).withColumn("low", F.lower("text"))
-    counts = {f"n_{c}": n for c, n in X.policy_counts(F.col("low")).items()}
-    rows = docs.withColumns(counts)
+    counts = {f"n_{c}": n for c, n in X.hit_counts(F.col("hits"), F.col("low")).items()}
+    rows = docs.withColumn("hits", X.phrase_hits(F.col("low"))).withColumns(counts)
     return rows.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in counts])
 
 

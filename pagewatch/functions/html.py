@@ -7,11 +7,9 @@ again for every start: the time is linear. Attributes may come in any order and
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
-from pagewatch.functions.text import decode_entities, occurrences, strip
+from pagewatch.functions.text import _once, decode_entities, occurrences, strip
 
 # The rest of a start tag: quoted values may hold '>'. Possessive, so it never backtracks.
 _REST = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
@@ -82,11 +80,6 @@ def raw_attribute(tag: Column, name: str) -> Column:
     return listed_attribute(attribute_list(tag), name)
 
 
-def _once(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is computed once, however often ``then`` mentions it."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def attribute(tag: Column, name: str) -> Column:
     """Attribute value with entities decoded."""
     return decode_entities(raw_attribute(tag, name), keep_unknown=True)
@@ -114,8 +107,9 @@ def meta_tags(document: Column) -> Column:
 
 
 def title(document: Column) -> Column:
-    element = F.regexp_substr(document, F.lit(_TITLE))
-    return _once(element, lambda e: strip(decode_entities(drop_tags(e))))
+    # Without a title the element is empty. ``regexp_substr`` would search the page twice.
+    element = F.regexp_extract(document, _TITLE, 0)
+    return _once(element, lambda e: F.when(e != "", strip(decode_entities(drop_tags(e)))))
 
 
 def first_tag(metas: Column, field: str, value: str) -> Column:
@@ -128,8 +122,9 @@ def meta_description(metas: Column) -> Column:
 
 
 def canonical_link(document: Column) -> Column:
+    # The token is compared as written, so a byte search spares pages without it the scan for tags.
     links = F.filter(
-        start_tags(document, "link"),
+        F.when(F.contains(document, F.lit("canonical")), start_tags(document, "link")),
         lambda tag: F.array_contains(F.split(raw_attribute(tag, "rel"), r"\s+"), "canonical"),
     )
     return _once(F.get(links, F.lit(0)), lambda tag: F.nullif(strip(attribute(tag, "href")), F.lit("")))
@@ -192,7 +187,11 @@ def other_entries(metas: Column) -> Column:
 
 def json_ld_bodies(html: Column) -> Column:
     """Bodies of JSON-LD scripts that are not inside a comment."""
-    blocks = F.regexp_extract_all(html, F.lit(_OPAQUE_SCRIPT), F.lit(0))
+    # The type is compared as written, so a byte search spares pages without it the scan for blocks.
+    possible = html.isNull() | F.contains(html, F.lit("application/ld+json"))
+    blocks = F.when(possible, F.regexp_extract_all(html, F.lit(_OPAQUE_SCRIPT), F.lit(0))).otherwise(
+        F.array().cast("array<string>")
+    )
     scripts = F.filter(
         blocks,
         lambda b: F.startswith(F.lower(b), F.lit("<script"))
@@ -339,8 +338,8 @@ def has_comment_text(reduced: Column, text: Column) -> Column:
 
 
 def page_language(document: Column) -> Column:
-    tag = F.regexp_substr(document, F.lit(rf"(?is)<html\b{_REST}"))
-    return _once(tag, lambda t: F.nullif(strip(attribute(t, "lang")), F.lit("")))
+    tag = F.regexp_extract(document, rf"(?is)<html\b{_REST}", 0)
+    return _once(tag, lambda t: F.when(t != "", F.nullif(strip(attribute(t, "lang")), F.lit(""))))
 
 
 def _charset_of(content_type: Column) -> Column:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewatch import schemas
+from pagewatch.functions import html as H
 from pagewatch.operators.profile import profile_captures
 from pagewatch.sources.captures import normalize_captures
 
@@ -121,3 +122,20 @@ def test_failed_capture_is_normalised(spark):
         spark.createDataFrame([("u", None, 200, {}, "u", "é", None, None, None, "c", 1)], schemas.CAPTURES)
     )
     assert sized.first().content_length == 2
+
+
+def test_title_and_language_are_searched_once(spark):
+    cases = [
+        ("<html lang=' de '><title> A &amp; <b>b</b> </title><link rel='x canonical' href='/c'></html>", "A & b", "de", "/c", 0),
+        ("<HTML><title></title><link rel='CANONICAL' href='/c'>", "", None, None, 0),
+        ("", None, None, None, 0), ("<p>canonical", None, None, None, 0),
+        ("<script type=application/ld+json>{}</script><!-- <script type='application/ld+json'>1</script> -->", None, None, None, 1),
+        ("application/ld+json<script>1</script>", None, None, None, 0),
+    ]
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)] + [(len(cases), None)], "i int, h string")
+    h = F.col("h")
+    found = rows.select("i", H.title(h), H.page_language(h), H.canonical_link(h), F.array_size(H.json_ld_bodies(h)))
+    assert [tuple(r)[1:] for r in found.orderBy("i").collect()] == [c[1:] for c in cases] + [(None,) * 4]
+    # A search whose result is mentioned twice would run twice.
+    for field, tag in ((H.title, "<title"), (H.page_language, "<html")):
+        assert rows.select(field(h).alias("x"))._jdf.queryExecution().optimizedPlan().toString().count(tag) == 1

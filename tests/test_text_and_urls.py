@@ -163,3 +163,27 @@ def test_a_scan_of_many_splits_and_one_row_group_is_dealt_out(spark, tmp_path):
             spark.conf.set(n, value)
     assert sum(r["count"] for r in dealt) == 2000
     assert max(r["count"] for r in dealt) < 500
+
+
+def test_phrases_of_all_categories_are_found_in_one_pass(spark):
+    phrases = [p for category in text.POLICY_PHRASES.values() for p in category]
+    assert not [(p, q) for p in phrases for q in phrases if p != q and q.startswith(p)]
+    joined = [p[: len(p) - cut] + q for p in phrases for q in phrases for cut in (0, 1, 2)]
+    joined += [" ".join(phrases) + "ä", "personal data protection", "gdprights", "terms\nterm s", "terminaterminaterms", ""]
+    rows = spark.createDataFrame([(t, [sum(t.count(p) for p in ps) for ps in text.POLICY_PHRASES.values()]) for t in joined], "t string, n array<int>")
+    counted = rows.withColumn("hits", text.phrase_hits(F.col("t"))).withColumn("c", F.array(*text.hit_counts(F.col("hits"), F.col("t")).values()))
+    assert counted.where("c IS NULL OR c <> n").count() == 0
+    assert counted._jdf.queryExecution().analyzed().toString().count("regexp_") <= 2
+    nothing = spark.sql("SELECT CAST(NULL AS STRING) AS t").select(*text.policy_counts(F.col("t")).values())
+    assert set(nothing.first()) == {None}
+
+
+def test_folding_with_the_lower_text_gives_the_same(spark):
+    rows = spark.createDataFrame([(t,) for t in ["VerSion", "İstanbul DATE", "verſıon", "Kelvin", "i̇", "", None]], "t string")
+    same = text.fold_case(F.col("t")).eqNullSafe(text.fold_case(F.col("t"), F.lower("t")))
+    assert rows.where(~same).count() == 0
+
+
+def test_common_references_are_decoded_as_all_others(spark):
+    inputs = ["&amp;lt; &lt;&gt;&quot;&nbsp;| &amp &ampx; &eacute;&CounterClockwiseContourIntegral;&none;"]
+    assert values(spark, text.decode_entities, inputs) == ['&lt; <>"\xa0| & &ampx é∳&none']
