@@ -16,8 +16,9 @@ def stream_captures(spark: SparkSession, path: str, **options: str) -> DataFrame
     return normalize_captures(reader.parquet(path))
 
 
-#: Tasks that a scan's rows are dealt to, for each core or split.
-TASKS_PER_SPLIT = 4
+#: Tasks that a scan's rows are dealt to: so many for each core, or for each split if these are more. A split has 128 MB
+#: by default, which are some minutes of work.
+TASKS_PER_CORE, TASKS_PER_SPLIT = 4, 8
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def spread(df: DataFrame) -> DataFrame:
     splits that it covers are empty. So the rows are always dealt out, whatever the number of splits.
     """
     cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
-    return df.repartition(TASKS_PER_SPLIT * max(cores, splits))
+    return df.repartition(max(TASKS_PER_CORE * cores, TASKS_PER_SPLIT * splits))
 
 
 def normalize_captures(captures: DataFrame) -> DataFrame:

@@ -165,6 +165,12 @@ def test_a_scan_of_many_splits_and_one_row_group_is_dealt_out(spark, tmp_path):
     assert max(r["count"] for r in dealt) < 500
 
 
+def test_a_split_becomes_many_tasks(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(0, 100, 1, 2 * cores)).rdd.getNumPartitions() == 16 * cores
+    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 4 * cores
+
+
 def test_phrases_of_all_categories_are_found_in_one_pass(spark):
     phrases = [p for category in text.POLICY_PHRASES.values() for p in category]
     assert not [(p, q) for p in phrases for q in phrases if p != q and q.startswith(p)]
