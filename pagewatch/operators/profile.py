@@ -64,16 +64,14 @@ def with_page_fields(captures: DataFrame) -> DataFrame:
     bare = reduced.withColumn("_bare", H.drop_tags(F.col("_reduced")))
     texts = bare.withColumn("_raw", X.decode_entities(F.col("_bare"))).withColumns(
         {"_text": X.collapse_spaces(F.col("_raw")), "_lower": F.lower("_raw")}
-    ).withColumns(
-        {"_folded": X.fold_case(F.col("_raw"), F.col("_lower")), "_hits": X.phrase_hits(F.col("_lower"))}
-    )
+    ).withColumn("_hits", X.phrase_hits(F.col("_lower"), *X.MARK_WORDS))
     # Counts are columns before they meet a condition: a branch would compute them twice.
     counted = texts.withColumns(
         {f"_n_{category}": n for category, n in X.hit_counts(F.col("_hits"), F.col("_lower")).items()}
     ).withColumns(
         {
-            "_versions": X.version_marks(F.col("_raw"), F.col("_folded")),
-            "_dates": X.date_marks(F.col("_raw"), F.col("_folded")),
+            "_versions": X.version_marks(F.col("_raw"), F.col("_lower"), F.col("_hits")),
+            "_dates": X.date_marks(F.col("_raw"), F.col("_lower"), F.col("_hits")),
             "_tag_names": H.tag_names(F.col("_reduced")),
         }
     )
