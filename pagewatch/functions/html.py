@@ -209,9 +209,6 @@ def item_types(document: Column) -> Column:
     tags = F.regexp_extract_all(
         document, F.lit(rf"(?is)<[a-z][^\s/>]*(?=[\s/])(?=[^>]*\bitemtype\b){_REST}"), F.lit(0)
     )
-    # A search for the word alone spares pages without it the look into every tag.
-    possible = document.isNull() | document.rlike("(?i)itemtype")
-    tags = F.when(possible, tags).otherwise(F.array().cast("array<string>"))
     return F.array_compact(F.transform(tags, lambda tag: raw_attribute(tag, "itemtype")))
 
 
