@@ -7,6 +7,8 @@ again for every start: the time is linear. Attributes may come in any order and
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, functions as F
 
 from pagewatch.functions.text import _once, decode_entities, occurrences, strip
@@ -62,18 +64,15 @@ def attribute_list(tag: Column) -> Column:
 
     So a name inside another value cannot match, and the depth of the match does not grow with their number.
     """
-    return F.regexp_extract_all(
-        F.regexp_replace(tag, r"(?is)^<[a-z][^\s/>]*+", ""), F.lit(rf"(?is)\G{_ATTR}"), F.lit(0)
-    )
+    return F.regexp_extract_all(tag, F.lit(rf"(?is)(?:^<[a-z][^\s/>]*+|(?!^)\G)({_ATTR})"), F.lit(1))
 
 
 def listed_attribute(listed: Column, name: str) -> Column:
     """Value of a listed attribute as written, without quotes: null if absent, '' if it has no value. The last of a name counts."""
     named = F.filter(listed, lambda a: a.rlike(rf"(?is)^[\s/]+{name}(?:\s*=|$)"))
-    value = F.regexp_extract(
-        F.try_element_at(named, F.lit(-1)), rf"(?is)^[\s/]+{name}\s*(?:=\s*({_ATTR_VALUE}))?$", 1
+    return F.regexp_replace(
+        F.try_element_at(named, F.lit(-1)), rf"(?is)^[\s/]+{name}(?:\s*=\s*[\"']?)?|[\"']\z", ""
     )
-    return F.regexp_replace(value, r"^[\"']|[\"']$", "")
 
 
 def raw_attribute(tag: Column, name: str) -> Column:
@@ -206,9 +205,16 @@ def json_ld_bodies(html: Column) -> Column:
 
 def item_types(document: Column) -> Column:
     """Values of the ``itemtype`` attribute of all tags that carry one."""
-    tags = F.regexp_extract_all(
-        document, F.lit(rf"(?is)<[a-z][^\s/>]*(?=[\s/])(?=[^>]*\bitemtype\b){_REST}"), F.lit(0)
-    )
+    # Byte searches for a rare part of the name, in any case, spare pages without it the scan for tags.
+    possible = document.isNull()
+    for part in map("".join, product("mM", "tT", "yY")):
+        possible = possible | F.contains(document, F.lit(part))
+    tags = F.when(
+        possible,
+        F.regexp_extract_all(
+            document, F.lit(rf"(?is)<[a-z][^\s/>]*(?=[\s/])(?=[^>]*\bitemtype\b){_REST}"), F.lit(0)
+        ),
+    ).otherwise(F.array().cast("array<string>"))
     return F.array_compact(F.transform(tags, lambda tag: raw_attribute(tag, "itemtype")))
 
 
@@ -237,7 +243,7 @@ def anchor_fields(anchors_: Column) -> Column:
     listed = F.transform(
         anchors_,
         lambda a, i: F.struct(
-            i.alias("pos"), a.alias("anchor"), attribute_list(F.regexp_substr(a, F.lit(start))).alias("listed")
+            i.alias("pos"), a.alias("anchor"), attribute_list(F.regexp_extract(a, start, 0)).alias("listed")
         ),
     )
     raw = F.transform(
