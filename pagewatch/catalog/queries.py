@@ -584,10 +584,10 @@ def h20(spark, sf_dir):
 
 @query("h21_date_indicators")
 def h21(spark, sf_dir):
-    rows = tagged(spark, sf_dir, "content_analysis")
-    return rows.select(
-        "page_id", F.posexplode("profile.content_analysis.date_indicators").alias("pos", "mark")
-    )
+    found = tagged(spark, sf_dir, "content_analysis.date_indicators")
+    marks = F.col("profile.content_analysis.date_indicators")
+    # The outer form keeps the optimizer from evaluating the marks once more in a filter.
+    return found.select("page_id", F.posexplode_outer(marks).alias("pos", "mark")).where("pos IS NOT NULL")
 
 
 _content_query("h22_has_legal_language", has_legal_language="@.has_legal_language")

@@ -107,22 +107,23 @@ def with_page_fields(captures: DataFrame) -> DataFrame:
     )
 
 
-def _content() -> Column:
+def _content(parts: list[str] | None = None) -> Column:
     names, clean = F.col("_tag_names"), F.col("_text")
     counts = {category: F.col(f"_n_{category}") for category in X.POLICY_PHRASES}
-    return F.struct(
-        X.word_count(clean).alias("word_count"),
-        X.preview(clean).alias("text_preview"),
-        H.heading_counts(names).alias("headings"),
-        H.tag_count(names, "img").alias("image_count"),
-        H.has_main_content(F.col("_reduced"), names).alias("has_main_content"),
-        H.tag_count(names, "p").alias("paragraph_count"),
-        H.tag_count(names, "ul", "ol").alias("list_count"),
-        *[c.alias(f"{category}_keyword_count") for category, c in counts.items()],
-        F.col("_versions").alias("version_indicators"),
-        F.col("_dates").alias("date_indicators"),
-        (F.greatest(*counts.values()) > 0).alias("has_legal_language"),
-    )
+    built = {
+        "word_count": lambda: X.word_count(clean),
+        "text_preview": lambda: X.preview(clean),
+        "headings": lambda: H.heading_counts(names),
+        "image_count": lambda: H.tag_count(names, "img"),
+        "has_main_content": lambda: H.has_main_content(F.col("_reduced"), names),
+        "paragraph_count": lambda: H.tag_count(names, "p"),
+        "list_count": lambda: H.tag_count(names, "ul", "ol"),
+        **{f"{category}_keyword_count": lambda c=c: c for category, c in counts.items()},
+        "version_indicators": lambda: F.col("_versions"),
+        "date_indicators": lambda: F.col("_dates"),
+        "has_legal_language": lambda: F.greatest(*counts.values()) > 0,
+    }
+    return F.struct(*[built[name]().alias(name) for name in (parts or built)])
 
 
 def _forms() -> Column:
@@ -165,9 +166,15 @@ def profile_captures(captures: DataFrame, fields: list[str] | None = None) -> Da
 
     A capture that failed in transport has a null profile; one that answered but cannot be
     parsed has a profile with ``error`` set and empty fields. ``fields`` keeps only some
-    profile fields, and the others are then never computed.
+    profile fields, and the others are then never computed; ``content_analysis.<part>`` keeps some parts of
+    the content analysis only. Spark would compute them all, as the struct stands in a condition.
     """
-    chosen = [PROFILE_FIELDS[name]().alias(name) for name in (fields or PROFILE_FIELDS)]
+    fields = fields or list(PROFILE_FIELDS)
+    parts = [name.removeprefix("content_analysis.") for name in fields if name.startswith("content_analysis.")]
+    chosen = [PROFILE_FIELDS[name]().alias(name) for name in fields if name in PROFILE_FIELDS]
+    if parts:
+        content = F.when(F.col("_html").isNotNull(), _content(parts))
+        chosen.append(content.alias("content_analysis"))
     kept = [c for c in captures.columns if c != "html"]
     profile = F.when(~F.col("_failed"), F.struct(*chosen)).alias("profile")
     return with_page_fields(captures).select(*kept, profile)

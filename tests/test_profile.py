@@ -139,3 +139,32 @@ def test_title_and_language_are_searched_once(spark):
     # A search whose result is mentioned twice would run twice.
     for field, tag in ((H.title, "<title"), (H.page_language, "<html")):
         assert rows.select(field(h).alias("x"))._jdf.queryExecution().optimizedPlan().toString().count(tag) == 1
+
+
+def test_parts_of_the_content_analysis_are_built_alone(spark):
+    pages = [
+        "<p>Last updated: May 1, 2024. date: 1/2/2024</p>", "<h1>x</h1><p>no marks</p>", None, "<p>updated on 3 June</p><p>privacy</p>",
+    ]
+    rows = [
+        (f"https://site.example/{i}", dt.datetime(2024, 1, 1), status, {"Content-Type": kind}, None, html, None, None, None, "c", i)
+        for i, (html, status, kind) in enumerate([(p, 200, HTML) for p in pages] + [(pages[0], 404, HTML), (pages[0], 200, "text/plain")])
+    ]
+    captures = normalize_captures(spark.createDataFrame(rows, schemas.CAPTURES))
+    whole = {r.ordinal: r.profile for r in profile_captures(captures).collect()}
+    parts = ["date_indicators", "word_count"]
+    alone = profile_captures(captures, ["title", *[f"content_analysis.{p}" for p in parts]]).collect()
+    assert len(alone) == len(rows)
+    for r in alone:
+        content = whole[r.ordinal].content_analysis
+        assert r.profile.asDict(True) == {
+            "title": whole[r.ordinal].title, "content_analysis": content and {p: content[p] for p in parts},
+        }
+
+
+def test_date_marks_are_looked_for_once(spark, sf_dir):
+    from pagewatch.catalog.queries import QUERIES
+    from pagewatch.functions.text import DATE_PATTERNS
+
+    plan = QUERIES["h21_date_indicators"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    # No marks of versions, no policy phrases, and no second search in a filter.
+    assert plan.count("regexp_extract_all") == len(DATE_PATTERNS)
