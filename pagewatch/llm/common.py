@@ -35,10 +35,8 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
-def slices(
-    batch: pa.RecordBatch, text_at: int = 1, size_limit: int = SLICE_CHARS
-) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of a batch with about ``size_limit`` bytes of text each, and their texts."""
+def parts(batch: pa.RecordBatch, text_at: int = 1, size_limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``size_limit`` bytes of text each."""
     column = batch.column(text_at)
     sizes = np.asarray(
         pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
@@ -47,11 +45,18 @@ def slices(
     for at, size in enumerate(sizes.tolist()):
         total += size
         if total >= size_limit or at == len(sizes) - 1:
-            part = batch.slice(start, at + 1 - start)
-            yield part, texts_of(part.column(text_at))
+            yield batch.slice(start, at + 1 - start)
             start, total = at + 1, 0
 
 
+def slices(
+    batch: pa.RecordBatch, text_at: int = 1, size_limit: int = SLICE_CHARS
+) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of a batch with about ``size_limit`` bytes of text each, and their texts."""
+    for part in parts(batch, text_at, size_limit):
+        yield part, texts_of(part.column(text_at))
+
+
 def worker_memory(kind: str, version: str) -> dict:
     """A dictionary that lives as long as the Python worker, so tasks share what they remember.
 

@@ -51,7 +51,7 @@ def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    scored = score_texts(docs, docs.where(crc_bucket("doc_id", 7) != 2))
+    scored = score_texts(docs, crc_bucket("doc_id", 7) != 2)
     return scored.select(
         "doc_id", (crc_bucket("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens",
         "base_score", "score",

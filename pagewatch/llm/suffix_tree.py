@@ -14,12 +14,16 @@ the longest retained suffix of what precedes a token.
 
 The probability of a token is its unigram probability times a factor that the tree alone decides. The factor's logarithm
 is a sum: each context of a token adds ``rest``, what it leaves to its suffix, and each stored run that ends with
-the token adds ``gain``, what the run has above that. So a text's score is its base plus one value for each run that it holds,
-and the values come from a join of one row per document and run. Two tables of fixed size spare most rows the join: the
-runs and words above ``SHARE`` (at most ``1 / SHARE`` of a length) are known to all tasks, which also keeps hot keys out of the
-join, and a bit table drops runs that have no value. Neither changes a score.
+the token adds ``gain``, what the run has above that. So a text's score is its base plus one value for each run that it holds.
 
-Runs are named by 64-bit hashes; a run is counted under those of its two shorter runs, 128 bits together.
+Texts are made into tokens once, in blocks of about ``BLOCK_TOKENS`` tokens, which are kept as numbers. All later steps are
+numpy on whole arrays: a row that Spark deals out holds the arrays of one bucket of hashes, or of one block. Blocks send their
+different runs to the buckets, which count them; runs meet their suffixes and their contexts in the buckets of these. In
+scoring, blocks ask the buckets for the values of their runs, and the answers are sums by document. Tables of fixed size
+spare most rows the way: the runs and words above ``SHARE`` (at most ``KNOWN_RUNS``) are known to all tasks, and a bit
+table drops runs that have no value. Neither changes a score.
+
+Words and runs are named by 64-bit hashes; a run is counted under those of its two shorter runs, 128 bits together.
 
 Defined cases: null and empty texts are one end token. Without training rows all counts are zero and
 both scores are those of the root. Repeated rows are scored each. Texts are read whole.
@@ -27,26 +31,33 @@ both scores are those of the root. Repeated rows are scored each. Texts are read
 
 from __future__ import annotations
 
-from collections import Counter
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pagewatch.llm.common import CACHE_WORDS, WordHashes, mix, slices
+from pagewatch.llm.common import CACHE_WORDS, mix, parts
 from pagewatch.sources.tables import materialize
 
 DEPTH = 4
 DISCOUNT = 0.5
 #: Runs seen more rarely are not kept.
 MIN_COUNT = 3
-#: Words and runs with so large a share of all tokens go to all tasks, the others through a join. Only speed depends
-#: on it and on the bits of the table of runs that are worth a join.
-SHARE = 5e-6
+#: Words and runs with so large a share of all tokens are known to all tasks, if they are not more than ``KNOWN_RUNS``; the
+#: others are asked for. Only speed depends on it and on the bits of the table of runs that are worth a question.
+SHARE = 2e-7
+KNOWN_RUNS = 1 << 19
 FILTER_BITS = 26
+#: Tokens of a block, and tokens for each bucket: they bound a worker's memory. A bucket sends a row to each other one, so
+#: their number follows the tokens only.
+BLOCK_TOKENS = 1 << 19
+BUCKET_TOKENS = 1 << 21
+BUCKET_BITS = (5, 14)
 
 #: The end token is the empty word, which no text holds.
 END = b""
@@ -57,152 +68,541 @@ def tokens(text: str) -> list[bytes]:
     return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-class TokenHashes(WordHashes):
-    """Token to 64-bit hash."""
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, without ends, and the number of each text's tokens with its end."""
+    found = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(texts.fill_null("")))
+    words, ends = found.flatten(), found.offsets.to_numpy()
+    # White space at an end of a text leaves an empty word.
+    full = pa.compute.binary_length(words).to_numpy() > 0
+    lengths = np.diff(np.append(0, np.cumsum(full))[ends - ends[0]]) + 1
+    return words.filter(pa.array(full)), lengths
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(self) < CACHE_WORDS:
-            self[word] = value
-        return value
 
+def _run_hash(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Hash of a run, from those of the run without its last token and without its first."""
+    return mix(context * np.uint64(0x9E3779B97F4A7C15) + suffix)
 
-class HeadWords(dict):
-    """Frequent words and their numbers; -1 for all others."""
 
-    def __missing__(self, word: bytes) -> int:
-        return -1
+def _longer(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the runs one token longer that end at each place; one that would begin before its text has no meaning."""
+    return _run_hash(np.roll(hashes, 1), hashes)
 
 
-def _run_hash(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    """Hash of a run, from those of the run without its last token and without its first."""
-    return mix(context * np.uint64(0x9E3779B97F4A7C15) + suffix)
+def _places(lengths: np.ndarray) -> np.ndarray:
+    """Place of each token in its text."""
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+# -- rows that hold arrays
+
+#: What the rows of a bucket or block are.
+RUNS, ASKING, CONTEXTS, WORDS, ASK_RUNS, ASK_WORDS, GOT_RUNS, GOT_WORDS, TEXTS = range(9)
+#: ``a`` and ``b`` are hashes, ``n`` counts or numbers of texts, the others floats.
+TYPES = {"a": np.uint64, "b": np.uint64, "n": np.int64, "x": np.float64, "y": np.float64, "z": np.float64}
+FRAME = "block long, bucket int, kind int, a binary, b binary, n binary, x binary, y binary, z binary"
+NAMES = ["block", "bucket", "kind", *TYPES]
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where a new value begins among sorted ones."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+
+
+def _about_sorted(values: np.ndarray) -> np.ndarray:
+    """Places of some values in their order, as far as their first bits tell it: with the place in the last bits of each, values
+    are sorted in a fraction of the time that it takes to sort places."""
+    width = np.uint64(len(values).bit_length())
+    found = np.sort(values >> width << width | np.arange(len(values), dtype=np.uint64))
+    return (found & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64)
+
+
+def _pieces(kind: int, starts: np.ndarray, block, bucket, **columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each piece of some arrays that are cut at ``starts``."""
+    rows, out = len(starts), []
+    for name, dtype in TYPES.items():
+        if name not in columns:
+            out.append(pa.nulls(rows, pa.binary()))
+            continue
+        values = np.ascontiguousarray(columns[name], dtype)
+        ends = (np.append(starts, len(values)) * 8).astype(np.int32)
+        out.append(pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends), pa.py_buffer(values)]))
+    whole = lambda x, t: pa.array(np.broadcast_to(np.asarray(x, t), rows).copy())
+    return pa.RecordBatch.from_arrays([whole(block, np.int64), whole(bucket, np.int32), whole(kind, np.int32), *out], NAMES)
+
+
+def _dealt(kind: int, bits: int, by: np.ndarray, block: int = 0, **columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket of some sorted hashes, with its part of the arrays."""
+    bucket = (by >> np.uint64(64 - bits)).astype(np.int32)
+    starts = _starts(bucket)
+    return _pieces(kind, starts, block, bucket[starts], **columns)
+
 
+def _blob(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The bytes of all rows of a binary column."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros(0, np.uint8)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
 
-def _runs(words: list[list[bytes]], hashes: TokenHashes, length: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each length from 1 on the hash of the run that ends at each token of some texts, and the place of each
-    token in its text. A run that would begin before its text has a hash without meaning."""
-    lengths = np.array([len(w) for w in words])
-    out = [np.fromiter((h for ws in words for h in map(hashes.__getitem__, ws)), np.uint64, int(lengths.sum()))]
-    for _ in range(1, length):
-        out.append(_run_hash(np.roll(out[-1], 1), out[-1]))
-    starts = np.cumsum(lengths) - lengths
-    return out, np.arange(len(out[0])) - np.repeat(starts, lengths)
 
+def _of(table: pa.Table | pa.RecordBatch, kind: int, names: str) -> list[np.ndarray]:
+    """Some arrays of all rows of a kind, each put together."""
+    rows = table.filter(pa.compute.equal(table.column("kind"), kind))
+    return [_blob(rows.column(name)).view(TYPES[name]) for name in names]
 
-def _bit_table(keys: DataFrame) -> np.ndarray:
-    """A table of ``2 ** FILTER_BITS`` bits with those of the keys set."""
-    slot = F.shiftrightunsigned("key", 64 - FILTER_BITS)
-    rows = (
-        keys.select(F.shiftright(slot, 6).alias("at"), slot.bitwiseAND(63).cast("int").alias("bit"))
-        .select("at", F.expr("shiftleft(1L, bit)").alias("piece"))
-        .groupBy("at").agg(F.bit_or("piece").alias("piece")).toArrow()
-    )
-    bits = np.zeros((1 << FILTER_BITS) // 64, np.int64)
-    bits[rows.column("at").to_numpy()] = rows.column("piece").to_numpy()
-    return bits.view(np.uint64)
 
+def _only(df: DataFrame, names: str) -> DataFrame:
+    """Rows with some of the arrays."""
+    return df.withColumns({n: F.lit(None).cast("binary") for n in TYPES if n not in names})
 
-def _may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys >> np.uint64(64 - FILTER_BITS)
-    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
+def _by_bucket(df: DataFrame, run, key: str = "bucket", schema: str = FRAME) -> DataFrame:
+    return df.groupBy(key).applyInArrow(run, schema)
 
-def _count_runs(length: int, bits: np.ndarray):
-    """Counts of the runs of a length, where both runs inside that are one token shorter may be kept."""
+
+# -- tables of fixed size that all tasks know
+
+
+def _filter_slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word of the bit table for each hash, and its two bits."""
+    one = np.uint64(1)
+    bits = (one << (keys & np.uint64(63))) | (one << ((keys >> np.uint64(6)) & np.uint64(63)))
+    return (keys >> np.uint64(64 - FILTER_BITS + 6)).astype(np.int64), bits
+
+
+def _bit_table(rows: DataFrame, bits: int) -> np.ndarray:
+    """A table of ``2 ** FILTER_BITS`` bits with those of the hashes in ``a`` set."""
+    width = 1 << (FILTER_BITS - 6 - bits)
+
+    def run(table: pa.Table) -> pa.Table:
+        at, piece = _filter_slots(np.sort(_blob(table.column("a")).view(np.uint64)))
+        starts, words = _starts(at), np.zeros(width, np.uint64)
+        words[at[starts] % width] = np.bitwise_or.reduceat(piece, starts)
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "words": pa.array([words.tobytes()], pa.binary())})
+
+    out = np.zeros((1 << bits, width), np.uint64)
+    found = _by_bucket(rows.select("bucket", "a"), run, schema="bucket int, words binary").toArrow()
+    for bucket, words in zip(found.column("bucket").to_pylist(), found.column("words")):
+        out[bucket] = np.frombuffer(words.as_buffer(), np.uint64)
+    return out.reshape(-1)
+
+
+def _may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at, bits = _filter_slots(keys)
+    return table[at] & bits == bits
+
+
+class Lookup:
+    """Values of some hashes. Hashes lie in order, each at or after the slot that its first bits name."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.bits = max(4, int(1.25 * len(keys)).bit_length())
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def spread(self) -> Lookup:
+        """With the table laid out, which need not travel."""
+        slots, n = (self.keys >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(self.keys))
+        at = np.maximum.accumulate(slots - n) + n if len(n) else n
+        size = max(1 << self.bits, int(at[-1]) + 1 if len(n) else 0) + 1
+        self.table, self.out = np.full(size, ~np.uint64(0)), np.zeros(size)
+        self.table[at], self.out[at] = self.keys, self.values
+        return self
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is there, and its value or 0."""
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        todo = np.flatnonzero(self.table[at] < keys)
+        while len(todo):
+            at[todo] += 1
+            todo = todo[self.table[at[todo]] < keys[todo]]
+        hit = self.table[at] == keys
+        return hit, np.where(hit, self.out[at], 0.0)
+
+
+def _known(rows: DataFrame, least: float, values: str) -> Lookup:
+    """Hashes that were seen ``least`` times or more, but at most ``KNOWN_RUNS`` of the most frequent, and the sums of some
+    columns for them."""
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits, n = np.unique(np.log2(_blob(batch.column(0)).view(np.int64)).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bits), pa.array(n)], ["bits", "n"])
+
+    count = 0
+    for bits, n in sorted(rows.select("n").mapInArrow(sizes, "bits long, n long").groupBy("bits").sum("n").collect(), reverse=True):
+        count += n
+        if count > KNOWN_RUNS:
+            least = max(least, 2 ** (bits + 1))
+            break
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, n, *parts = (_blob(batch.column(c)).view(TYPES[c]) for c in batch.schema.names)
+            at = n >= least
+            both = [keys[at].tobytes(), np.asarray(sum(parts), np.float64)[at].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in both], ["a", "x"])
+
+    found = rows.select("a", "n", *values).mapInArrow(chosen, "a binary, x binary").toArrow()
+    return Lookup(_blob(found.column("a")).view(np.uint64), _blob(found.column("x")).view(np.float64))
+
+
+# -- blocks
+
+
+def code_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | bool = True) -> DataFrame:
+    """Blocks of texts: ids, numbers of tokens and whether they are trained on; the different words of the block, their hashes
+    and counts in training, and the number of each token's word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = TokenHashes()
+        serial, size = TaskContext.get().partitionId() << 32, 0
+        ids, trained, lengths, flat = [], [], [], []
+
+        def block() -> pa.RecordBatch:
+            found = pa.chunked_array(flat).combine_chunks().dictionary_encode()
+            different = found.dictionary.cast(pa.binary())
+            length, train = np.concatenate(lengths), np.concatenate(trained)
+            # The end has number 0, the words have the next ones in the order of their first places.
+            code = np.zeros(length.sum(), np.uint32)
+            inner = np.ones(len(code), bool)
+            inner[np.cumsum(length) - 1] = False
+            code[inner] = found.indices.to_numpy().astype(np.uint32) + 1
+            words = [END, *different.to_pylist()]
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+            own = np.repeat(train, length)
+            # Frequent words have small numbers, so the upper halves lie apart and hardly take room.
+            halves = code.view(np.uint16).reshape(-1, 2).T
+            arrays = (
+                length, train, _blob(different), np.array([len(w) for w in words], np.int32), hashes,
+                np.bincount(code[own], minlength=len(words)), halves,
+            )
+            texts = pa.chunked_array(ids).combine_chunks()
+            rows = [
+                pa.array([serial]), pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts),
+                *[pa.array([x.tobytes()], pa.binary()) for x in arrays], pa.array([int(own.sum())], pa.int64()),
+            ]
+            return pa.RecordBatch.from_arrays(
+                rows, ["block", "ids", "lengths", "train", "words", "sizes", "keys", "seen", "codes", "tokens"])
+
         for batch in batches:
-            for _, texts in slices(batch, 0):
-                runs, place = _runs([tokens(t) for t in texts], hashes, length - 1)
-                kept = _may_hold(bits, runs[-1])
-                at = np.flatnonzero((place >= length - 1) & kept & np.roll(kept, 1))
-                context, suffix = runs[-1][at - 1], runs[-1][at]
-                _, first, n = np.unique(_run_hash(context, suffix), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(context[first].view(np.int64)), pa.array(suffix[first].view(np.int64)),
-                     pa.array(n.astype(np.int64))], ["context", "suffix", "n"])
+            for part in parts(batch):
+                words, length = _split(part.column(1))
+                ids.append(part.column(0))
+                trained.append(part.column(2).to_numpy(zero_copy_only=False).astype(bool))
+                lengths.append(length)
+                flat.append(words)
+                size += length.sum()
+                if size >= BLOCK_TOKENS:
+                    yield block()
+                    serial, size = serial + 1, 0
+                    for kept in (ids, trained, lengths, flat):
+                        kept.clear()
+        if lengths:
+            yield block()
+
+    train = F.lit(train) if isinstance(train, bool) else F.coalesce(train, F.lit(False))
+    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
+    coded = docs.select(F.col(id_col), F.col(text_col), train.alias("train")).mapInArrow(
+        run, f"block long, ids array<{kind}>, lengths binary, train binary, words binary, sizes binary, keys binary, seen binary, codes binary, "
+        "tokens long")
+    # Blocks of a few large row groups are dealt out, so that all cores have some in every step.
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return coded if docs.rdd.getNumPartitions() >= cores else coded.repartition(4 * cores)
 
-    return run
+
+def _codes(blob: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(blob.view(np.uint16).reshape(2, -1).T).view(np.uint32).reshape(-1)
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs with the hash that names them."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The blocks of some batches, with their arrays."""
+    types = {"lengths": np.int64, "train": bool, "keys": np.uint64, "codes": np.uint8}
     for batch in batches:
-        context, suffix = (batch.column(i).to_numpy().view(np.uint64) for i in range(2))
-        key = pa.array(_run_hash(context, suffix).view(np.int64))
-        yield pa.RecordBatch.from_arrays([key, *batch.columns], ["key", "context", "suffix", "n"])
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1)
+            out = {name: _blob(row.column(name)).view(t) for name, t in types.items() if name in row.schema.names}
+            yield out | {"codes": _codes(out["codes"]), "block": row.column("block")[0].as_py(), "row": row}
 
 
-def _word_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = np.array([xxhash.xxh64_intdigest(w) for w in batch.column(0).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(1)], ["key", "n"])
+def _word_counts(coded: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = pa.table({"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
+        for batch in batches:
+            for words, sizes, seen in zip(*batch.columns):
+                ends = np.append(0, np.cumsum(np.frombuffer(sizes.as_buffer(), np.int32))).astype(np.int32)
+                rows = [pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), words.as_buffer()]),
+                        pa.array(np.frombuffer(seen.as_buffer(), np.int64))]
+                rows = pa.table(rows, ["word", "n"])
+                both = pa.concat_tables([found, rows.filter(pa.compute.greater(rows.column("n"), 0))])
+                found = both.group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+                if len(found) > CACHE_WORDS:
+                    yield from found.to_batches()
+                    found = found.slice(0, 0)
+        yield from found.to_batches()
+
+    counted = coded.select("words", "sizes", "seen").mapInArrow(run, "word binary, n long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(word binary, n)`` over all rows; every text adds one end, which is the empty word."""
+    return _word_counts(code_texts(docs, text_col, text_col))
+
+
+def _bucket_bits(coded: DataFrame) -> int:
+    total = coded.agg(F.sum("tokens")).first()[0] or 0
+    least, most = BUCKET_BITS
+    return min(most, max(least, (total // BUCKET_TOKENS).bit_length()))
+
+
+# -- levels
+
+
+def _hashed(counts: DataFrame, bits: int) -> DataFrame:
+    """Word counts as ``RUNS`` of one token, by the buckets of their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.fromiter(map(xxhash.xxh64_intdigest, batch.column(0).to_pylist()), np.uint64, batch.num_rows)
+            by = np.argsort(keys)
+            yield _dealt(RUNS, bits, keys[by], a=keys[by], n=batch.column(1).to_numpy()[by])
+
+    return counts.select("word", "n").mapInArrow(run, FRAME)
+
+
+def _block_words(coded: DataFrame, bits: int) -> DataFrame:
+    """The words of each block with their counts in training, by the buckets of their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, seen in zip(*batch.columns):
+                keys, n = np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(seen.as_buffer(), np.int64)
+                by = np.argsort(keys)
+                by = by[n[by] > 0]
+                yield _dealt(RUNS, bits, keys[by], a=keys[by], n=n[by])
+
+    return coded.select("keys", "seen").mapInArrow(run, FRAME)
+
+
+def _merged_words(words: DataFrame) -> DataFrame:
+    """One entry for each word, by the buckets of their hashes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, n = _of(table, RUNS, "an")
+        by = np.argsort(keys)
+        starts = _starts(keys[by])
+        keys, n = keys[by][starts], np.add.reduceat(n[by], starts)
+        return pa.Table.from_batches([_pieces(RUNS, np.zeros(1, int), 0, table.column("bucket")[0].as_py(), a=keys, n=n)])
+
+    return _by_bucket(words, run)
+
+
+def _word_runs(words: DataFrame, norm: int) -> DataFrame:
+    """The words that are kept, as ``RUNS`` of one token with their unigram probabilities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                keys, n = _of(batch.slice(at, 1), RUNS, "an")
+                kept = n >= MIN_COUNT
+                if kept.any():
+                    yield _pieces(RUNS, np.zeros(1, int), 0, batch.column("bucket")[at].as_py(), a=keys[kept], n=n[kept],
+                                  x=(n[kept] + 1) / norm, y=np.zeros(kept.sum()))
+
+    return words.mapInArrow(run, FRAME)
+
+
+def _word_sums(words: DataFrame) -> tuple[int, int]:
+    """Tokens, and distinct ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = _blob(batch.column(0)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([n.sum()]), pa.array([len(n)])], ["n", "v"])
+
+    sums = words.select("n").mapInArrow(run, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    return sums[0] or 0, sums[1] or 0
+
+
+def _count_runs(length: int, table: np.ndarray, bits: int):
+    """Counts of the runs of a length in a block, where both runs inside that are one token shorter may be kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            runs = block["keys"][block["codes"]]
+            for _ in range(2, length):
+                runs = _longer(runs)
+            lengths = block["lengths"]
+            kept = _may_hold(table, runs) & np.repeat(block["train"], lengths)
+            at = np.flatnonzero((_places(lengths) >= length - 1) & kept & np.roll(kept, 1))
+            context, suffix = runs[at - 1], runs[at]
+            name = _run_hash(context, suffix)
+            # Where cutting off bits parts equal names, a run has more than one row, which its bucket adds up.
+            by = _about_sorted(name)
+            starts = _starts(name[by])
+            first, n = by[starts], np.diff(np.append(starts, len(by)))
+            # Equal contexts side by side take less room.
+            to, shift = name[first] >> np.uint64(64 - bits), np.uint64(bits)
+            by = _about_sorted(to << np.uint64(64 - bits) | context[first] >> shift)
+            first, n = first[by], n[by]
+            yield _dealt(ASKING, bits, name[first], a=context[first], b=suffix[first], n=n)
+
+    return run
+
+
+def _frequent(bits: int):
+    """Kept runs, dealt to the buckets of their suffixes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        context, suffix, n = _of(table, ASKING, "abn")
+        name = _run_hash(context, suffix)
+        by = np.argsort(name)
+        starts = _starts(name[by])
+        n = np.add.reduceat(n[by], starts)
+        at = by[starts[n >= MIN_COUNT]]
+        context, suffix, n = context[at], suffix[at], n[n >= MIN_COUNT]
+        by = np.argsort(suffix)
+        return pa.Table.from_batches([_dealt(ASKING, bits, suffix[by], a=suffix[by], b=context[by], n=n[by])])
+
+    return run
+
+
+def _with_suffixes(bits: int):
+    """What the tree makes of the runs' last tokens without their first, dealt to the buckets of their contexts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, unigram, factor = _of(table, RUNS, "axy")
+        suffix, context, n = _of(table, ASKING, "abn")
+        order = np.argsort(keys)
+        # Kept runs consist of kept runs, so every suffix is found.
+        found = order[np.searchsorted(keys, suffix, sorter=order)] if len(suffix) else np.zeros(0, int)
+        by = np.argsort(context)
+        found = found[by]
+        return pa.Table.from_batches([_dealt(
+            ASKING, bits, context[by], a=context[by], b=suffix[by], n=n[by], x=unigram[found], y=factor[found])])
+
+    return run
+
+
+def _level(bits: int):
+    """Divergence test and smoothing of the contexts of a bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, totals = _of(table, RUNS, "an")
+        context, suffix, n, unigram, below = _of(table, ASKING, "abnxy")
+        if not len(context):
+            return pa.Table.from_batches([_dealt(RUNS, bits, context)])
+        by = np.argsort(context)
+        context, suffix, n, unigram, below = (x[by] for x in (context, suffix, n, unigram, below))
+        order, starts = np.argsort(keys), _starts(context)
+        total = totals[order[np.searchsorted(keys, context[starts], sorter=order)]]
+        stored = np.diff(np.append(starts, len(context)))
+        other = total - np.add.reduceat(n, starts)
+        left = (other + DISCOUNT * stored) / total
+        rest = np.log(left)
+        each = lambda x: np.repeat(x, stored)
+        made = np.log((n - DISCOUNT) / each(total) / unigram + each(left) * np.exp(below))
+        gained = np.add.reduceat(n * (made - below), starts) + other * rest
+        retained = gained > 0.5 * np.log(total) * stored
+        own, key = each(retained), _run_hash(context, suffix)
+        by = np.argsort(key)
+        factor, gain = np.where(own, made, below), np.where(own, made - each(rest) - below, np.nan)
+        at = starts[retained]
+        return pa.Table.from_batches([
+            _dealt(RUNS, bits, key[by], a=key[by], n=n[by], x=unigram[by], y=factor[by], z=gain[by]),
+            _dealt(CONTEXTS, bits, context[at], a=context[at], n=total[retained], z=rest[retained]),
+        ])
+
+    return run
+
+
+def _drop_shuffles(df: DataFrame) -> None:
+    """Let Spark remove the files of shuffles that have ended, which it does when the driver collects its garbage."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
 
 
 @dataclass(frozen=True)
 class Level:
-    """The kept runs of one length: ``runs`` has ``(key, context, n, total, unigram, log_factor, rest, gain)``.
+    """The kept runs of one length: ``RUNS`` with key, count, unigram probability and ``log_factor`` of the last token, what
+    the tree up to this length makes of it as a multiple of the former, and ``gain``, NaN if the context is not retained;
+    ``CONTEXTS`` with key, count and ``rest`` of the retained ones."""
 
-    ``total`` is how often the context was seen; ``log_factor`` is what the tree up to this length makes of the
-    run's last token, as a multiple of its unigram probability; ``rest`` and ``gain`` are null where the context is not retained.
-    """
+    rows: DataFrame
 
-    runs: DataFrame
+    @property
+    def runs(self) -> DataFrame:
+        return self.rows.where(F.col("kind") == RUNS)
 
     @property
     def gain(self) -> np.ndarray:
         """All gains of the level, for small trees."""
-        return self.runs.where("gain IS NOT NULL").select("gain").toArrow().column(0).to_numpy()
-
-
-def build_level(counted: DataFrame, shorter: DataFrame) -> Level:
-    """Divergence test and smoothing of the contexts of one length, from its kept runs ``(key, context, suffix, n)``
-    and those one token shorter."""
-    contexts = (
-        counted.groupBy("context").agg(F.count("*").alias("stored"), F.sum("n").alias("seen"))
-        .join(shorter.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
-        .withColumn("other", F.col("total") - F.col("seen"))
-        .withColumn("left", (F.col("other") + DISCOUNT * F.col("stored")) / F.col("total"))
-    )
-    # Kept runs consist of kept runs, so every suffix is found.
-    suffixes = shorter.select(F.col("key").alias("suffix"), "unigram", F.col("log_factor").alias("below"))
-    tested = materialize(
-        counted.join(suffixes, "suffix").join(contexts, "context").withColumn(
-            "made", F.log((F.col("n") - DISCOUNT) / F.col("total") / F.col("unigram") + F.col("left") * F.exp("below"))
-        ),
-        "tested",
-    )
-    gained = F.sum(F.col("n") * (F.col("made") - F.col("below"))) + F.max("other") * F.log(F.max("left"))
-    retained = (
-        tested.groupBy("context").agg(gained.alias("gained"), F.max("stored").alias("stored"),
-                                      F.max("total").alias("total"), F.log(F.max("left")).alias("rest"))
-        .where(F.col("gained") > 0.5 * F.log("total") * F.col("stored")).select("context", "rest")
-    )
-    runs = tested.join(retained, "context", "left").select(
-        "key", "context", "n", "total", "unigram",
-        F.when(F.col("rest").isNull(), F.col("below")).otherwise(F.col("made")).alias("log_factor"),
-        "rest", (F.col("made") - F.col("rest") - F.col("below")).alias("gain"),
-    )
-    return Level(materialize(runs, "runs"))
+        gains = _blob(self.runs.select("z").toArrow().column(0)).view(np.float64)
+        return gains[~np.isnan(gains)]
+
+
+def build_level(coded: DataFrame, length: int, shorter: DataFrame, bits: int) -> Level:
+    """The runs of a length, from the blocks and the runs one token shorter."""
+    table = _bit_table(shorter, bits)
+    asked = coded.select("block", "lengths", "train", "keys", "codes").mapInArrow(_count_runs(length, table, bits), FRAME)
+    counted = _by_bucket(asked, _frequent(bits))
+    tested = _by_bucket(counted.unionByName(_only(shorter, "axy")), _with_suffixes(bits))
+    return Level(materialize(_by_bucket(tested.unionByName(_only(shorter, "an")), _level(bits)), "level"))
+
+
+def _summed(bits: int):
+    """``n``, ``rest`` and ``gain`` of all runs of a bucket that change a score."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, n, gain = _of(table, RUNS, "anz")
+        contexts, total, rest = _of(table, CONTEXTS, "anz")
+        own = ~np.isnan(gain)
+        keys, n = np.append(keys[own], contexts), np.append(n[own], total)
+        rest = np.append(np.zeros(own.sum()), rest)
+        gain = np.append(gain[own], np.zeros(len(contexts)))
+        by = np.argsort(keys)
+        starts, keys = _starts(keys[by]), keys[by]
+        if not len(keys):
+            return pa.Table.from_batches([_dealt(RUNS, bits, keys)])
+        add = lambda x: np.add.reduceat(x[by], starts)
+        return pa.Table.from_batches([_dealt(
+            RUNS, bits, keys[starts], a=keys[starts], n=np.maximum.reduceat(n[by], starts), x=add(rest), y=add(gain))])
+
+    return run
 
 
 @dataclass(frozen=True)
 class SuffixTree:
-    """Frequent words with their unigram probabilities, the levels of the tree, and ``(key, n, rest, gain)`` of all
-    runs that change a score, as context or with their last token."""
+    """The words by their hashes, the frequent ones of them for all tasks, the levels of the tree, and key, ``n``,
+    ``rest`` and ``gain`` of all runs that change a score, as context or with their last token."""
 
-    head: HeadWords
-    unigram: np.ndarray
+    words: DataFrame
+    head: Lookup
     levels: list[Level]
     values: DataFrame
+    bits: int
 
     def factors(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the tokens of a few texts, and of each the factor by which its context changes its probability."""
-        runs, place = _runs(words, TokenHashes(), DEPTH + 1)
-        wanted = np.unique(np.concatenate(runs)).view(np.int64).tolist()
-        found = {r["key"]: r for r in self.values.where(F.col("key").isin(wanted)).collect()}
+        place = _places(np.array([len(ws) for ws in words]))
+        runs = [np.array([xxhash.xxh64_intdigest(w) for ws in words for w in ws], np.uint64)]
+        for _ in range(DEPTH):
+            runs.append(_longer(runs[-1]))
+        wanted = np.unique(np.concatenate(runs))
+
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                parts = [_blob(batch.column(c)).view(TYPES[c]) for c in batch.schema.names]
+                at = np.isin(parts[0], wanted)
+                yield pa.RecordBatch.from_arrays([pa.array(p[at].view(np.int64) if i == 0 else p[at]) for i, p in enumerate(parts)], ["key", "rest", "gain"])
+
+        rows = self.values.select("a", "x", "y").mapInArrow(chosen, "key long, rest double, gain double").collect()
+        found = {r["key"]: r for r in rows}
         total = np.zeros(len(place))
         for length, keys in enumerate(runs, 1):
             for at, key in enumerate(keys.view(np.int64).tolist()):
@@ -213,170 +613,160 @@ class SuffixTree:
         return runs[0], np.exp(total)
 
 
-def fit_tree(train: DataFrame, counts: DataFrame, text_col: str = "text", depth: int = DEPTH,
-             share: float = SHARE) -> tuple[SuffixTree, int, int]:
-    """The tree of a training corpus whose word counts are given, its tokens and its distinct tokens."""
-    sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    total, distinct = sums["n"] or 0, sums["v"]
-    rows = counts.where(F.col("n") >= max(MIN_COUNT, share * total)).toArrow()  # at most 1 / share rows
-    order = sorted(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist()))
-    head = HeadWords((w, i) for i, (w, _) in enumerate(order))
-    unigram = (np.array([n for _, n in order], np.int64) + 1) / (total + distinct + 1)
-    words = counts.where(F.col("n") >= MIN_COUNT).select("word", "n").mapInArrow(_word_runs, "key long, n long")
-    shorter = materialize(
-        words.groupBy("key").agg(F.sum("n").alias("n")).select(
-            "key", "n", ((F.col("n") + 1) / (total + distinct + 1)).alias("unigram"), F.lit(0.0).alias("log_factor")),
-        "word-runs",
-    )
+def _fit(coded: DataFrame, words: DataFrame, bits: int, depth: int, share: float) -> tuple[SuffixTree, int, int]:
+    total, distinct = _word_sums(words)
+    shorter = _word_runs(words, total + distinct + 1)
+    head = _known(shorter, share * total, "x")
     levels: list[Level] = []
     for length in range(2, depth + 2):
         # The end is no context. Of a run that is not the end, every occurrence has a successor.
-        counted = materialize(
-            train.select(F.col(text_col))
-            .mapInArrow(_count_runs(length, _bit_table(shorter)), "context long, suffix long, n long")
-            .groupBy("context", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
-            .mapInArrow(_named, "key long, context long, suffix long, n long"),
-            "counted",
-        )
-        levels.append(build_level(counted, shorter))
+        levels.append(build_level(coded, length, shorter, bits))
         shorter = levels[-1].runs
+        _drop_shuffles(coded)
         if shorter.isEmpty():
             break
-    parts = []
-    for level in levels:
-        kept = level.runs.where("gain IS NOT NULL")
-        parts.append(kept.select("key", "n", F.lit(0.0).alias("rest"), "gain"))
-        parts.append(
-            kept.groupBy(F.col("context").alias("key")).agg(F.max("total").alias("n"), F.max("rest").alias("rest"))
-            .withColumn("gain", F.lit(0.0))
-        )
-    values = parts[0]
-    for part in parts[1:]:
-        values = values.unionByName(part)
-    values = values.groupBy("key").agg(F.max("n").alias("n"), F.sum("rest").alias("rest"), F.sum("gain").alias("gain"))
-    return SuffixTree(head, unigram, levels, materialize(values, "values")), total, distinct
-
-
-def _join_names(keys: np.ndarray) -> pa.Array:
-    """Runs named so that no word and no document has their name: a line end and eight bytes."""
-    raw = np.full((len(keys), 9), 10, np.uint8)
-    raw[:, 1:] = keys.astype(">u8").view(np.uint8).reshape(-1, 8)
-    ends = np.arange(len(keys) + 1, dtype=np.int32) * 9
-    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+    rows = levels[0].rows
+    for level in levels[1:]:
+        rows = rows.unionByName(level.rows)
+    return SuffixTree(words, head, levels, materialize(_by_bucket(_only(rows, "anz"), _summed(bits)), "values"), bits), total, distinct
 
 
-def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(word binary, n)`` over all rows; every text adds one end, which is the empty word."""
+def fit_tree(train: DataFrame, counts: DataFrame, text_col: str = "text", depth: int = DEPTH,
+             share: float = SHARE) -> tuple[SuffixTree, int, int]:
+    """The tree of a training corpus whose word counts are given, its tokens and its distinct tokens."""
+    coded = materialize(code_texts(train, text_col, text_col).drop("words", "sizes"), "blocks")
+    bits = _bucket_bits(coded)
+    return _fit(coded, materialize(_merged_words(_hashed(counts, bits)), "words"), bits, depth, share)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
 
-        def batch_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+# -- scores
 
-        for batch in batches:
-            for _, texts in slices(batch, 0):
-                for text in texts:
-                    found.update(tokens(text))
-                if len(found) > CACHE_WORDS:
-                    yield batch_of()
-                    found.clear()
-        yield batch_of()
-
-    return docs.select(F.col(text_col)).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_tokens, n_known, train_tokens, base_score, score)`` of every row of ``docs``,
-    learned from ``train``."""
-    counts = materialize(count_words(train, text_col), "words")
-    tree, n_train, distinct = fit_tree(train, counts, text_col)
-    values = tree.values.select("key", "n", ((F.col("rest") + F.col("gain")) / float(np.log(10))).alias("value"))
-    common = F.col("n") >= SHARE * n_train
-    top = values.where(common).orderBy("key").toArrow()  # at most 1 / SHARE rows of each length
-    top_keys = top.column("key").to_numpy().view(np.uint64)
-    by_key = np.argsort(top_keys)
-    top_keys, top_values = top_keys[by_key], np.append(top.column("value").to_numpy()[by_key], 0.0)
-    bits = _bit_table(values)
-    logs = np.append(np.log10(tree.unigram), 0.0)  # the last is for number -1
-    head = tree.head
+
+def _score_blocks(tree: SuffixTree, top: Lookup, table: np.ndarray, unseen: float):
+    """The part of the texts' scores that all tasks know, as ``TEXTS``, and questions for the rest."""
+    head, bits = tree.head, tree.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = TokenHashes()
-        for batch in batches:
-            for part, texts in slices(batch, 2):
-                words = [tokens(t) for t in texts]
-                serials = part.column(0).to_pylist()
-                lengths = np.array([len(ws) for ws in words])
-                owner = np.repeat(np.arange(len(words)), lengths)
-                ids = np.fromiter((i for ws in words for i in map(head.__getitem__, ws)), np.int64, int(lengths.sum()))
-                known = np.bincount(owner, ids >= 0, len(words)).astype(np.int64)
-                base = np.bincount(owner, logs[ids], len(words))
-                more = np.zeros(len(words))
-                runs, place = _runs(words, hashes, DEPTH + 1)
-                run_owner, run_keys = [], []
-                for length, keys in enumerate(runs, 1):
-                    at = np.flatnonzero((place >= length - 1) & _may_hold(bits, keys))
-                    who, keys = owner[at], keys[at]
-                    if len(top_keys):
-                        found = np.minimum(np.searchsorted(top_keys, keys), len(top_keys) - 1)
-                        hit = top_keys[found] == keys
-                        more += np.bincount(who[hit], top_values[found[hit]], len(words))
-                        who, keys = who[~hit], keys[~hit]
-                    run_owner.append(who)
-                    run_keys.append(keys)
-                who, keys = np.concatenate(run_owner), np.concatenate(run_keys)
-                by = np.lexsort((keys, who))
-                who, keys = who[by], keys[by]
-                first = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (keys[1:] != keys[:-1]))[: len(keys)])
-                run_n = np.diff(np.append(first, len(keys)))
-                rare_serial, rare_word, rare_n = [], [], []
-                start = 0
-                for serial, ws in zip(serials, words):
-                    rare = Counter([ws[i] for i in np.flatnonzero(ids[start : start + len(ws)] < 0).tolist()])
-                    start += len(ws)
-                    rare_serial += [serial] * len(rare)
-                    rare_word += rare.keys()
-                    rare_n += rare.values()
-                m = len(rare_word) + len(first)
-                # A document's own row has a name that no word has, for it holds a space.
-                names = [b" %d" % s for s in serials]
-                run_serial = np.array(serials, np.int64)[who[first]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([np.array(serials + rare_serial, np.int64), run_serial])),
-                        pa.concat_arrays([part.column(1), pa.nulls(m, part.column(1).type)]),
-                        pa.concat_arrays([pa.array(names + rare_word, pa.binary()), _join_names(keys[first])]),
-                        pa.array([0] * len(words) + rare_n + [0] * len(first), pa.int64()),
-                        pa.array(np.concatenate([np.zeros(len(words) + len(rare_word), np.int64), run_n])),
-                        pa.array([*lengths.tolist(), *[None] * m], pa.int64()),
-                        pa.array([*known.tolist(), *[None] * m], pa.int64()),
-                        pa.array([*base.tolist(), *[None] * m], pa.float64()),
-                        pa.array([*more.tolist(), *[None] * m], pa.float64()),
-                    ],
-                    ["serial", "id", "word", "k", "runs", "n_tokens", "known", "base", "more"])
+        words, known_runs = head.spread(), top.spread()
+        for block in _blocks(batches):
+            codes, vocabulary, lengths = block["codes"], block["keys"], block["lengths"]
+            texts = len(lengths)
+            owner = np.repeat(np.arange(texts), lengths)
+            is_known, unigram = words.find(vocabulary)
+            log = np.where(is_known, np.log10(np.where(is_known, unigram, 1.0)), unseen)
+            base, known = np.bincount(owner, log[codes], texts), np.bincount(owner, is_known[codes], texts).astype(np.int64)
+            # Single words are looked up once for a block.
+            held = _may_hold(table, vocabulary)
+            hit, value = known_runs.find(vocabulary)
+            more = np.bincount(owner, value[codes], texts)
+            runs, place = vocabulary[codes], _places(lengths)
+            at = np.flatnonzero((held & ~hit)[codes])
+            asked, askers = [runs[at]], [owner[at]]
+            for length in range(2, DEPTH + 2):
+                runs = _longer(runs)
+                at = np.flatnonzero((place >= length - 1) & _may_hold(table, runs))
+                who, keys = owner[at], runs[at]
+                hit, value = known_runs.find(keys)
+                more += np.bincount(who, value, texts)
+                asked.append(keys[~hit])
+                askers.append(who[~hit])
+            rare = np.flatnonzero(~is_known[codes])
+            yield _pieces(
+                TEXTS, np.zeros(1, int), block["block"], block["block"] % (1 << bits), n=lengths, x=base, y=more,
+                b=known.view(np.uint64),
+            ).append_column("ids", block["row"].column("ids"))
+            for kind, keys, who in (
+                (ASK_RUNS, np.concatenate(asked), np.concatenate(askers)), (ASK_WORDS, vocabulary[codes[rare]], owner[rare]),
+            ):
+                by = np.argsort(keys)
+                rows = _dealt(kind, bits, keys[by], block["block"], a=keys[by], n=who[by])
+                yield rows.append_column("ids", pa.nulls(rows.num_rows, block["row"].column("ids").type))
 
-    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    read = docs.select(F.monotonically_increasing_id().alias("serial"), F.col(id_col), F.col(text_col)).mapInArrow(
-        run, f"serial long, id {kind}, word binary, k long, runs long, n_tokens long, known long, base double, more double"
-    )
-    run_name = F.concat(F.lit(b"\n"), F.unhex(F.lpad(F.hex("key"), 16, "0")))
-    table = counts.select("word", "n", F.lit(None).cast("double").alias("value")).unionByName(
-        values.where(~common).select(run_name.alias("word"), F.lit(None).cast("long").alias("n"), "value")
-    )
-    joined = read.join(table, "word", "left")
+    return run
+
+
+def _answers(bits: int):
+    """Sums for each text that asked, of the values in a bucket; the texts' own rows pass."""
+
+    def summed(asks: pa.Table, got: int, keys: np.ndarray, column: str, values: np.ndarray) -> pa.RecordBatch:
+        asks = asks.sort_by("block")
+        each = [len(x) // 8 for x in asks.column("a").to_pylist()]
+        asked, text = (_blob(asks.column(c)).view(TYPES[c]) for c in "an")
+        row = np.repeat(np.arange(len(each)), each)
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        found = np.minimum(np.searchsorted(keys, asked), len(keys) - 1) if len(keys) else np.zeros(0, int)
+        hit = np.flatnonzero(keys[found] == asked) if len(keys) else found
+        both = (row[hit] << 40) | text[hit]
+        by = np.argsort(both)
+        starts = _starts(both[by])
+        at = hit[by[starts]]
+        sums = np.add.reduceat(values[found[hit[by]]], starts) if len(starts) else np.zeros(0)
+        times = np.diff(np.append(starts, len(by)))
+        cuts = _starts(row[at])
+        blocks = asks.column("block").to_numpy()[row[at[cuts]]]
+        return _pieces(got, cuts, blocks, 0, n=text[at], b=times.astype(np.uint64), **{column: sums})
+
+    def run(table: pa.Table) -> pa.Table:
+        kinds = table.column("kind")
+        of = lambda kind: table.filter(pa.compute.equal(kinds, kind))
+        keys, rest, gain = _of(table, RUNS, "axy")
+        words, n = _of(table, WORDS, "an")
+        rows = []
+        if (asks := of(ASK_RUNS)).num_rows:
+            rows.append(summed(asks, GOT_RUNS, keys, "y", (rest + gain) / np.log(10)))
+        if (asks := of(ASK_WORDS)).num_rows:
+            rows.append(summed(asks, GOT_WORDS, words, "x", np.log10(n + 1)))
+        ids = table.schema.field("ids").type
+        return pa.concat_tables([
+            of(TEXTS), *[pa.Table.from_batches([r.append_column("ids", pa.nulls(r.num_rows, ids))]).select(table.column_names)
+                         for r in rows]])
+
+    return run
+
+
+def _text_scores(id_col: str):
+    """One row for each text of a block, with its own part and all answers."""
+
+    def run(table: pa.Table) -> pa.Table:
+        (length, base, more, known), (who, gained), (asker, added, times) = (
+            _of(table, TEXTS, "nxyb"), _of(table, GOT_RUNS, "ny"), _of(table, GOT_WORDS, "nxb"))
+        texts = len(length)
+        base = base + np.bincount(asker, added, texts)
+        more = more + np.bincount(who, gained, texts)
+        known = known.view(np.int64) + np.bincount(asker, times.view(np.int64), texts).astype(np.int64)
+        ids = table.filter(pa.compute.equal(table.column("kind"), TEXTS)).column("ids").combine_chunks().flatten()
+        return pa.table([ids, pa.array(length), pa.array(known), pa.array(base), pa.array(base + more)],
+                        [id_col, "n_tokens", "n_known", "base_score", "score"])
+
+    return run
+
+
+def score_texts(docs: DataFrame, train: DataFrame | Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, n_tokens, n_known, train_tokens, base_score, score)`` of every row of ``docs``, learned from ``train``: other
+    rows, or a condition for those of ``docs``, which then are made into tokens only once."""
+    def blocks(texts: DataFrame, key: str, trained: Column | bool) -> DataFrame:
+        return materialize(code_texts(texts, key, text_col, trained).drop("words", "sizes"), "blocks", compression="zstd")
+
+    if isinstance(train, Column):
+        coded = learned = blocks(docs, id_col, train)
+    else:
+        coded, learned = blocks(docs, id_col, False), blocks(train, text_col, True)
+    bits = _bucket_bits(learned)
+    words = materialize(_merged_words(_block_words(learned, bits)), "words")
+    tree, n_train, distinct = _fit(learned, words, bits, DEPTH, SHARE)
+    _drop_shuffles(docs)
+    top = _known(tree.values, SHARE * n_train, "xy")
+    top.values = top.values / np.log(10)
     unseen = float(-np.log10(n_train + distinct + 1))
-    rare_base = F.col("k") * (F.log10(F.coalesce("n", F.lit(0)) + 1) + unseen)
-    rare_known = F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)
-    rare_more = F.col("runs") * F.coalesce("value", F.lit(0.0))
-    return joined.groupBy("serial").agg(
-        F.max("id").alias(id_col),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("known", F.lit(0)) + rare_known).alias("n_known"),
-        F.sum(F.coalesce("base", F.lit(0.0)) + rare_base).alias("base_score"),
-        F.sum(F.coalesce("more", F.lit(0.0)) + rare_more).alias("more"),
-    ).select(
-        id_col, "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score",
-        (F.col("base_score") + F.col("more")).alias("score"),
-    )
+    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
+    frame = f"{FRAME}, ids array<{kind}>"
+    asked = coded.select("block", "ids", "lengths", "keys", "codes").mapInArrow(
+        _score_blocks(tree, top, _bit_table(tree.values, tree.bits), unseen), frame)
+    # Words are asked for by their counts, whether they are kept or not.
+    words = _only(tree.words, "an").withColumn("kind", F.lit(WORDS))
+    told = asked.unionByName(_only(tree.values, "axy").unionByName(words), allowMissingColumns=True)
+    scored = _by_bucket(_by_bucket(told, _answers(tree.bits), schema=frame), _text_scores(id_col), "block",
+                        f"`{id_col}` {kind}, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(
+        id_col, "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")

@@ -321,6 +321,50 @@ def test_suffix_tree_keeps_runs_of_any_share(spark, monkeypatch):
         assert all(math.isclose(got[i], wanted[i], rel_tol=1e-9) for i in wanted) and got[0] > 5
 
 
+def test_suffix_tree_blocks_hold_all_tokens(spark, monkeypatch):
+    rows = ODD + [(10, "A B\tC\x0bD\x0cE\rF\nG \x1ch\x1d"), (11, " two  spaces "), (12, "\x85 x \x00y\x00 \xa0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(suffix_tree, "BLOCK_TOKENS", 30)
+    monkeypatch.setattr(suffix_tree, "parts", lambda batch, cut=suffix_tree.parts: cut(batch, size_limit=20))
+    blocks = suffix_tree.code_texts(df).toArrow()
+    assert len(blocks) > 2 and len(set(blocks["block"].to_pylist())) == len(blocks)
+    got = []
+    for block in suffix_tree._blocks(blocks.to_batches()):
+        sizes = np.frombuffer(block["row"]["sizes"][0].as_py(), np.int32)
+        raw, ends = block["row"]["words"][0].as_py(), np.cumsum(sizes)
+        words = [raw[e - n : e] for n, e in zip(sizes, ends)]
+        found = iter([words[c] for c in block["codes"]])
+        got += [(i, [next(found) for _ in range(n)]) for i, n in zip(block["row"]["ids"][0].as_py(), block["lengths"])]
+    assert got == [(i, suffix_tree.tokens(t or "")) for i, t in rows]
+
+
+def test_suffix_tree_deals_out_arrays(spark):
+    df = spark.createDataFrame(list(enumerate(small_corpus())), "doc_id long, text string").coalesce(2)
+    coded = suffix_tree.code_texts(df).drop("words", "sizes")
+    every = np.full(1 << (suffix_tree.FILTER_BITS - 6), ~np.uint64(0))
+    asked = coded.select("block", "lengths", "train", "keys", "codes").mapInArrow(
+        suffix_tree._count_runs(2, every, 3), suffix_tree.FRAME)
+    # A row for each block and bucket at most, however many runs there are; texts that are trained on and scored are read once.
+    assert 0 < asked.count() <= 2 * 8
+    trained = F.col("doc_id") % 7 != 2
+    once = {r.doc_id: r for r in suffix_tree.score_texts(df, trained).collect()}
+    for r in suffix_tree.score_texts(df, df.where(trained)).collect():
+        mine = once.pop(r.doc_id)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (mine.n_tokens, mine.n_known, mine.train_tokens)
+        assert math.isclose(r.score, mine.score, rel_tol=1e-9) and math.isclose(r.base_score, mine.base_score, rel_tol=1e-9)
+    assert not once
+
+
+def test_known_runs_are_found_in_full_tables():
+    rng = np.random.default_rng(3)
+    keys = np.unique(np.append(rng.integers(0, 1 << 64, 5000, np.uint64), ~np.uint64(0) - np.arange(1, 200, dtype=np.uint64)))
+    table = suffix_tree.Lookup(keys[::2], np.arange(len(keys[::2])) + 1.0).spread()
+    hit, value = table.find(keys)
+    assert hit[::2].all() and not hit[1::2].any()
+    assert (value[::2] == np.arange(len(keys[::2])) + 1).all() and not value[1::2].any()
+    assert not suffix_tree.Lookup(keys[:0], np.zeros(0)).spread().find(keys)[0].any()
+
+
 def test_scores_of_odd_rows(odd, nothing):
     got = suffix_tree.score_texts(odd, odd).collect()
     assert len(got) == len(ODD) and all(r.n_tokens >= 1 and math.isfinite(r.score) for r in got)
