@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewatch.llm.common import CACHE_WORDS, mix, parts
-from pagewatch.sources.tables import materialize
+from pagewatch.session import discard, materialize
 
 DEPTH = 4
 DISCOUNT = 0.5
@@ -51,13 +51,17 @@ MIN_COUNT = 3
 #: Words and runs with so large a share of all tokens are known to all tasks, if they are not more than ``KNOWN_RUNS``; the
 #: others are asked for. Only speed depends on it and on the bits of the table of runs that are worth a question.
 SHARE = 2e-7
-KNOWN_RUNS = 1 << 19
+KNOWN_RUNS = 1 << 20
 FILTER_BITS = 26
 #: Tokens of a block, and tokens for each bucket: they bound a worker's memory. A bucket sends a row to each other one, so
 #: their number follows the tokens only.
 BLOCK_TOKENS = 1 << 19
-BUCKET_TOKENS = 1 << 21
-BUCKET_BITS = (5, 14)
+BUCKET_TOKENS = 1 << 19
+BUCKET_BITS = (6, 13)
+#: Texts are scored in up to so many rounds, one for each ``ROUND_BLOCKS`` blocks, as questions take room on disk. So many
+#: neighbouring buckets answer together, which makes fewer sums.
+ROUNDS, ROUND_BLOCKS = 4, 64
+TOGETHER = 4
 
 #: The end token is the empty word, which no text holds.
 END = b""
@@ -116,6 +120,12 @@ def _about_sorted(values: np.ndarray) -> np.ndarray:
     return (found & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64)
 
 
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """For each of some sorted values the place of the first that equals it."""
+    starts = _starts(values)
+    return np.repeat(starts, np.diff(np.append(starts, len(values))))
+
+
 def _pieces(kind: int, starts: np.ndarray, block, bucket, **columns: np.ndarray) -> pa.RecordBatch:
     """A row for each piece of some arrays that are cut at ``starts``."""
     rows, out = len(starts), []
@@ -231,14 +241,14 @@ def _known(rows: DataFrame, least: float, values: str) -> Lookup:
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits, n = np.unique(np.log2(_blob(batch.column(0)).view(np.int64)).astype(np.int64), return_counts=True)
+            bits, n = np.unique((4 * np.log2(_blob(batch.column(0)).view(np.int64))).astype(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(bits), pa.array(n)], ["bits", "n"])
 
     count = 0
     for bits, n in sorted(rows.select("n").mapInArrow(sizes, "bits long, n long").groupBy("bits").sum("n").collect(), reverse=True):
         count += n
         if count > KNOWN_RUNS:
-            least = max(least, 2 ** (bits + 1))
+            least = max(least, 2 ** ((bits + 1) / 4))
             break
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -692,7 +702,7 @@ def _answers(bits: int):
         asks = asks.sort_by("block")
         each = [len(x) // 8 for x in asks.column("a").to_pylist()]
         asked, text = (_blob(asks.column(c)).view(TYPES[c]) for c in "an")
-        row = np.repeat(np.arange(len(each)), each)
+        row = np.repeat(_firsts(asks.column("block").to_numpy()), each)
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
         found = np.minimum(np.searchsorted(keys, asked), len(keys) - 1) if len(keys) else np.zeros(0, int)
@@ -702,10 +712,10 @@ def _answers(bits: int):
         starts = _starts(both[by])
         at = hit[by[starts]]
         sums = np.add.reduceat(values[found[hit[by]]], starts) if len(starts) else np.zeros(0)
-        times = np.diff(np.append(starts, len(by)))
-        cuts = _starts(row[at])
-        blocks = asks.column("block").to_numpy()[row[at[cuts]]]
-        return _pieces(got, cuts, blocks, 0, n=text[at], b=times.astype(np.uint64), **{column: sums})
+        cuts, own = _starts(asks.column("block").to_numpy()[row[at]]), {column: sums}
+        if got == GOT_WORDS:
+            own["b"] = np.diff(np.append(starts, len(by))).astype(np.uint64)
+        return _pieces(got, cuts, asks.column("block").to_numpy()[row[at[cuts]]], 0, n=text[at], **own)
 
     def run(table: pa.Table) -> pa.Table:
         kinds = table.column("kind")
@@ -761,12 +771,23 @@ def score_texts(docs: DataFrame, train: DataFrame | Column, id_col: str = "doc_i
     unseen = float(-np.log10(n_train + distinct + 1))
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     frame = f"{FRAME}, ids array<{kind}>"
-    asked = coded.select("block", "ids", "lengths", "keys", "codes").mapInArrow(
-        _score_blocks(tree, top, _bit_table(tree.values, tree.bits), unseen), frame)
+    table, bits = _bit_table(tree.values, tree.bits), tree.bits
+    for level in tree.levels:
+        discard(level.rows)
     # Words are asked for by their counts, whether they are kept or not.
     words = _only(tree.words, "an").withColumn("kind", F.lit(WORDS))
-    told = asked.unionByName(_only(tree.values, "axy").unionByName(words), allowMissingColumns=True)
-    scored = _by_bucket(_by_bucket(told, _answers(tree.bits), schema=frame), _text_scores(id_col), "block",
-                        f"`{id_col}` {kind}, n_tokens long, n_known long, base_score double, score double")
+    known = _only(tree.values, "axy").unionByName(words)
+    rounds = min(ROUNDS, 1 + coded.count() // ROUND_BLOCKS)
+    scored = None
+    for turn in range(rounds):
+        asked = coded.where(F.col("block") % rounds == turn).select("block", "ids", "lengths", "keys", "codes").mapInArrow(
+            _score_blocks(tree, top, table, unseen), frame)
+        told = asked.unionByName(known, allowMissingColumns=True).withColumn("bucket", F.expr(f"bucket div {TOGETHER}").cast("int"))
+        some = materialize(_by_bucket(
+            _by_bucket(told, _answers(bits), schema=frame), _text_scores(id_col), "block",
+            f"`{id_col}` {kind}, n_tokens long, n_known long, base_score double, score double"), "scores")
+        scored = some if scored is None else scored.unionByName(some)
+        del asked, told
+        _drop_shuffles(docs)
     return scored.select(
         id_col, "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
