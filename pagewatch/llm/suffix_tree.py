@@ -31,8 +31,8 @@ both scores are those of the root. Repeated rows are scored each. Texts are read
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -531,10 +531,16 @@ def _level(bits: int):
     return run
 
 
-def _drop_shuffles(df: DataFrame) -> None:
-    """Let Spark remove the files of shuffles that have ended, which it does when the driver collects its garbage."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+@contextmanager
+def _shuffles_dropped(df: DataFrame) -> Iterator[None]:
+    """Spark removes the files of a shuffle as its execution ends; else they stay until the driver collects garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        yield
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
 
 
 @dataclass(frozen=True)
@@ -632,7 +638,6 @@ def _fit(coded: DataFrame, words: DataFrame, bits: int, depth: int, share: float
         # The end is no context. Of a run that is not the end, every occurrence has a successor.
         levels.append(build_level(coded, length, shorter, bits))
         shorter = levels[-1].runs
-        _drop_shuffles(coded)
         if shorter.isEmpty():
             break
     rows = levels[0].rows
@@ -755,6 +760,11 @@ def _text_scores(id_col: str):
 def score_texts(docs: DataFrame, train: DataFrame | Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_tokens, n_known, train_tokens, base_score, score)`` of every row of ``docs``, learned from ``train``: other
     rows, or a condition for those of ``docs``, which then are made into tokens only once."""
+    with _shuffles_dropped(docs):
+        return _scored(docs, train, id_col, text_col)
+
+
+def _scored(docs: DataFrame, train: DataFrame | Column, id_col: str, text_col: str) -> DataFrame:
     def blocks(texts: DataFrame, key: str, trained: Column | bool) -> DataFrame:
         return materialize(code_texts(texts, key, text_col, trained).drop("words", "sizes"), "blocks", compression="zstd")
 
@@ -765,7 +775,6 @@ def score_texts(docs: DataFrame, train: DataFrame | Column, id_col: str = "doc_i
     bits = _bucket_bits(learned)
     words = materialize(_merged_words(_block_words(learned, bits)), "words")
     tree, n_train, distinct = _fit(learned, words, bits, DEPTH, SHARE)
-    _drop_shuffles(docs)
     top = _known(tree.values, SHARE * n_train, "xy")
     top.values = top.values / np.log(10)
     unseen = float(-np.log10(n_train + distinct + 1))
@@ -787,7 +796,5 @@ def score_texts(docs: DataFrame, train: DataFrame | Column, id_col: str = "doc_i
             _by_bucket(told, _answers(bits), schema=frame), _text_scores(id_col), "block",
             f"`{id_col}` {kind}, n_tokens long, n_known long, base_score double, score double"), "scores")
         scored = some if scored is None else scored.unionByName(some)
-        del asked, told
-        _drop_shuffles(docs)
     return scored.select(
         id_col, "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
